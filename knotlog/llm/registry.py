@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from knotlog.llm import bpe_codec, token_counts
+from knotlog.llm import bpe_codec, line_dedup, source_mix, token_counts
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_source_mix": source_mix.op2_source_mix,
     "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_line_dedup": line_dedup.SQL,
+}
