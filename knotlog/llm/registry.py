@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from knotlog.llm import bpe_codec, language_id, line_dedup, secret_scan, source_mix, token_counts
+from knotlog.llm import bpe_codec, language_id, line_dedup, quality, secret_scan, source_mix, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_source_mix": source_mix.op2_source_mix,
+    "op3_quality": quality.op3_quality,
     "op4_language_id": language_id.op4_language_id,
     "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op8_secret_scan": secret_scan.op8_secret_scan,
