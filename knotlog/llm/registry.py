@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotlog.llm import bpe_codec, language_id, line_dedup, quality, secret_scan, source_mix, token_counts
+from knotlog.llm import ann, bpe_codec, language_id, line_dedup, quality, secret_scan, source_mix, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_ann": ann.op9_ann,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
