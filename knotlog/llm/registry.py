@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from knotlog.llm import ann, bpe_codec, language_id, line_dedup, quality, secret_scan, source_mix, token_counts
+from knotlog.llm import ann, bpe_codec, language_id, line_dedup, near_dedup, quality, secret_scan, source_mix, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_source_mix": source_mix.op2_source_mix,
     "op3_quality": quality.op3_quality,
     "op4_language_id": language_id.op4_language_id,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_ann": ann.op9_ann,
@@ -17,4 +18,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
+    "op5_near_dedup": near_dedup.SQL,
 }
