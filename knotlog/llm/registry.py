@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotlog.llm import ann, bpe_codec, language_id, line_dedup, near_dedup, quality, secret_scan, source_mix, token_counts
+from knotlog.llm import ann, bpe_codec, language_id, line_dedup, near_dedup, quality, secret_scan, source_mix, substring_dedup, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_language_id": language_id.op4_language_id,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_ann": ann.op9_ann,
