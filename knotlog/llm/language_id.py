@@ -258,8 +258,14 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, text: str =
 
 
 def keep_known(docs: DataFrame, learn_from: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows whose language is known and at least ``MIN_SCORE`` sure."""
-    scored = predict(docs, *fit(learn_from, id, text, lang), text)
+    """Rows whose language is known and at least ``MIN_SCORE`` sure.
+
+    With nothing to learn from, rows with a letter stay.
+    """
+    languages, prob = fit(learn_from, id, text, lang)
+    if not languages:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    scored = predict(docs, languages, prob, text)
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 
 

@@ -138,6 +138,22 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     return rows.select(F.col("id").alias(id), "source", "size", "source_size", "target", "copies")
 
 
+def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it.
+
+    Rows with the same id, source and size are interchangeable to the mix; they
+    take the copies of such rows in order of their text.
+    """
+    taken = mix(docs, id, text, source, weights).groupBy(F.col(id).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    taken = written(taken, "mix-copies")
+    rows = docs.withColumn("_words", word_count(F.col(text)))
+    same = F.col(id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    rows = rows.join(taken, same)
+    number = F.row_number().over(Window.partitionBy(id, source, "_words").orderBy(text))
+    rows = rows.withColumn("_take", F.get("_copies", F.when(F.size("_copies") == 1, 0).otherwise(number - 1))).where(F.col("_take") > 0)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_take"))).select(*docs.columns)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document, beside its source's target."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
