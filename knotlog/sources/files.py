@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import os
 import tomllib
 from collections.abc import Iterator
 
@@ -23,17 +24,42 @@ def file_tree(spark: SparkSession, root: str, exclude: list[str] | None = None,
     """``path, content, bytes, hash`` of files under a root.
 
     Hidden folders other than ``.github``, excluded and secret paths, and files
-    over a size are left out.
+    over a size are left out.  A root with a scheme (``s3://``, ``hdfs://``) is
+    listed by Spark, which never sees names that start with ``.`` or ``_``; a
+    plain path must be mounted on all executors, and its names are all seen.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    top = root.rstrip("/").split("://")[-1]
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", ""), "^.*" + _quoted(top) + "/", "")
-    rows = raw.where(F.col("length") <= most).select(rel.alias("path"), "content", F.col("length").alias("bytes"), "modificationTime")
+    if "://" in root:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most)
+        top = root.rstrip("/").split("://")[-1]
+        rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", ""), "^.*" + _quoted(top) + "/", "")
+        rows = raw.select(rel.alias("path"), "content", F.col("length").alias("bytes"))
+    else:
+        rows = _mounted(spark, root.rstrip("/"), most)
     hidden = F.exists(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda p: p.startswith(".") & (p != ".github"))
     rows = rows.where(~hidden & ~paths.excluded(F.col("path"), [*(exclude or []), *SECRET_PATHS]))
     return rows.withColumn("hash", F.sha2("content", 256))
 
 
+def _mounted(spark: SparkSession, root: str, most: int) -> DataFrame:
+    """Files of a mounted folder: names are listed on the driver, contents read on executors."""
+    found = []
+    for folder, below, names in os.walk(root):
+        below[:] = sorted(d for d in below if not d.startswith(".") or d == ".github")
+        found += [(os.path.relpath(os.path.join(folder, n), root),) for n in sorted(names)]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:  # one file at a time: contents may be large
+                full = os.path.join(root, path)
+                if os.path.isfile(full) and os.path.getsize(full) <= most:
+                    with open(full, "rb") as f:
+                        data = f.read()
+                    yield pd.DataFrame({"path": [path], "content": [data], "bytes": [len(data)]})
+
+    listed = spark.createDataFrame(found, "path string").repartition(max(1, min(1000, len(found) // 200 + 1)))
+    return listed.mapInPandas(read, "path string, content binary, bytes long")
+
+
 def _quoted(text: str) -> str:
     return r"\Q" + text + r"\E"
 
