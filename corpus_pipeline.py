@@ -33,10 +33,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses all its lines goes; ``n_chars`` follows the text.
     """
-    kept = line_dedup(docs)
-    left = (F.col("n_dropped") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]")
-    kept = kept.where(left).withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept")))
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    kept, same = line_dedup(docs, prefix="line_"), F.col("line_n_dropped") == 0
+    kept = kept.where(same | F.col("line_kept").rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.when(same, F.col("text")).otherwise(F.col("line_kept")))
+    return kept.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

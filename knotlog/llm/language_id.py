@@ -235,11 +235,15 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
+def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, text: str = "text", path: str | None = None, prefix: str = "") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; only the text is looked at.
+
+    ``prefix`` goes before these names, for tables that have such columns.
+    """
     path = path or default_path()
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    out = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    new = [f"{prefix}lang_pred", f"{prefix}score"]
+    kept = [f for f in docs.schema.fields if f.name not in new]
+    out = T.StructType([*kept, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())])
     names = [f.name for f in kept]
     model = docs.sparkSession.sparkContext.broadcast((languages, prob.astype(np.float32)))
     key = f"{path}-{hash(prob.tobytes())}-{languages}"
@@ -252,7 +256,7 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, text: str =
         for whole in batches:
             for batch in slices(whole, text):
                 found, sure = score(batch.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*names, *new])
 
     return docs.mapInArrow(run, out)
 
@@ -265,8 +269,8 @@ def keep_known(docs: DataFrame, learn_from: DataFrame, id: str = "doc_id", text:
     languages, prob = fit(learn_from, id, text, lang)
     if not languages:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    scored = predict(docs, languages, prob, text)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    scored = predict(docs, languages, prob, text, prefix="language_id_")
+    return scored.where((F.col("language_id_lang_pred") != "und") & (F.col("language_id_score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

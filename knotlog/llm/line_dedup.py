@@ -36,29 +36,32 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _UPPER, _UPPER.lower())
 
 
-def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with ``n_lines``, ``n_dropped`` and the text that stays, ``kept``."""
+def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, prefix: str = "") -> DataFrame:
+    """``docs`` with ``n_lines``, ``n_dropped`` and the text that stays, ``kept``.
+
+    ``prefix`` goes before these names, for tables that have such columns.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     mark = F.xxhash64(F.lit(3), F.col(text))
-    lines = docs.select(F.col(id).alias("_id"), mark.alias("_mark"), F.posexplode(F.split(whole, "\n")).alias("_pos", "_line"))
-    keyed = lines.where(F.col("_id").isNotNull() & (F.length("_line") >= min_chars)).withColumn("_key", line_key(F.col("_line"))).where(F.length("_key") >= min_chars)
-    hashed = keyed.select("_id", "_mark", "_pos", F.xxhash64(F.lit(1), "_key").alias("_h1"), F.xxhash64(F.lit(2), "_key").alias("_h2"))
+    lines = docs.select(F.col(id).alias("doc"), mark.alias("mark"), F.posexplode(F.split(whole, "\n")).alias("pos", "line"))
+    keyed = lines.where(F.col("doc").isNotNull() & (F.length("line") >= min_chars)).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
+    hashed = keyed.select("doc", "mark", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
 
-    in_doc = hashed.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one"))
-    frequent = in_doc.groupBy("_h1", "_h2").agg(F.count("_one").alias("_n"), F.max("_id").alias("_last")).where(F.col("_n") >= min_docs).select("_h1", "_h2", "_last")
+    in_doc = hashed.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
+    frequent = in_doc.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last")
     frequent = written(frequent, "frequent-lines")
     if frequent.count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
-    hits = hashed.join(frequent, ["_h1", "_h2"]).where(F.col("_id") != F.col("_last"))
-    dropped = hits.groupBy("_id", "_mark").agg(F.collect_list("_pos").alias("_gone"))
-
-    marked = docs.withColumns({"_id": F.col(id), "_mark": mark}).join(dropped, ["_id", "_mark"], "left")
-    split = F.split(whole, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(F.transform(F.col("_left"), lambda i: F.get(F.col("_split"), i)), "\n"))
-    out = marked.withColumns({"_split": split, "_left": left}).withColumns({"n_lines": F.size("_split").cast("long"), "kept": kept})
-    out = out.withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_split") - F.size("_left")).cast("long"))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")], "n_lines", "n_dropped", "kept")
+    hits = hashed.join(frequent, ["h1", "h2"]).where(F.col("doc") != F.col("last"))
+    dropped = hits.groupBy("doc", "mark").agg(F.collect_list("pos").alias("gone"))
+
+    new = [f"{prefix}{c}" for c in ("n_lines", "n_dropped", "kept")]
+    row = docs.select(F.struct(*[c for c in docs.columns if c not in new]).alias("row"), F.col(id).alias("doc"), mark.alias("mark"), whole.alias("whole"))
+    row = row.join(dropped, ["doc", "mark"], "left").withColumn("split", F.split("whole", "\n"))
+    row = row.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))))
+    kept = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(F.col("left"), lambda i: F.get(F.col("split"), i)), "\n"))
+    n_dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("split") - F.size("left")).cast("long")
+    return row.select("row.*", F.size("split").cast("long").alias(new[0]), n_dropped.alias(new[1]), kept.alias(new[2]))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

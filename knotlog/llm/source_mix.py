@@ -144,14 +144,14 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     Rows with the same id, source and size are interchangeable to the mix; they
     take the copies of such rows in order of their text.
     """
-    taken = mix(docs, id, text, source, weights).groupBy(F.col(id).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    taken = mix(docs, id, text, source, weights).groupBy(F.col(id).alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size")).agg(F.sort_array(F.collect_list("copies")).alias("copies"))
     taken = written(taken, "mix-copies")
-    rows = docs.withColumn("_words", word_count(F.col(text)))
-    same = F.col(id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    rows = rows.join(taken, same)
-    number = F.row_number().over(Window.partitionBy(id, source, "_words").orderBy(text))
-    rows = rows.withColumn("_take", F.get("_copies", F.when(F.size("_copies") == 1, 0).otherwise(number - 1))).where(F.col("_take") > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_take"))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"), word_count(F.col(text)).alias("size"))
+    same = F.col("id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size"))
+    number = F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("text"))
+    take = F.get("copies", F.when(F.size("copies") == 1, 0).otherwise(number - 1))
+    chosen = rows.join(taken, same).withColumn("take", take).where("take > 0")
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "take"))).select("row.*")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
