@@ -727,3 +727,71 @@ def _(s, d):
     order = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "view", 0).otherwise(1), "event_id")
     seen = F.sum(F.when(F.col("event_type") == "view", 1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return e.withColumn("version", seen.cast("long")).where("event_type = 'purchase'").select("event_id", "version")
+
+
+# --- smaller queries -------------------------------------------------------
+
+
+@query("history_excerpt", f"WITH {DECISIONS} SELECT id, substr(id || ': ' || source, 1, 12) AS line FROM decisions")
+def _(s, d):
+    rows = model.decisions(s, d)
+    nothing = F.lit(None).cast("struct<type:string,path:string,src_ref:string,edge_type:string,dst_ref:string,action:string,subject:string>")
+    decision = F.struct(F.concat_ws(": ", "id", "source").alias("title"))
+    return rows.select("id", eventlog.excerpt(F.lit("decision"), nothing, decision, nothing, nothing, nothing, 12).alias("line"))
+
+
+@query("file_history", "SELECT event_id::VARCHAR AS id, '2024 ' || event_type || ' c ' || user_id AS line FROM events WHERE user_id = 3")
+def _(s, d):
+    e = table(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("node_id"), F.lit("2024").alias("timestamp"), F.col("event_type").alias("change_type"), F.lit("c").alias("commit_hash"), F.col("user_id").cast("string").alias("author"))
+    return reports.file_history(e, "3").select("id", "line")
+
+
+@query("inferred_constraints", "SELECT 'go' AS scope, 'should' AS severity UNION ALL SELECT 'infra', 'must'")
+def _(s, d):
+    n = model.nodes(s, d).withColumns({"language": F.when(F.col("language") == "fr", "Go").otherwise(F.col("language")), "class": F.lit("infra")})
+    return reports.inferred_constraints(n).select("scope", "severity")
+
+
+@query("json_ingest", "SELECT 'n' || doc_id AS id, lang AS content FROM documents WHERE doc_id % 5 <> 0")
+def _(s, d):
+    from knotlog.sources.collections import from_json
+
+    good = F.to_json(F.struct(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("content")))
+    rows = table(s, d, "documents").select(F.when(F.col("doc_id") % 5 == 0, F.lit("{broken")).otherwise(good).alias("value"))
+    return from_json(rows, "notes").select("id", "content")
+
+
+@query("rerank_cosine", "SELECT vec_id, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS cosine FROM embeddings")
+def _(s, d):
+    from knotlog.plans.requests import rerank
+
+    e = table(s, d, "embeddings")
+    ref = F.col("vec_id").cast("string").alias("ref")
+    found = rerank(e.select(ref, "vec_id", F.lit(0.0).alias("score")), e.select(ref, "embedding"), [1.0] + [0.0] * 63)
+    return found.select("vec_id", F.round("cosine", 5).alias("cosine"))
+
+
+@query("proactive_context", f"""{_LINKED}, own AS (SELECT DISTINCT l.id, l.severity FROM linked l JOIN (SELECT file_path FROM nodes WHERE module = 'src12') n ON contains(',' || l.files || ',', ',' || file_path || ','))
+SELECT 'rules' AS section, severity || ' ' || id AS text FROM (SELECT * FROM own ORDER BY CASE severity WHEN 'must' THEN 1 WHEN 'should' THEN 2 ELSE 3 END, id LIMIT 10)
+UNION ALL SELECT 'warnings', id FROM (SELECT * FROM own WHERE severity = 'must' ORDER BY id LIMIT 10)""")
+def _(s, d):
+    from knotlog.operators.prompts import proactive
+
+    dec = _decisions_linked(s, d).withColumn("title", F.col("id"))
+    none = s.createDataFrame([], "node_id string, timestamp string, change_type string")
+    return proactive("tell me of src12", model.nodes(s, d), dec, none).select("section", "text")
+
+
+@query("session_served_order", f"WITH {CALLS}, f AS (SELECT session, ref, min((created_at, call)) AS o FROM calls GROUP BY 1, 2) SELECT session, string_agg(ref, ',' ORDER BY o) AS served FROM f GROUP BY 1")
+def _(s, d):
+    from knotlog.streaming.collector import served_in_order
+
+    rows = model.served(s, d).withColumn("served", F.array("ref")).drop("ref")
+    return served_in_order(rows).select("session", F.array_join("served", ",").alias("served"))
+
+
+@query("observation_links", f"WITH {CALLS} SELECT 'o:' || session AS src_ref, 'contains' AS edge_type, 'o:' || call AS dst_ref FROM calls UNION ALL SELECT 'o:' || call, 'belongs_to', 'o:' || session FROM calls UNION ALL SELECT 'o:' || call, 'served', ref FROM calls")
+def _(s, d):
+    from knotlog.streaming.collector import call_links
+
+    return call_links(model.served(s, d).withColumn("served", F.array("ref"))).select("src_ref", "edge_type", "dst_ref")

@@ -74,3 +74,20 @@ def test_requests(spark):
     assert [r["ref"] for r in requests.rerank(sections, vectors, [1.0, 0.1]).collect()] == ["y", "x", "z"]
     assert requests.served_so_far(["a", "b"], ["b", "c"]) == ["a", "b", "c"]
     assert requests.branch_mismatch("a", "b") and not requests.branch_mismatch("a", "a")
+
+
+def test_broker():
+    from knotlog.streaming.broker import Broker
+
+    b, seen = Broker(), []
+    stop = b.subscribe("t", seen.append)
+    b.subscribe("t", lambda e: 1 / 0)
+    assert b.publish("t", 1) == 1 and seen == [1]
+    stop()
+    assert b.publish("t", 2) == 0 and seen == [1]
+
+
+def test_prompt_sections():
+    from knotlog.operators.prompts import sections
+
+    assert sections(["a", "nope", "b"], {"b": lambda: "B", "a": lambda: "A"}) == ["A", "B"]
