@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotlog.functions.text import tokenize
+from knotlog.sources.scratch import written
 
 K1, B = 1.2, 0.75
 
@@ -27,7 +28,7 @@ def query_terms(query: str) -> list[str]:
     """Distinct terms of a query, as the tokenizer makes them."""
     from pyspark.sql import SparkSession
 
-    row = SparkSession.getActiveSession().range(1).select(F.array_distinct(tokenize(F.lit(query))).alias("t")).first()
+    row = SparkSession.getActiveSession().range(1, numPartitions=1).select(F.array_distinct(tokenize(F.lit(query))).alias("t")).first()
     return list(row["t"])
 
 
@@ -41,6 +42,7 @@ def bm25(docs: DataFrame, query: str, id: str = "doc_id", text: str = "text", de
     """
     terms = query_terms(query)
     tokens = docs.select(F.col(id).alias("doc_id"), tokenize(F.col(text)).alias("_t")).select("doc_id", F.size("_t").alias("dl"), F.filter("_t", lambda t: t.isin(terms) if terms else F.lit(False)).alias("_hits"))
+    tokens = written(tokens, "search")  # texts are read and tokenized once; what stays is a length and the hits
     counted = tokens
     if deleted is not None:
         tokens = tokens.join(deleted.select("doc_id"), "doc_id", "left_anti")
