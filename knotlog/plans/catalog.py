@@ -301,10 +301,10 @@ def _(s, d):
     return model.decisions(s, d).select("id", scoring.severity(F.lit("decision"), F.col("severity")).alias("score"))
 
 
-@query("score_proximity", f"WITH {NODES} SELECT id, CASE WHEN file_path = 'src3/doc_3' THEN 1.0 WHEN module IN ('src3', 'src4') THEN 0.5 ELSE 0.2 END::DOUBLE AS score FROM nodes WHERE file_path <> 'src4/doc_24'")
+@query("score_proximity", f"WITH {NODES} SELECT id, CASE WHEN file_path IN ('src3/doc_3', 'src4/doc_24') THEN 1.0 WHEN module IN ('src3', 'src4') THEN 0.5 ELSE 0.2 END::DOUBLE AS score FROM nodes")
 def _(s, d):
     files = F.array(F.lit("src3/doc_3"), F.lit("src4/doc_24"))
-    return model.nodes(s, d).where("file_path <> 'src4/doc_24'").select("id", scoring.proximity(F.col("file_path"), files).alias("score"))
+    return model.nodes(s, d).select("id", scoring.proximity(F.col("file_path"), files).alias("score"))
 
 
 @query("score_novelty", f"WITH {CALLS} SELECT call, CASE WHEN ref IN ('e:d/0', 'e:d/14') THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM calls")
@@ -619,10 +619,10 @@ def _(s, d):
 # --- federation ------------------------------------------------------------
 
 
-@query("fed_union_dedup", "SELECT DISTINCT source AS _repo, lang AS id FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3')")
+@query("fed_union_dedup", "SELECT DISTINCT source AS _repo, lang AS id FROM documents")
 def _(s, d):
     docs = table(s, d, "documents").select(F.col("lang").alias("id"), "source")
-    parts = {r: docs.where(F.col("source") == r).select("id") for r in ("src0", "src1", "src2", "src3")}
+    parts = {r: docs.where(F.col("source") == r).select("id") for r in (f"src{i}" for i in range(20))}
     return federation.union_repos(parts).select("_repo", "id")
 
 
