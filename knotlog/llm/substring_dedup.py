@@ -131,32 +131,66 @@ def _probes(buckets: int, block: int):
     return run
 
 
-_PROBES = "bucket long, seen binary, twice binary, blocks binary, docs binary, local binary, number binary"
+def _send(ids: np.ndarray, marks: np.ndarray, values: np.ndarray, to: int) -> Iterator[pa.RecordBatch]:
+    """Values of documents as packs, one for each of ``to`` places that some go to."""
+    place = ((mix(ids.astype(np.uint64) ^ mix(marks.astype(np.uint64))) >> np.uint64(32)) * np.uint64(to) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((values, marks, ids, place))
+    ids, marks, values, place = ids[order], marks[order], values[order], place[order]
+    edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]) if len(place) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        d, m = ids[a:b], marks[a:b]
+        head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (m[1:] != m[:-1])])
+        count = np.diff(np.r_[head, b - a]).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([place[a]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (d[head], m[head], count, values[a:b].astype(np.int32))]], ["place", "ids", "marks", "count", "items"])
+
+
+_SENT = "place long, ids binary, marks binary, count binary, items binary"
 
 
-def _anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of one bucket that occur at another place too, by document."""
+def _received(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of one place as one row for each document."""
     packs = [r for b in rows for r in b.to_pylist()]
-    seen = np.sort(np.concatenate([unpack(p["seen"]) for p in packs]))
-    many = np.unique(np.concatenate([seen[1:][seen[1:] == seen[:-1]], *[unpack(p["twice"]) for p in packs]]))
-    del seen
-    for p in packs:
-        blocks = unpack(p["blocks"])
-        if not len(blocks) or not len(many):
-            continue
-        at = np.minimum(np.searchsorted(many, blocks), len(many) - 1)
-        hit = np.flatnonzero(many[at] == blocks)
-        if not len(hit):
-            continue
-        n = len(p["docs"]) // 16
-        ids, marks = np.frombuffer(p["docs"], np.int64)[:n], np.frombuffer(p["docs"], np.int64)[n:]
-        local = np.frombuffer(p["local"], np.uint16 if n < 65536 else np.uint32)[hit].astype(np.int64)
-        number = np.frombuffer(p["number"], np.uint32)[hit]
-        order = np.lexsort((number, local))
-        local, number = local[order], number[order]
-        head = np.flatnonzero(np.r_[True, local[1:] != local[:-1]])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(local)].astype(np.int32)), pa.array(number.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[local[head]]), pa.array(marks[local[head]]), lists], ["id", "mark", "number"])
+    count = np.concatenate([np.frombuffer(p["count"], np.uint32) for p in packs])
+    ids, marks = (np.repeat(np.concatenate([np.frombuffer(p[c], np.int64) for p in packs]), count) for c in ("ids", "marks"))
+    items = np.concatenate([np.frombuffer(p["items"], np.int32) for p in packs])
+    order = np.lexsort((items, marks, ids))
+    ids, marks, items = ids[order], marks[order], items[order]
+    head = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])
+    for x in range(0, len(head), 20_000):
+        own = head[x : x + 20_000]
+        end = head[x + 20_000] if x + 20_000 < len(head) else len(ids)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[own, end].astype(np.int32) - np.int32(own[0])), pa.array(items[own[0] : end]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(marks[own]), lists], ["id", "mark", "items"])
+
+
+_PROBES = "bucket long, seen binary, twice binary, blocks binary, docs binary, local binary, number binary"
+
+
+def _anchors(to: int):
+    """Blocks of one bucket that occur at another place too, packed by document."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = [r for b in rows for r in b.to_pylist()]
+        seen = np.sort(np.concatenate([unpack(p["seen"]) for p in packs]))
+        many = np.unique(np.concatenate([seen[1:][seen[1:] == seen[:-1]], *[unpack(p["twice"]) for p in packs]]))
+        del seen
+        out = []
+        for p in packs:
+            blocks = unpack(p["blocks"])
+            if not len(blocks) or not len(many):
+                continue
+            at = np.minimum(np.searchsorted(many, blocks), len(many) - 1)
+            hit = np.flatnonzero(many[at] == blocks)
+            if not len(hit):
+                continue
+            n = len(p["docs"]) // 16
+            both = np.frombuffer(p["docs"], np.int64)
+            local = np.frombuffer(p["local"], np.uint16 if n < 65536 else np.uint32)[hit].astype(np.int64)
+            out.append((both[:n][local], both[n:][local], np.frombuffer(p["number"], np.uint32)[hit].astype(np.int64)))
+        if out:
+            yield from _send(*(np.concatenate(x) for x in zip(*out, strict=True)), to)
+
+    return run
 
 
 def _windows(buckets: int, block: int):
@@ -192,7 +226,7 @@ def _windows(buckets: int, block: int):
                     a, n = int(words.first[i]), int(words.count[i])
                     if n < size or not numbers[i]:
                         continue
-                    at = np.unique(np.concatenate(numbers[i]))[:, None] * block + np.arange(-block, 1)[None, :]
+                    at = np.asarray(numbers[i], np.int64)[:, None] * block + np.arange(-block, 1)[None, :]
                     at = np.unique(at[(at >= 0) & (at <= n - size)])
                     held.append((h[a + at], (g[a + at] >> np.uint64(32)).astype(np.uint32), at, ids[i], marks[i]))
                     n_held += len(at)
@@ -208,38 +242,34 @@ def _windows(buckets: int, block: int):
 _WINDOWS = "bucket long, h binary, g binary, docs binary, local binary, start binary"
 
 
-def _repeats(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of one bucket that also start earlier, by document."""
-    packs = [r for b in rows for r in b.to_pylist()]
-    h = np.concatenate([np.frombuffer(p["h"], np.uint64) for p in packs])
-    g = np.concatenate([np.frombuffer(p["g"], np.uint32) for p in packs])
-    start = np.concatenate([np.frombuffer(p["start"], np.uint32) for p in packs]).astype(np.int64)
-    ids, marks = [], []
-    for p in packs:
-        n = len(p["docs"]) // 16
-        both = np.frombuffer(p["docs"], np.int64)
-        local = np.frombuffer(p["local"], np.uint16 if n < 65536 else np.uint32).astype(np.int64)
-        ids.append(both[:n][local])
-        marks.append(both[n:][local])
-    doc, mark = np.concatenate(ids), np.concatenate(marks)
-    del packs, ids, marks
-    order = np.lexsort((start, mark, doc, g, h))
-    same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
-    later = order[1:][same]
-    # a repeated row stands at the same place as its first copy: no earlier start
-    first = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0))
-    lead = order[first[1:][same]]
-    later = later[(doc[lead] != doc[later]) | (mark[lead] != mark[later]) | (start[lead] != start[later])]
-    if not len(later):
-        return
-    order = later[np.lexsort((start[later], mark[later], doc[later]))]
-    d, m, s = doc[order], mark[order], start[order]
-    head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (m[1:] != m[:-1])])
-    for x in range(0, len(head), 20_000):
-        own = head[x : x + 20_000]
-        end = head[x + 20_000] if x + 20_000 < len(head) else len(d)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[own, end].astype(np.int32) - np.int32(own[0])), pa.array(s[own[0] : end].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(m[own]), lists], ["id", "mark", "start"])
+def _repeats(to: int):
+    """Windows of one bucket that also start earlier, packed by document."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = [r for b in rows for r in b.to_pylist()]
+        h = np.concatenate([np.frombuffer(p["h"], np.uint64) for p in packs])
+        g = np.concatenate([np.frombuffer(p["g"], np.uint32) for p in packs])
+        start = np.concatenate([np.frombuffer(p["start"], np.uint32) for p in packs]).astype(np.int64)
+        ids, marks = [], []
+        for p in packs:
+            n = len(p["docs"]) // 16
+            both = np.frombuffer(p["docs"], np.int64)
+            local = np.frombuffer(p["local"], np.uint16 if n < 65536 else np.uint32).astype(np.int64)
+            ids.append(both[:n][local])
+            marks.append(both[n:][local])
+        doc, mark = np.concatenate(ids), np.concatenate(marks)
+        del packs, ids, marks
+        order = np.lexsort((start, mark, doc, g, h))
+        same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
+        later = order[1:][same]
+        # a repeated row stands at the same place as its first copy: no earlier start
+        first = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0))
+        lead = order[first[1:][same]]
+        later = later[(doc[lead] != doc[later]) | (mark[lead] != mark[later]) | (start[lead] != start[later])]
+        if len(later):
+            yield from _send(doc[later], mark[later], start[later], to)
+
+    return run
 
 
 def _cut(size: int, text_out: str):
@@ -253,7 +283,7 @@ def _cut(size: int, text_out: str):
                 gone = np.zeros(len(words) + 1, np.int64)
                 for i, starts in enumerate(batch.column("start").to_pylist()):
                     if starts:
-                        at = np.unique(np.concatenate(starts)) + words.first[i]
+                        at = np.unique(np.asarray(starts, np.int64)) + words.first[i]
                         gone[at] += 1
                         gone[at + size] -= 1
                 gone = np.cumsum(gone[:-1]) > 0
@@ -272,13 +302,13 @@ def _cut(size: int, text_out: str):
 
 
 def _of(function, schema: str):
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "array<int>": pa.list_(pa.int32())}
-    empty = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
+    """A function of a group's batches for ``applyInArrow``."""
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    form = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
 
     def run(t: pa.Table) -> pa.Table:
-        got = list(function(iter(t.to_batches())))
-        return pa.Table.from_batches([b.cast(empty) if b.schema != empty else b for b in got], empty).select(names) if got else empty.empty_table()
+        got = [b.cast(form) for b in function(iter(t.to_batches()))]
+        return pa.Table.from_batches(got, form)
 
     return run
 
@@ -290,14 +320,14 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", blo
     letters = known.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-letters // (6 * BUCKET_WORDS)))
 
-    probes = known.mapInArrow(_probes(buckets, block), _PROBES)
-    anchors = probes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_of(_anchors, "id long, mark long, number array<int>"), "id long, mark long, number array<int>")
-    anchors = written(anchors, "substring-anchors")
-    per_doc = anchors.groupBy("id", "mark").agg(F.collect_list("number").alias("number"))
-    spans = known.join(per_doc, ["id", "mark"]).mapInArrow(_windows(buckets, block), _WINDOWS)
-    repeats = spans.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_of(_repeats, "id long, mark long, start array<int>"), "id long, mark long, start array<int>")
-    repeats = written(repeats, "substring-repeats")
-    starts = repeats.groupBy("id", "mark").agg(F.collect_list("start").alias("start"))
+    def gathered(packs: DataFrame, function, items: str, label: str) -> DataFrame:
+        sent = packs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_of(function(buckets), _SENT), _SENT)
+        form = "id long, mark long, items array<int>"
+        per_doc = sent.repartition(buckets, "place").groupBy("place").applyInArrow(_of(_received, form), form)
+        return written(per_doc.withColumnRenamed("items", items), label)
+
+    anchors = gathered(known.mapInArrow(_probes(buckets, block), _PROBES), _anchors, "number", "substring-anchors")
+    starts = gathered(known.join(anchors, ["id", "mark"]).mapInArrow(_windows(buckets, block), _WINDOWS), _repeats, "start", "substring-repeats")
     out = own.join(starts, ["id", "mark"], "left").select("id", "text", "start").mapInArrow(_cut(2 * block, "kept"), "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id)
 
