@@ -11,38 +11,49 @@ from pyspark.sql import functions as F
 from knotlog.llm._common import written
 
 
+#: Links that one task contracts at most (two longs each); more go by rounds.
+SMALL_LINKS = 500_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each batch as links to the smallest node that they reach there."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """A partition's links as links to the smallest node that they reach there."""
+    parent: dict[int, int] = {}
 
-        def root(x: int, parent: dict[int, int] = parent) -> int:
-            top = x
-            while (up := parent.setdefault(top, top)) != top:
-                top = up
-            while parent[x] != top:
-                parent[x], x = top, parent[x]
-            return top
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        pairs = [(x, r) for x in parent if (r := root(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
+    pairs = [(x, r) for x in parent if (r := root(x)) != x]
+    for i in range(0, len(pairs), 50_000):
+        part = pairs[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["u", "v"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` of every linked node; the component is its smallest id.
 
-    ``links`` has two columns of longs.  Batches are contracted where they lie,
-    then large-star and small-star steps alternate until nothing changes: a
-    number of rounds that grows with the logarithm of the longest chain.  Each
-    round is written to the shared folder; only a row of sums reaches the driver.
+    ``links`` has two columns of longs.  Partitions are contracted where they
+    lie.  If no more than ``SMALL_LINKS`` are left, counted first, one task
+    contracts them; otherwise large-star and small-star steps alternate until
+    nothing changes: a number of rounds that grows with the logarithm of the
+    longest chain.  Each round is written to the shared folder; only a row of
+    sums reaches the driver.
     """
     a, b = links.columns
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     edges = written(edges.mapInArrow(_contract, "u long, v long").distinct(), "links")
+    if edges.count() <= SMALL_LINKS:
+        stars = edges.repartition(1).mapInArrow(_contract, "u long, v long").withColumnsRenamed({"u": "id", "v": "component"})
+        return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
