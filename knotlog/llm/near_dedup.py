@@ -10,9 +10,10 @@ signatures agree often enough are confirmed on their full shingle sets.
 
 Rounds keep the number of candidates linear in a group of near copies: the
 first takes a few orders and links each row to its best neighbour; the second
-takes all orders and links rows to the best neighbour of another component;
-the third takes all neighbours of other components and, for each dense
-stretch, its most central row.  Pairs once refused are not tried again.
+takes all orders and links each row to its best neighbour of another component;
+the third looks wider and takes the best two of other components in each order
+and, for each dense stretch, its most central row.  Pairs once refused are not
+tried again.
 
 Scale: a signature is ``ORDERS * DEPTH`` two-byte values.  Rows that share no
 prefix in any order drop out before signatures are copied.  Sort orders are
@@ -127,7 +128,7 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(mode: int, percent: int):
-    """Pairs of sorted rows: 1 best neighbour, 2 best of another component, 3 all of others."""
+    """Pairs of sorted rows: 1 best neighbour before, 2 best of another component, 3 the best two, wider."""
     p = percent / 100
     least = int(VALUES * p - SLACK * (VALUES * p * (1 - p)) ** 0.5)
 
@@ -141,7 +142,6 @@ def _candidates(mode: int, percent: int):
         start = np.r_[True, (order[1:] != order[:-1]) | (sig[1:, :DEPTH] != sig[:-1, :DEPTH]).any(axis=1)]
         region = np.cumsum(start) - 1
         a, b = [], []
-        best, best_at = np.zeros(n, np.int64), np.full(n, -1)
 
         def agreeing(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
@@ -151,6 +151,16 @@ def _candidates(mode: int, percent: int):
                 out[p] = (sig[i[p]] == sig[j[p]]).sum(axis=1)
             return out
 
+        top = 2 if mode == 3 else 1
+        best, best_at = np.zeros((top, n), np.int64), np.full((top, n), -1)
+
+        def offer(i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> None:
+            for k in range(top):  # a better one takes the place and hands the old one down
+                up = agree > best[k, i]
+                old, old_at = best[k, i], best_at[k, i]
+                best[k, i], best_at[k, i] = np.where(up, agree, old), np.where(up, j, old_at)
+                agree, j = np.where(up, old, agree), np.where(up, old_at, j)
+
         for w in range(1, (WIDE if mode == 3 else NEAR) + 1):
             i = np.arange(w, n)
             i = i[(region[i] == region[i - w]) & ((comp[i] != comp[i - w]) if mode > 1 else True)]
@@ -158,16 +168,15 @@ def _candidates(mode: int, percent: int):
                 continue
             agree = agreeing(i, i - w)
             ok = agree >= least
-            if mode == 3:
-                a.append(ids[i[ok]])
-                b.append(ids[i[ok] - w])
-            else:
-                better = i[ok & (agree > best[i])]
-                best[better], best_at[better] = agree[ok & (agree > best[i])], better - w
-        if mode < 3:
-            i = np.flatnonzero(best_at >= 0)
-            a, b = [ids[i]], [ids[best_at[i]]]
-        else:  # the most central row of each stretch wider than the neighbourhood
+            i, agree = i[ok], agree[ok]
+            offer(i, i - w, agree)
+            if mode > 1:
+                offer(i - w, i, agree)
+        for k in range(top):
+            i = np.flatnonzero(best_at[k] >= 0)
+            a.append(ids[i])
+            b.append(ids[best_at[k, i]])
+        if mode == 3:  # the most central row of each stretch wider than the neighbourhood
             heads = np.flatnonzero(start)
             for x, y in zip(heads.tolist(), [*heads[1:].tolist(), n], strict=True):
                 if y - x > WIDE and (comp[x:y] != comp[x]).any():
@@ -224,13 +233,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = written(found, f"near-candidates{mode}")
+        if links is not None and found.isEmpty():
+            continue
         one = found.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a")
         two = one.join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
         both = F.size(F.array_intersect("sa", "sb"))
         checked = two.select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("ok"))
         new = written(checked.where("ok").select("a", "b"), f"near-links{mode}")
-        links = new if links is None else links.union(new)
         tried = found if tried is None else tried.union(found)
+        if links is not None and new.isEmpty():
+            continue
+        links = new if links is None else links.union(new)
         comp = written(components(links), f"near-components{mode}")
 
     member = classes.select("h1", "h2", "n", "rep").join(comp, F.col("rep") == comp["id"], "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"))
