@@ -15,15 +15,26 @@ the third looks wider and takes the best two of other components in each order
 and, for each dense stretch, its most central row.  Pairs once refused are not
 tried again.
 
+The rounds only make few components of many rows; what they miss is found by an
+exact prefix-filtered join.  Shingles have one fixed order, from the rarest of a
+sample to the commonest; two sets over the threshold share one of the first
+``n - ceil(n * percent / 100) + 1`` of each.  Only lists of a shingle that have
+rows of several components are kept, and in them only pairs of different
+components whose sizes and places in the order allow the overlap.  A list with
+few such pairs a row gives them to the full-set check; a dense one is checked
+where it lies on its full sets and gives the links that join components, fewer
+than its rows.  A list too large for a task is cut in chunks, and each two of
+them meet in one cell.
+
 Scale: a signature is ``ORDERS * DEPTH`` two-byte values.  Rows that share no
 prefix in any order drop out before signatures are copied.  Sort orders are
 dealt by range with the id as last key, so a group with equal signatures is
 split over tasks.  A broadcast only happens behind a count.  Components come
 from star contraction; nothing but counts reaches the driver.
 
-Recall: a pair with similarity s shares ``DEPTH`` values in none of ``ORDERS``
-orders with probability ``(1 - s**DEPTH) ** ORDERS`` (at 0.85: 4e-7), and agrees
-in too few of all values with probability 5e-6 (``SLACK``).
+Recall: links are complete but for collisions of 64-bit hashes; the rounds and
+their bounds (``NEAR``, ``WIDE``, ``SLACK``, borders of stretches) only decide how
+much is left to the join.
 
 Defined cases: a null, empty or wordless text has no shingles and is linked
 with nothing; fewer words than a shingle make one shingle of them all; rows
@@ -53,6 +64,14 @@ NEAR, WIDE = 8, 32
 FIRST = 4
 #: Rows of a sorted stretch that a task holds, about.
 STRETCH_ROWS = 50_000
+#: Documents whose shingles are counted for their order, about, and the commonest that are known.
+SAMPLE_DOCS, COMMON = 10_000, 50_000
+#: Candidates a row from which a list is checked where it lies.
+DENSE = 4
+#: Rows and shingles of a chunk of a list, about.
+CHUNK_ROWS, CHUNK_SHINGLES = 2_000, 1_000_000
+#: Rows of lists that a task holds, about.
+LIST_ROWS = 200_000
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -85,8 +104,30 @@ def signature(shingles: np.ndarray) -> bytes:
     return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2").tobytes()
 
 
-def signatures(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """``id, n, h1, h2, sig`` of every row; the hashes stand for the set."""
+def common_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a bounded sample, sorted, and their counts there."""
+    total = docs.count()
+    some = docs.sample(fraction=min(1.0, SAMPLE_DOCS / total), seed=85) if total else docs
+    counts = _sets(some.select(F.lit(0).cast("long").alias("id"), F.col(text).alias("text")), width).select(F.explode("shingles").alias("s")).groupBy("s").count()
+    got = counts.where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).toArrow()
+    key, count = got.column("s").to_numpy().astype(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(key)
+    return key[order], count[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The first shingles in the fixed order, one of which any similar set has in its own."""
+    key, count = common
+    often = np.zeros(len(shingles), np.int64)
+    if len(key):
+        at = np.minimum(np.searchsorted(key, shingles), len(key) - 1)
+        often = np.where(key[at] == shingles, count[at], 0)
+    return shingles[np.lexsort((shingles, often))[: len(shingles) + 1 + -len(shingles) * percent // 100]]
+
+
+def signatures(docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
+    """``id, n, h1, h2, sig, prefix`` of every row; the hashes stand for the set."""
+    common = common_shingles(docs, text, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -95,9 +136,12 @@ def signatures(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
                 h1 = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 h2 = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 sig = [signature(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "h1", "h2", "sig"])
+                first = [prefix(s, common, percent).astype(np.int64) if len(s) else s.astype(np.int64) for s in sets]
+                offs = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offs, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), lists], ["id", "n", "h1", "h2", "sig", "prefix"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary, prefix array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -200,14 +244,132 @@ def _candidates(mode: int, percent: int):
     return run
 
 
+def _possible(percent: int):
+    """Pairs of different components in sorted cells that may be links; of a dense cell its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _read(batches)
+        if t is None:
+            return
+        cell, ids, comp, n, pos = (t.column(c).to_numpy() for c in ("cell", "id", "comp", "n", "pos"))
+        heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        rows = np.diff(np.r_[heads, len(cell)])
+        which = np.repeat(np.arange(len(heads)), rows)
+        rank = np.arange(len(cell)) - heads[which]
+        found = np.zeros(len(heads), np.int64)
+        i, w, a, b = np.arange(len(cell)), 0, [], []
+        while len(i):
+            w += 1
+            i = i[rank[i] >= w]
+            i = i[(100 * n[i - w] >= percent * n[i]) & (found[which[i]] <= DENSE * rows[which[i]])]
+            j = i - w
+            most = np.minimum(n[i] - pos[i], n[j] - pos[j])  # where this is the first shingle in common
+            ok = (comp[i] != comp[j]) & ((100 + percent) * most >= percent * (n[i] + n[j]))
+            np.add.at(found, which[i[ok]], 1)
+            a.append(i[ok])
+            b.append(j[ok])
+        dense = found > DENSE * rows
+        a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+        few = ~dense[which[a]]
+        a, b = ids[a[few]], ids[b[few]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        for x in range(0, len(pairs), 100_000):
+            p = pairs[x : x + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.nulls(len(p), pa.int64())], ["a", "b", "cell"])
+        i = np.flatnonzero(dense[which])
+        for x in range(0, len(i), 100_000):
+            p = i[x : x + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.nulls(len(p), pa.int64()), pa.array(cell[p])], ["a", "b", "cell"])
+
+    return run
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets."""
+    m = len(sets)
+    out = np.zeros((m, m), np.float32)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((row, token))
+    row, token = row[order], token[order]
+    seldom = count[token] <= 32
+    r, k = row[seldom], token[seldom]
+    for w in range(1, 32):
+        same = np.flatnonzero(k[w:] == k[:-w])
+        if not len(same):
+            break
+        np.add.at(out, (r[same], r[same + w]), 1)
+        np.add.at(out, (r[same + w], r[same]), 1)
+    r, (_, k) = row[~seldom], np.unique(token[~seldom], return_inverse=True)
+    for x in range(0, int(k.max()) + 1 if len(k) else 0, 2048):
+        lo, hi = np.searchsorted(k, [x, x + 2048])
+        has = np.zeros((m, 2048), np.float32)
+        has[r[lo:hi], k[lo:hi] - x] = 1
+        out += has @ has.T
+    return out
+
+
+def _joining(percent: int):
+    """Links of sorted dense cells that join components there, from full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _read(batches)
+        if t is None:
+            return
+        cell, ids, comp = (t.column(c).to_numpy() for c in ("cell", "id", "comp"))
+        lists = t.column("shingles").combine_chunks()
+        flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
+        heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        a, b = [], []
+        for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(cell)], strict=True):
+            n = np.diff(offs[x : y + 1]).astype(np.int64)
+            both = overlaps([flat[offs[k] : offs[k + 1]] for k in range(x, y)])
+            label = comp[x:y].copy()
+            for i in range(y - x):
+                j = np.flatnonzero((label != label[i]) & ((100 + percent) * both[i].astype(np.int64) >= percent * (n[i] + n)))
+                others, at = np.unique(label[j], return_index=True)
+                if len(others):
+                    a += [ids[x + i]] * len(others)
+                    b += ids[x + j[at]].tolist()
+                    label[np.isin(label, others)] = label[i]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _cells(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``cell, id, comp, n, pos`` of ``id, comp, n, prefix`` in lists of several components, and how many."""
+    spots = rows.select("id", "comp", "n", F.posexplode("prefix").alias("pos", "key"))
+    lists = spots.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    chunks = F.greatest(F.ceil(F.col("rows") / CHUNK_ROWS), F.ceil(F.col("all") / CHUNK_SHINGLES)).cast("int")
+    lists = written(lists.select("key", "rows", chunks.alias("chunks")), "near-lists")
+    total = lists.agg(F.sum(F.col("rows") * F.greatest(F.col("chunks") - 1, F.lit(1)))).first()[0] or 0
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: (F.col("chunks") == 1) | (c != F.col("own")))
+    cell = F.explode(F.transform(others, lambda c: F.xxhash64("key", F.least(c, "own"), F.greatest(c, "own"))))
+    return spots.join(lists, "key").withColumn("own", own).select(cell.alias("cell"), "id", "comp", "n", "pos"), total
+
+
+def _likely(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes allow the overlap.
+
+    A shingle in common lies in both prefixes or, of the set whose prefix ends
+    first, after it.
+    """
+    side = lambda x: rows.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``id, n_shingles, component_id`` of every row (at 80 % of 5-word shingles).
 
     Pairs with ``100 * intersection >= percent * union`` are links.
     """
     spark = docs.sparkSession
-    rows = written(signatures(docs, id, text, width), "near-signatures")
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    rows = written(signatures(docs, id, text, width, percent), "near-signatures")
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
     classes = written(classes, "near-classes")
     total = classes.count()
 
@@ -219,8 +381,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     n_sharing = sharing.count()
     small = F.broadcast if n_sharing <= BROADCAST_ROWS else (lambda df: df)
     active = written(classes.select(F.col("rep").alias("id"), "n", "sig").join(small(sharing), "id", "left_semi"), "near-active")
-    wanted = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(small(sharing), "id", "left_semi")
-    sets = written(_sets(wanted, width), "near-sets")
+    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    sets = written(_sets(texts.join(small(sharing), "id", "left_semi"), width), "near-sets")
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        one = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a")
+        two = one.join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return two.select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("ok")).where("ok").select("a", "b")
 
     links = tried = None
     comp = spark.createDataFrame([], "id long, component long")
@@ -235,17 +403,30 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         found = written(found, f"near-candidates{mode}")
         if links is not None and found.isEmpty():
             continue
-        one = found.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a")
-        two = one.join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
-        both = F.size(F.array_intersect("sa", "sb"))
-        checked = two.select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("ok"))
-        new = written(checked.where("ok").select("a", "b"), f"near-links{mode}")
+        new = written(linked(found, sets), f"near-links{mode}")
         tried = found if tried is None else tried.union(found)
         if links is not None and new.isEmpty():
             continue
         links = new if links is None else links.union(new)
         comp = written(components(links), f"near-components{mode}")
 
+    labelled = classes.select(F.col("rep").alias("id"), "n", "prefix").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    cells, total = _cells(labelled)
+    if total:
+        cells = cells.repartition(-(-total // LIST_ROWS), "cell").sortWithinPartitions("cell", "n", "id")
+        rest = written(cells.mapInArrow(_possible(percent), "a long, b long, cell long"), "near-rest")
+        pairs = written(_likely(rest.where("cell IS NULL").select("a", "b").distinct(), labelled, percent), "near-rest-pairs")
+        dense = rest.where("cell IS NOT NULL").select(F.col("a").alias("id"), "cell").distinct()
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("id")).distinct(), "near-rest-ids")
+        small = F.broadcast if ids.count() <= BROADCAST_ROWS else (lambda df: df)
+        sets = written(_sets(texts.join(small(ids), "id", "left_semi"), width), "near-rest-sets")
+        n_dense = dense.count()
+        labels = labelled.select("id", "comp")
+        packed = dense.join(labels, "id").join(sets, "id").repartition(max(1, n_dense // CHUNK_ROWS), "cell").sortWithinPartitions("cell", "id")
+        new = written(linked(pairs, sets).union(packed.mapInArrow(_joining(percent), "a long, b long")), "near-rest-links")
+        if not new.isEmpty():
+            comp = written(components(new if links is None else links.union(new)), "near-components")
+
     member = classes.select("h1", "h2", "n", "rep").join(comp, F.col("rep") == comp["id"], "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"))
     member = written(member, "near-members")
     out = rows.join(member, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")

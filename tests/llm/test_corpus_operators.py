@@ -104,6 +104,34 @@ def test_near_large_group(spark):
     assert {r["component_id"] for r in got} == set(brute_near(rows, 3, 85).values())
 
 
+def sparse_family(seed, size, words=120):
+    """Texts of one template whose similarities lie around the threshold."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(size):
+        own = [f"t{k}" for k in range(words)]
+        for _ in range(rnd.randrange(2, 8)):
+            own[rnd.randrange(words)] = f"w{rnd.randrange(5000)}"
+        rows.append((i, " ".join(own), "s"))
+    return rows
+
+
+def test_near_sparse_links(spark):
+    """Links far apart in every sort order are found as well."""
+    rows = sparse_family(7, 1000)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOC), width=3, percent=85).collect()
+    want = brute_near(rows, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: want.get(d, d) for d, *_ in rows}
+
+
+def test_overlaps():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(np.r_[rnd.integers(0, 90, 60), rnd.integers(100, 9000, 80)]) for _ in range(70)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = near_dedup.overlaps(sets)
+    assert [[x for j, x in enumerate(r) if i != j] for i, r in enumerate(got.tolist())] == [[x for j, x in enumerate(r) if i != j] for i, r in enumerate(want)]
+
+
 def test_near_empty(spark):
     none = spark.createDataFrame([], DOC)
     assert near_dedup.near_duplicates(none).count() == 0
