@@ -124,6 +124,16 @@ def test_near_sparse_links(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: want.get(d, d) for d, *_ in rows}
 
 
+def test_near_borders(spark, monkeypatch):
+    """Neither borders of stretches nor chunks of a list lose a link."""
+    monkeypatch.setattr(near_dedup, "STRETCH_ROWS", 40)
+    monkeypatch.setattr(near_dedup, "CHUNK_ROWS", 100)
+    rows = sparse_family(8, 500)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOC), width=3, percent=85).collect()
+    want = brute_near(rows, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: want.get(d, d) for d, *_ in rows}
+
+
 def test_overlaps():
     rnd = np.random.default_rng(3)
     sets = [np.unique(np.r_[rnd.integers(0, 90, 60), rnd.integers(100, 9000, 80)]) for _ in range(70)]
