@@ -39,15 +39,15 @@ CLASSES = {
     "entropy_hex": (r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}", 3.2),
     "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 3.7),
 }
-#: A candidate with a match of any of these is no secret.
+#: A candidate, or a piece of one between allowed words, with a match of any of these is no secret.
 ALLOW = (
     r"^[^0-9]*$",  # no digit at all
     r"^[0-9_=+/-]*$",  # no letter at all
-    r"(?i)(example|sample|dummy|placeholder|changeme|xxxx)",
-    r"(?i)(abcdefgh|12345678|01234567|qwerty)",
     r"^(.{1,4})\1+.{0,3}$",  # one short piece over and over
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 )
+#: Words that no window of a secret has; the rest of the candidate is still read.
+ALLOW_WORDS = r"(?i)(?:example|sample|dummy|placeholder|changeme|xxxx|abcdefgh|12345678|01234567|qwerty)"
 
 
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
@@ -93,6 +93,13 @@ def _rows(docs: DataFrame, kind: int, pattern: str, keep) -> DataFrame:
     return rows.select("_id", "_mark", F.lit(kind).alias("_kind"), "_no", F.length("_x.g").alias("_gap"), F.length("_x.m").alias("_len"), value.alias("_value"))
 
 
+def _allowed(x: Column) -> Column:
+    out = F.lit(False)
+    for rule in ALLOW:
+        out = out | x.rlike(rule)
+    return out
+
+
 def secret_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, mark, kind, start, end`` of every span; positions in code points.
 
@@ -107,10 +114,9 @@ def secret_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
         rows = r if rows is None else rows.unionByName(r)
     for k, (pattern, bits) in enumerate(CLASSES.values(), len(KINDS)):
         r = _rows(source, k, pattern, 0)
-        allowed = F.lit(False)
-        for rule in ALLOW:
-            allowed = allowed | F.col("_value").rlike(rule)
-        verdict = F.when(allowed, F.lit(False)).otherwise(window_entropy(F.col("_value")) >= bits)
+        secret = lambda x: F.when(_allowed(x), F.lit(False)).otherwise(window_entropy(x) >= bits)
+        pieces = F.filter(F.split("_value", ALLOW_WORDS, -1), lambda x: F.length(x) >= WINDOW)
+        verdict = F.when(_allowed(F.col("_value")), F.lit(False)).otherwise(F.exists(pieces, secret))
         rows = rows.unionByName(r.select("_id", "_mark", "_kind", "_no", "_gap", "_len", verdict.alias("_keep")))
     rows = rows.dropDuplicates(["_id", "_mark", "_kind", "_no"])
     so_far = Window.partitionBy("_id", "_mark", "_kind").orderBy("_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)

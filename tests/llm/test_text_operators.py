@@ -262,3 +262,10 @@ def test_quality(spark, tmp_path):
     docs, none = spark.read.parquet(str(tmp_path / "documents.parquet")), spark.createDataFrame([], "doc_id long, quality int")
     assert quality.fit(docs, none) is None
     assert quality.quality(docs.limit(0), None).count() == 0 and quality.quality(docs.where("doc_id = 0"), None).first()["kept"]
+
+
+def test_allowed_words_spare_the_rest(spark):
+    random_part = "q7Zt2LxV9mKc4RbW8nYd3HsJ6gPf1TaQ5eUvXoNi"
+    rows = [(0, f"EXAMPLE_KEY={random_part}"), (1, f"sample/{random_part}"), (2, random_part + "12345678" + random_part), (3, "example-0a1b2c"), (4, "12345678-1234-1234-1234-123456789abc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in secret_scan.secret_spans(docs).collect() if r["kind"] == "entropy_base64"} == {0, 1, 2}
