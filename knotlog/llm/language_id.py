@@ -45,8 +45,6 @@ SMOOTH = 0.02
 LONGEST, STRETCH = 16, 32
 #: Words that one Python process remembers at most.
 REMEMBER = 300_000
-#: Texts whose best language is less sure than this are rejected by a filter.
-MIN_SCORE = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -262,7 +260,7 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, text: str =
 
 
 def keep_known(docs: DataFrame, learn_from: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows whose language is known and at least ``MIN_SCORE`` sure.
+    """Rows whose language is known, however sure.
 
     With nothing to learn from, rows with a letter stay.
     """
@@ -270,7 +268,7 @@ def keep_known(docs: DataFrame, learn_from: DataFrame, id: str = "doc_id", text:
     if not languages:
         return docs.where(F.col(text).rlike(r"\p{L}"))
     scored = predict(docs, languages, prob, text, prefix="language_id_")
-    return scored.where((F.col("language_id_lang_pred") != "und") & (F.col("language_id_score") >= MIN_SCORE)).select(*docs.columns)
+    return scored.where(F.col("language_id_lang_pred") != "und").select(*docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,3 +269,11 @@ def test_allowed_words_spare_the_rest(spark):
     rows = [(0, f"EXAMPLE_KEY={random_part}"), (1, f"sample/{random_part}"), (2, random_part + "12345678" + random_part), (3, "example-0a1b2c"), (4, "12345678-1234-1234-1234-123456789abc")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in secret_scan.secret_spans(docs).collect() if r["kind"] == "entropy_base64"} == {0, 1, 2}
+
+
+def test_unsure_language_stays(spark):
+    """A clean text of words common to several languages is kept."""
+    rows = [(i, f"shared common {w}{i}", w) for i in range(60) for w in ("aa", "bb", "cc", "dd")] + [(900, "common", "aa"), (901, "123", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language_id.keep_known(docs, docs).collect()}
+    assert 900 in kept and 901 not in kept
