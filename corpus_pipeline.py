@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotlog.llm._common import shared_dir, table
-from knotlog.llm.bpe_codec import encode
+from knotlog.llm.bpe_codec import decode, encode
 from knotlog.llm.language_id import keep_known
 from knotlog.llm.line_dedup import line_dedup
 from knotlog.llm.near_dedup import keep_first
@@ -49,8 +49,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, as little-endian unsigned 32-bit integers."""
-    return encode(docs).drop("text")
+    """Token ids of every document, as little-endian unsigned 32-bit integers, and whether they decode to its text."""
+    same = F.col("bpe_decoded") == F.coalesce("text", F.lit(""))
+    return decode(encode(docs), text="bpe_decoded").withColumn("round_trip", same).drop("text", "bpe_decoded")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", lines), ("near_dedup", near_copies), ("source_mix", mix), ("bpe", tokens)]

@@ -281,6 +281,11 @@ def test_pipeline(spark, tmp_path):
     assert {"doc_id", "ids", "n_tokens"} <= set(done.columns) and done.count() == counts[4]
 
 
+def test_pipeline_decodes(spark):
+    docs = spark.createDataFrame([(1, "some  text\n é東"), (2, ""), (3, None)], "doc_id long, text string")
+    assert all(r["round_trip"] for r in corpus_pipeline.tokens(spark, docs, "").collect())
+
+
 def test_registry():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
