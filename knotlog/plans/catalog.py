@@ -618,12 +618,18 @@ def _(s, d):
 
 # --- federation ------------------------------------------------------------
 
+#: Repositories that get a branch of the plan each, at most.
+MAX_REPOS = 200
+
 
 @query("fed_union_dedup", "SELECT DISTINCT source AS _repo, lang AS id FROM documents")
 def _(s, d):
     docs = table(s, d, "documents").select(F.col("lang").alias("id"), "source")
-    parts = {r: docs.where(F.col("source") == r).select("id") for r in (f"src{i}" for i in range(20))}
-    return federation.union_repos(parts).select("_repo", "id")
+    repos = [r["source"] for r in docs.select("source").distinct().limit(MAX_REPOS + 1).collect()]
+    if not 0 < len(repos) <= MAX_REPOS:  # none, or too many for one plan: the same rows without a branch each
+        return docs.select(F.col("source").alias("_repo"), "id").distinct()
+    parts = {r: docs.where(F.col("source").eqNullSafe(F.lit(r))).select("id") for r in repos}
+    return federation.union_repos(parts).select(F.col("_repo").cast("string").alias("_repo"), "id")
 
 
 def _imports(s: SparkSession, d: str) -> DataFrame:
