@@ -41,9 +41,10 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_char
 
     ``prefix`` goes before these names, for tables that have such columns.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
     mark = F.xxhash64(F.lit(3), F.col(text))
-    lines = docs.select(F.col(id).alias("doc"), mark.alias("mark"), F.posexplode(F.split(whole, "\n")).alias("pos", "line"))
+    # the mark is made below the explode, so once a text and not once a line
+    split = docs.select(F.col(id).alias("doc"), mark.alias("mark"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
+    lines = split.select("doc", "mark", F.posexplode_outer("lines").alias("pos", "line"))  # outer: else a filter would split each text again
     keyed = lines.where(F.col("doc").isNotNull() & (F.length("line") >= min_chars)).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     hashed = keyed.select("doc", "mark", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
 
@@ -56,12 +57,13 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_char
     dropped = hits.groupBy("doc", "mark").agg(F.collect_list("pos").alias("gone"))
 
     new = [f"{prefix}{c}" for c in ("n_lines", "n_dropped", "kept")]
-    row = docs.select(F.struct(*[c for c in docs.columns if c not in new]).alias("row"), F.col(id).alias("doc"), mark.alias("mark"), whole.alias("whole"))
-    row = row.join(dropped, ["doc", "mark"], "left").withColumn("split", F.split("whole", "\n"))
-    row = row.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))))
-    kept = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(F.col("left"), lambda i: F.get(F.col("split"), i)), "\n"))
+    row = docs.select(F.struct(*[c for c in docs.columns if c not in new]).alias("row"), F.col(id).alias("doc"), mark.alias("mark"))
+    own = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
+    hit = row.join(dropped, ["doc", "mark"], "left").withColumn("split", F.split(own, "\n"))
+    hit = hit.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))))
+    kept = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(F.transform(F.col("left"), lambda i: F.get(F.col("split"), i)), "\n"))
     n_dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("split") - F.size("left")).cast("long")
-    return row.select("row.*", F.size("split").cast("long").alias(new[0]), n_dropped.alias(new[1]), kept.alias(new[2]))
+    return hit.select("row.*", F.size("split").cast("long").alias(new[0]), n_dropped.alias(new[1]), kept.alias(new[2]))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
