@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op5_near_dedup": near_dedup.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
 }

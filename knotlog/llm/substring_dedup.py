@@ -5,24 +5,31 @@ document; the probes are every rolling window of ``BLOCK`` words.  A block that
 also occurs elsewhere is an anchor.  Two equal windows of ``2 * BLOCK`` words
 each contain a whole block of their own document that the other one's rolling
 windows meet, so a repeat of that length always holds an anchor on both sides.
-Anchors are extended: every ``2 * BLOCK`` window around one is compared with all
-such windows, and each but the first in order of (id, start) is a repeat.  Runs
-of repeated windows are the maximal exact repeats; their words go.
-
-Scale: what is shuffled are packs of hashes, not rows.  A task's windows are
-deduplicated, sorted by bucket and difference-coded to about four bytes each,
-so a passage that a third of all documents share reaches a bucket once per
-pack, and buckets, which hash deals, grow in number with the words, not in
-size.  Texts move once, for the extension and the removal together.
-
-Hashes: an anchor is found by ``40 + log2(buckets)`` bits, and a wrong one only
+Anchors are extended to both sides: every ``2 * BLOCK`` window that holds one is
+compared with all such windows, and each but the first in order of (id, start)
+is a repeat.  Runs of repeated windows are the maximal exact repeats that start
+earlier; their words go.
+
+Scale: what is shuffled are packs of hashes, not rows.  A task collapses its
+windows before it sends them: a hash goes to its bucket once a pack, with the
+pack's first place of it, and places that the pack itself shows to be repeats
+go straight to their documents.  So a passage that a third of all documents
+share reaches a bucket once a pack, about once in ``PACK_WORDS`` words, and so
+do its anchors.  Hashes are dealt by value; buckets grow in number with the
+words, not in size, and there are never more windows than words.  Texts move
+twice, with their anchors and with their repeats.
+
+Hashes: an anchor is found by ``32 + log2(buckets)`` bits, and a wrong one only
 costs time; windows are compared by 64 bits of one hash and 32 of another, and
 these 96 bits are taken as exact.
 
 Defined cases: a null text has no words; a text shorter than a window loses
 nothing; rows that share an id are ordered by their text's hash, and repeated
 rows (same id and text) count as one document and are treated alike; rows with
-a null id are left alone and count nowhere.
+a null id are left alone and count nowhere; an empty table gives an empty
+result; other columns are not looked at and not kept, whatever their names.  A
+very long text is one row of one pack, hashed in one task with about 100 bytes
+a word.
 """
 
 from __future__ import annotations
@@ -42,26 +49,26 @@ BUCKET_WORDS = 2_500_000
 #: Words that a task packs at once.
 PACK_WORDS = 1_500_000
 #: Bits of a hash that are kept inside a bucket.
-REST_BITS = 40
-
-_FULL = np.uint64(0xFFFFFFFF)
+REST_BITS = 32
 
 
 def pack(sorted_values: np.ndarray) -> bytes:
-    """Sorted numbers as four-byte differences; a difference too large is cut up."""
+    """Sorted numbers as differences of as many bytes as the largest needs, after that width."""
     if not len(sorted_values):
         return b""
     d = np.diff(np.concatenate([np.zeros(1, np.uint64), sorted_values.astype(np.uint64)]))
-    big = (d // _FULL).astype(np.int64)
-    out = np.full(len(d) + int(big.sum()), 0xFFFFFFFF, np.uint32)
-    out[np.cumsum(big) + np.arange(len(d))] = (d % _FULL).astype(np.uint32)
-    return out.tobytes()
+    width = max(1, (int(d.max()).bit_length() + 7) // 8)
+    return bytes([width]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     """What ``pack`` was given."""
-    d = np.frombuffer(data, np.uint32)
-    return np.cumsum(d, dtype=np.uint64)[d != 0xFFFFFFFF]
+    if not data:
+        return np.zeros(0, np.uint64)
+    d = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(d), 8), np.uint8)
+    wide[:, : data[0]] = d
+    return np.cumsum(wide.view("<u8")[:, 0].astype(np.uint64), dtype=np.uint64)
 
 
 def _deal(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +77,41 @@ def _deal(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64), mix(h) >> np.uint64(64 - REST_BITS)
 
 
-def _whole(row: np.ndarray, n: int) -> np.ndarray:
-    """Which runs of ``n`` words lie in one row."""
-    return row[n - 1 :] == row[: max(0, len(row) - n + 1)] if len(row) >= n else np.zeros(0, bool)
+#: Columns of rows to a bucket, of rows that pass through it to a document's place, and of what it sends.
+_ASKS = "bucket long, h binary, g binary, docs binary, local binary, items binary, "
+_SENT_ON = "place long, ids binary, marks binary, count binary, sent binary"
+_SENT = "place long, ids binary, marks binary, count binary, items binary"
+
+
+def _ask(bucket: int, h: bytes, g: bytes, ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
+    """A pack's hashes for one bucket, with places (document and item) that it asks for."""
+    docs, local = np.unique(doc, return_inverse=True)
+    row = (h, g, ids[docs].tobytes() + marks[docs].tobytes(), local.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), items.astype(np.uint32).tobytes())
+    sent = [pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.binary())] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([x], pa.binary()) for x in row], *sent], _NAMES)
+
+
+def _asked(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, marks and items of the places that a row asks for."""
+    n = len(p["docs"]) // 16
+    both = np.frombuffer(p["docs"], np.int64)
+    local = np.frombuffer(p["local"], np.uint16 if n < 65536 else np.uint32).astype(np.int64)
+    return both[:n][local], both[n:][local], np.frombuffer(p["items"], np.uint32).astype(np.int64)
+
+
+_NAMES = ["bucket", "h", "g", "docs", "local", "items", "place", "ids", "marks", "count", "sent"]
+
+
+def _pass(ids: np.ndarray, marks: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Certain places of a pack, on their way to their documents."""
+    for batch in _send(ids, marks, values, buckets):
+        yield pa.RecordBatch.from_arrays([batch.column("place"), *[pa.nulls(1, pa.binary())] * 5, *batch.columns], _NAMES)
+
+
+def _passed(packs: list[dict]) -> Iterator[pa.RecordBatch]:
+    for p in packs:
+        if p["place"] is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([p["place"]], pa.int64()), *[pa.array([p[c]], pa.binary()) for c in ("ids", "marks", "count", "sent")]], ["place", "ids", "marks", "count", "items"])
 
 
 def _probes(buckets: int, block: int):
@@ -87,26 +126,28 @@ def _probes(buckets: int, block: int):
         bucket, rest = _deal(h, buckets)
         order = np.lexsort((rest, bucket))
         bucket, rest = bucket[order], rest[order]
-        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (rest[1:] != rest[:-1])] if len(h) else np.zeros(0, bool)
-        twice = np.zeros(len(h), bool)
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (rest[1:] != rest[:-1])]
         head = np.flatnonzero(new)
-        if len(head):
-            twice[head] = np.diff(np.r_[head, len(h)]) > 1
+        alone = np.diff(np.r_[head, len(h)]) == 1
+        bucket, rest = bucket[head], rest[head]
         b_bucket, b_rest = _deal(blocks, buckets)
         b_doc = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+        edge = np.searchsorted(bucket, np.arange(buckets + 1))
+        at = np.empty(len(blocks), np.int64)  # each block is a window too: its place among the pack's hashes
         b_order = np.lexsort((b_rest, b_bucket))
-        b_bucket, b_rest, b_doc, number = b_bucket[b_order], b_rest[b_order], b_doc[b_order], number[b_order]
-        edge, b_edge = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(b_bucket, np.arange(buckets + 1))
-        cols: list[list] = [[], [], [], [], [], [], []]
+        b_edge = np.searchsorted(b_bucket[b_order], np.arange(buckets + 1))
+        for k in range(buckets):
+            own = b_order[b_edge[k] : b_edge[k + 1]]
+            at[own] = edge[k] + np.searchsorted(rest[edge[k] : edge[k + 1]], b_rest[own])
+        sure = ~alone[at]
+        if sure.any():
+            yield from _pass(ids[b_doc[sure]], marks[b_doc[sure]], number[sure], buckets)
         for k in range(buckets):
-            a, b, c, d = edge[k], edge[k + 1], b_edge[k], b_edge[k + 1]
-            if a == b:
+            if edge[k] == edge[k + 1]:
                 continue
-            docs, local = np.unique(b_doc[c:d], return_inverse=True)
-            for col, x in zip(cols, (k, pack(rest[a:b][new[a:b]]), pack(rest[a:b][twice[a:b]]), pack(b_rest[c:d]), ids[docs].tobytes() + marks[docs].tobytes(), local.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), number[c:d].astype(np.uint32).tobytes()), strict=True):
-                col.append(x)
-        for x in range(0, len(cols[0]), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0][x : x + 16], pa.int64()), *[pa.array(c[x : x + 16], pa.binary()) for c in cols[1:]]], ["bucket", "seen", "twice", "blocks", "docs", "local", "number"])
+            own = b_order[b_edge[k] : b_edge[k + 1]]
+            own = own[~sure[own]]
+            yield _ask(k, pack(rest[edge[k] : edge[k + 1]]), pack(b_rest[own]), ids, marks, b_doc[own], number[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words_held = [], 0
@@ -144,7 +185,6 @@ def _send(ids: np.ndarray, marks: np.ndarray, values: np.ndarray, to: int) -> It
         yield pa.RecordBatch.from_arrays([pa.array([place[a]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (d[head], m[head], count, values[a:b].astype(np.int32))]], ["place", "ids", "marks", "count", "items"])
 
 
-_SENT = "place long, ids binary, marks binary, count binary, items binary"
 
 
 def _received(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,55 +203,62 @@ def _received(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(marks[own]), lists], ["id", "mark", "items"])
 
 
-_PROBES = "bucket long, seen binary, twice binary, blocks binary, docs binary, local binary, number binary"
-
-
 def _anchors(to: int):
-    """Blocks of one bucket that occur at another place too, packed by document."""
+    """Blocks of one bucket that occur in another pack too, packed by document."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs = [r for b in rows for r in b.to_pylist()]
-        seen = np.sort(np.concatenate([unpack(p["seen"]) for p in packs]))
-        many = np.unique(np.concatenate([seen[1:][seen[1:] == seen[:-1]], *[unpack(p["twice"]) for p in packs]]))
+        yield from _passed(packs)
+        packs = [p for p in packs if p["place"] is None]
+        if not packs:
+            return
+        seen = np.sort(np.concatenate([unpack(p["h"]) for p in packs]))
+        many = np.unique(seen[1:][seen[1:] == seen[:-1]])
         del seen
         out = []
         for p in packs:
-            blocks = unpack(p["blocks"])
+            blocks = unpack(p["g"])
             if not len(blocks) or not len(many):
                 continue
-            at = np.minimum(np.searchsorted(many, blocks), len(many) - 1)
-            hit = np.flatnonzero(many[at] == blocks)
-            if not len(hit):
-                continue
-            n = len(p["docs"]) // 16
-            both = np.frombuffer(p["docs"], np.int64)
-            local = np.frombuffer(p["local"], np.uint16 if n < 65536 else np.uint32)[hit].astype(np.int64)
-            out.append((both[:n][local], both[n:][local], np.frombuffer(p["number"], np.uint32)[hit].astype(np.int64)))
+            hit = np.flatnonzero(many[np.minimum(np.searchsorted(many, blocks), len(many) - 1)] == blocks)
+            if len(hit):
+                out.append([x[hit] for x in _asked(p)])
         if out:
             yield from _send(*(np.concatenate(x) for x in zip(*out, strict=True)), to)
 
     return run
 
 
+def _repeat(h: np.ndarray, g: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each window, and the later ones.
+
+    A repeated row stands at the same place as its first copy and is no later one.
+    """
+    order = np.lexsort((start, mark, doc, g, h))
+    same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
+    lead = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0))
+    later, of = order[1:][same], order[lead[1:][same]]
+    return order[np.r_[True, ~same]], later[(doc[of] != doc[later]) | (mark[of] != mark[later]) | (start[of] != start[later])]
+
+
 def _windows(buckets: int, block: int):
-    """Packs of the windows around anchors of each task, by bucket."""
+    """Packs of the windows that hold an anchor, of each task, by bucket."""
     size = 2 * block
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, g, start = (np.concatenate([x[i] for x in held]) for i in range(3))
         doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
         ids, marks = np.array([x[3] for x in held], np.int64), np.array([x[4] for x in held], np.int64)
-        bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((start, doc, bucket))
-        h, g, start, doc, bucket = h[order], g[order], start[order], doc[order], bucket[order]
-        edge = np.searchsorted(bucket, np.arange(buckets + 1))
+        first, later = _repeat(h, g, ids[doc], marks[doc], start)
+        if len(later):
+            yield from _pass(ids[doc[later]], marks[doc[later]], start[later], buckets)
+        bucket = (((h[first] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        first, edge = first[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
         for k in range(buckets):
-            a, b = edge[k], edge[k + 1]
-            if a == b:
-                continue
-            docs, local = np.unique(doc[a:b], return_inverse=True)
-            row = (k, h[a:b].tobytes(), g[a:b].tobytes(), ids[docs].tobytes() + marks[docs].tobytes(), local.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), start[a:b].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], ["bucket", "h", "g", "docs", "local", "start"])
+            own = first[edge[k] : edge[k + 1]]
+            if len(own):
+                yield _ask(k, h[own].tobytes(), g[own].tobytes(), ids, marks, doc[own], start[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -239,33 +286,20 @@ def _windows(buckets: int, block: int):
     return run
 
 
-_WINDOWS = "bucket long, h binary, g binary, docs binary, local binary, start binary"
-
-
 def _repeats(to: int):
-    """Windows of one bucket that also start earlier, packed by document."""
+    """Windows of one bucket that another pack has earlier, packed by document."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs = [r for b in rows for r in b.to_pylist()]
+        yield from _passed(packs)
+        packs = [p for p in packs if p["place"] is None]
+        if not packs:
+            return
         h = np.concatenate([np.frombuffer(p["h"], np.uint64) for p in packs])
         g = np.concatenate([np.frombuffer(p["g"], np.uint32) for p in packs])
-        start = np.concatenate([np.frombuffer(p["start"], np.uint32) for p in packs]).astype(np.int64)
-        ids, marks = [], []
-        for p in packs:
-            n = len(p["docs"]) // 16
-            both = np.frombuffer(p["docs"], np.int64)
-            local = np.frombuffer(p["local"], np.uint16 if n < 65536 else np.uint32).astype(np.int64)
-            ids.append(both[:n][local])
-            marks.append(both[n:][local])
-        doc, mark = np.concatenate(ids), np.concatenate(marks)
-        del packs, ids, marks
-        order = np.lexsort((start, mark, doc, g, h))
-        same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
-        later = order[1:][same]
-        # a repeated row stands at the same place as its first copy: no earlier start
-        first = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0))
-        lead = order[first[1:][same]]
-        later = later[(doc[lead] != doc[later]) | (mark[lead] != mark[later]) | (start[lead] != start[later])]
+        doc, mark, start = (np.concatenate(x) for x in zip(*map(_asked, packs), strict=True))
+        del packs
+        _, later = _repeat(h, g, doc, mark, start)
         if len(later):
             yield from _send(doc[later], mark[later], start[later], to)
 
@@ -321,13 +355,13 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", blo
     buckets = max(1, -(-letters // (6 * BUCKET_WORDS)))
 
     def gathered(packs: DataFrame, function, items: str, label: str) -> DataFrame:
-        sent = packs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_of(function(buckets), _SENT), _SENT)
+        sent = packs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_of(function(buckets), _SENT), _SENT)  # a bucket is a task
         form = "id long, mark long, items array<int>"
         per_doc = sent.repartition(buckets, "place").groupBy("place").applyInArrow(_of(_received, form), form)
         return written(per_doc.withColumnRenamed("items", items), label)
 
-    anchors = gathered(known.mapInArrow(_probes(buckets, block), _PROBES), _anchors, "number", "substring-anchors")
-    starts = gathered(known.join(anchors, ["id", "mark"]).mapInArrow(_windows(buckets, block), _WINDOWS), _repeats, "start", "substring-repeats")
+    anchors = gathered(known.mapInArrow(_probes(buckets, block), _ASKS + _SENT_ON), _anchors, "number", "substring-anchors")
+    starts = gathered(known.join(anchors, ["id", "mark"]).mapInArrow(_windows(buckets, block), _ASKS + _SENT_ON), _repeats, "start", "substring-repeats")
     out = own.join(starts, ["id", "mark"], "left").select("id", "text", "start").mapInArrow(_cut(2 * block, "kept"), "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id)
 
@@ -337,3 +371,23 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = substring_dedup(docs)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS at FROM w
+), k AS (
+  SELECT doc_id, at, row_number() OVER (PARTITION BY array_to_string(ws[at:at + 19], ' ') ORDER BY doc_id, at) AS n FROM s
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS pos FROM k WHERE n > 1
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w
+), kept AS (
+  SELECT doc_id, count(g.pos) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY words.pos) FILTER (g.pos IS NULL), '') AS kept
+  FROM words LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
