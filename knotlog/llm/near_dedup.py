@@ -15,31 +15,37 @@ the third looks wider and takes the best two of other components in each order
 and, for each dense stretch, its most central row.  Pairs once refused are not
 tried again.
 
-The rounds only make few components of many rows; what they miss is found by an
-exact prefix-filtered join.  Shingles have one fixed order, from the rarest of a
-sample to the commonest; two sets over the threshold share one of the first
-``n - ceil(n * percent / 100) + 1`` of each.  Only lists of a shingle that have
-rows of several components are kept, and in them only pairs of different
-components whose sizes and places in the order allow the overlap.  A list with
-few such pairs a row gives them to the full-set check; a dense one is checked
+What ranks and widths leave out is found exactly.  After the rounds, a region
+whose rows are all of one component is done.  Rows of the other regions, however
+wide, are open: they go through a prefix-filtered join.  Shingles have one fixed
+order, from the rarest of a sample to the commonest; two sets over the threshold
+share one of the first ``n - ceil(n * percent / 100) + 1`` of each.  Of a list
+of a shingle, only pairs of different components whose sizes and places in the
+order allow the overlap are looked at: the rows of its largest component meet
+the others, not each other.  A list with few such pairs a row gives them to the
+full-set check.  Dense lists that share rows are one family, which is checked
 where it lies on its full sets and gives the links that join components, fewer
-than its rows.  A list too large for a task is cut in chunks, and each two of
-them meet in one cell.
+than its rows.  A list or family too large for a task is cut in chunks; chunks of the largest component meet chunks of the
+others, so a group of near copies that is already one component is sent once.
 
 Scale: a signature is ``ORDERS * DEPTH`` two-byte values.  Rows that share no
 prefix in any order drop out before signatures are copied.  Sort orders are
 dealt by range with the id as last key, so a group with equal signatures is
 split over tasks.  A broadcast only happens behind a count.  Components come
-from star contraction; nothing but counts reaches the driver.
+from star contraction; nothing but counts and the order of the commonest
+shingles of a bounded sample reaches the driver.
 
-Recall: links are complete but for collisions of 64-bit hashes; the rounds and
-their bounds (``NEAR``, ``WIDE``, ``SLACK``, borders of stretches) only decide how
-much is left to the join.
+Recall: a link is missed if the two signatures share no prefix in any order
+(4 in 10 million at 85 %, 3 in 100,000 at 80 %) or if 64-bit hashes collide.
+Whatever shares one is found: the rounds and their bounds (``NEAR``, ``WIDE``,
+``SLACK``, borders of stretches) only decide how much is left to the join.
 
 Defined cases: a null, empty or wordless text has no shingles and is linked
 with nothing; fewer words than a shingle make one shingle of them all; rows
 that share an id count as one document; rows with a null id are linked with
-nothing and kept; equal texts are one class.
+nothing and kept; equal texts are one class; an empty table gives an empty
+result; a very long text is one row with many shingles, hashed in slices and
+held by one task at a time; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -64,12 +70,14 @@ NEAR, WIDE = 8, 32
 FIRST = 4
 #: Rows of a sorted stretch that a task holds, about.
 STRETCH_ROWS = 50_000
-#: Documents whose shingles are counted for their order, about, and the commonest that are known.
+#: Open rows whose shingles are counted for their order, about, and the commonest that are known.
 SAMPLE_DOCS, COMMON = 10_000, 50_000
 #: Candidates a row from which a list is checked where it lies.
 DENSE = 4
 #: Rows and shingles of a chunk of a list, about.
 CHUNK_ROWS, CHUNK_SHINGLES = 2_000, 1_000_000
+#: Rows of a list up to which all its pairs are looked at by distance in it.
+SHORT = 64
 #: Rows of lists that a task holds, about.
 LIST_ROWS = 200_000
 #: Ids that are broadcast at most (8 bytes each).
@@ -104,12 +112,11 @@ def signature(shingles: np.ndarray) -> bytes:
     return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2").tobytes()
 
 
-def common_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles of a bounded sample, sorted, and their counts there."""
-    total = docs.count()
-    some = docs.sample(fraction=min(1.0, SAMPLE_DOCS / total), seed=85) if total else docs
-    counts = _sets(some.select(F.lit(0).cast("long").alias("id"), F.col(text).alias("text")), width).select(F.explode("shingles").alias("s")).groupBy("s").count()
-    got = counts.where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).toArrow()
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a bounded sample of ``sets``, sorted, and their counts there."""
+    total = sets.count()
+    some = sets.sample(fraction=min(1.0, SAMPLE_DOCS / total), seed=85) if total else sets
+    got = some.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).toArrow()
     key, count = got.column("s").to_numpy().astype(np.uint64), got.column("count").to_numpy()
     order = np.argsort(key)
     return key[order], count[order]
@@ -125,9 +132,8 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent:
     return shingles[np.lexsort((shingles, often))[: len(shingles) + 1 + -len(shingles) * percent // 100]]
 
 
-def signatures(docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
-    """``id, n, h1, h2, sig, prefix`` of every row; the hashes stand for the set."""
-    common = common_shingles(docs, text, width)
+def signatures(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
+    """``id, n, h1, h2, sig`` of every row; the hashes stand for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,12 +142,24 @@ def signatures(docs: DataFrame, id: str, text: str, width: int, percent: int) ->
                 h1 = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 h2 = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 sig = [signature(s) if len(s) else None for s in sets]
-                first = [prefix(s, common, percent).astype(np.int64) if len(s) else s.astype(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "h1", "h2", "sig"])
+
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary")
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``id, prefix`` of ``id, shingles``."""
+    common = common_shingles(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                first = [prefix(x.values.to_numpy().astype(np.uint64), common, percent).astype(np.int64) for x in batch.column("shingles")]
                 offs = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offs, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), lists], ["id", "n", "h1", "h2", "sig", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offs, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))], ["id", "prefix"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary, prefix array<long>")
+    return sets.mapInArrow(run, "id long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -162,13 +180,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 
 
 def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of sorted rows that have a neighbour with their key and order."""
+    """Ids of sorted rows that have, or at a border may have, a neighbour with their key and order."""
     t = _read(batches)
     if t is None:
         return
     order, key, ids = (t.column(c).to_numpy() for c in ("t", "key", "id"))
     same = (order[1:] == order[:-1]) & (key[1:] == key[:-1])
-    yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids[np.r_[False, same] | np.r_[same, False]]))], ["id"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids[np.r_[True, same] | np.r_[same, True]]))], ["id"])
 
 
 def _candidates(mode: int, percent: int):
@@ -244,6 +262,12 @@ def _candidates(mode: int, percent: int):
     return run
 
 
+def _others(comp: np.ndarray) -> np.ndarray:
+    """Rows that are not of the component with most rows."""
+    values, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(which != np.argmax(count))
+
+
 def _possible(percent: int):
     """Pairs of different components in sorted cells that may be links; of a dense cell its rows."""
 
@@ -252,22 +276,40 @@ def _possible(percent: int):
         if t is None:
             return
         cell, ids, comp, n, pos = (t.column(c).to_numpy() for c in ("cell", "id", "comp", "n", "pos"))
+
+        def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            most = np.minimum(n[i] - pos[i], n[j] - pos[j])  # where this is the first shingle in common
+            return (comp[i] != comp[j]) & ((100 + percent) * most >= percent * (n[i] + n[j]))
+
         heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        rows = np.diff(np.r_[heads, len(cell)])
+        ends = np.r_[heads[1:], len(cell)]
+        rows = ends - heads
         which = np.repeat(np.arange(len(heads)), rows)
         rank = np.arange(len(cell)) - heads[which]
         found = np.zeros(len(heads), np.int64)
-        i, w, a, b = np.arange(len(cell)), 0, [], []
+        i, w, a, b = np.flatnonzero(rows[which] <= SHORT), 0, [], []
         while len(i):
             w += 1
             i = i[rank[i] >= w]
             i = i[(100 * n[i - w] >= percent * n[i]) & (found[which[i]] <= DENSE * rows[which[i]])]
-            j = i - w
-            most = np.minimum(n[i] - pos[i], n[j] - pos[j])  # where this is the first shingle in common
-            ok = (comp[i] != comp[j]) & ((100 + percent) * most >= percent * (n[i] + n[j]))
-            np.add.at(found, which[i[ok]], 1)
-            a.append(i[ok])
-            b.append(j[ok])
+            ok = i[may(i, i - w)]
+            np.add.at(found, which[ok], 1)
+            a.append(ok)
+            b.append(ok - w)
+        for k in np.flatnonzero(rows > SHORT).tolist():
+            x, y = heads[k], ends[k]
+            others = _others(comp[x:y]) + x
+            small = np.zeros(y - x, bool)
+            small[others - x] = True
+            for i in others.tolist():  # sizes rise within a cell
+                lo, hi = x + np.searchsorted(n[x:y], [-(-percent * n[i] // 100), 100 * n[i] // percent + 1])
+                j = np.arange(lo, hi)
+                j = j[(~small[lo - x : hi - x] | (j > i)) & may(np.full(len(j), i), j)]
+                found[k] += len(j)
+                if found[k] > DENSE * rows[k]:
+                    break
+                a.append(np.full(len(j), i))
+                b.append(j)
         dense = found > DENSE * rows
         a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
         few = ~dense[which[a]]
@@ -284,10 +326,12 @@ def _possible(percent: int):
     return run
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every two sets."""
+def overlaps(sets: list[np.ndarray], of: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered ``of`` with every set."""
     m = len(sets)
-    out = np.zeros((m, m), np.float32)
+    out = np.zeros((len(of), m), np.float32)
+    slot = np.full(m, -1)
+    slot[of] = np.arange(len(of))
     row = np.repeat(np.arange(m), [len(s) for s in sets])
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.lexsort((row, token))
@@ -298,14 +342,15 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         same = np.flatnonzero(k[w:] == k[:-w])
         if not len(same):
             break
-        np.add.at(out, (r[same], r[same + w]), 1)
-        np.add.at(out, (r[same + w], r[same]), 1)
+        for x, y in ((r[same], r[same + w]), (r[same + w], r[same])):
+            mine = slot[x] >= 0
+            np.add.at(out, (slot[x[mine]], y[mine]), 1)
     r, (_, k) = row[~seldom], np.unique(token[~seldom], return_inverse=True)
     for x in range(0, int(k.max()) + 1 if len(k) else 0, 2048):
         lo, hi = np.searchsorted(k, [x, x + 2048])
         has = np.zeros((m, 2048), np.float32)
         has[r[lo:hi], k[lo:hi] - x] = 1
-        out += has @ has.T
+        out += has[of] @ has.T
     return out
 
 
@@ -323,31 +368,58 @@ def _joining(percent: int):
         a, b = [], []
         for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(cell)], strict=True):
             n = np.diff(offs[x : y + 1]).astype(np.int64)
-            both = overlaps([flat[offs[k] : offs[k + 1]] for k in range(x, y)])
             label = comp[x:y].copy()
-            for i in range(y - x):
-                j = np.flatnonzero((label != label[i]) & ((100 + percent) * both[i].astype(np.int64) >= percent * (n[i] + n)))
-                others, at = np.unique(label[j], return_index=True)
-                if len(others):
-                    a += [ids[x + i]] * len(others)
-                    b += ids[x + j[at]].tolist()
-                    label[np.isin(label, others)] = label[i]
+            for part in np.array_split(of := _others(label), -(-len(of) // 256) or 1):
+                both = overlaps([flat[offs[k] : offs[k + 1]] for k in range(x, y)], part)
+                for k, i in enumerate(part.tolist()):
+                    j = np.flatnonzero((label != label[i]) & ((100 + percent) * both[k].astype(np.int64) >= percent * (n[i] + n)))
+                    others, at = np.unique(label[j], return_index=True)
+                    if len(others):
+                        a += [ids[x + i]] * len(others)
+                        b += ids[x + j[at]].tolist()
+                        label[np.isin(label, others)] = label[i]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _cells(rows: DataFrame) -> tuple[DataFrame, int]:
-    """``cell, id, comp, n, pos`` of ``id, comp, n, prefix`` in lists of several components, and how many."""
-    spots = rows.select("id", "comp", "n", F.posexplode("prefix").alias("pos", "key"))
-    lists = spots.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    chunks = F.greatest(F.ceil(F.col("rows") / CHUNK_ROWS), F.ceil(F.col("all") / CHUNK_SHINGLES)).cast("int")
-    lists = written(lists.select("key", "rows", chunks.alias("chunks")), "near-lists")
-    total = lists.agg(F.sum(F.col("rows") * F.greatest(F.col("chunks") - 1, F.lit(1)))).first()[0] or 0
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: (F.col("chunks") == 1) | (c != F.col("own")))
-    cell = F.explode(F.transform(others, lambda c: F.xxhash64("key", F.least(c, "own"), F.greatest(c, "own"))))
-    return spots.join(lists, "key").withColumn("own", own).select(cell.alias("cell"), "id", "comp", "n", "pos"), total
+def _dealt(spots: DataFrame) -> tuple[DataFrame, int]:
+    """``cell, id, comp, n, pos`` of ``key, id, comp, n, pos`` under keys of several components, and how many.
+
+    Chunks of a key's largest component (``i``) meet chunks of its other rows
+    (``j``), and these each other.
+    """
+    each = spots.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
+    lists = each.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("all").alias("all"), F.count("*").alias("comps"), F.max(F.struct("rows", "all", "comp")).alias("top")).where("comps > 1")
+    chunks = lambda rows, all: F.greatest(F.ceil(rows / CHUNK_ROWS), F.ceil(all / CHUNK_SHINGLES)).cast("int")
+    wide = chunks(F.col("rows"), F.col("all")) > 1
+    top, rest = F.col("top"), (F.col("rows") - F.col("top.rows"), F.col("all") - F.col("top.all"))
+    lists = lists.select("key", "rows", top["comp"].alias("top"), F.when(wide, chunks(top["rows"], top["all"])).otherwise(1).alias("i"), F.when(wide, chunks(*rest)).otherwise(1).alias("j"))
+    lists = written(lists, "near-lists")
+    total = lists.agg(F.sum(F.col("rows") * (F.col("j") + 1))).first()[0] or 0
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, x, y: F.xxhash64(F.lit(kind), "key", x, y)
+    of_top = F.transform(up_to("j"), lambda y: cell(0, own("i"), y))
+    of_rest = F.concat(F.transform(up_to("i"), lambda x: cell(0, x, own("j"))), F.when(F.col("j") > 1, F.transform(up_to("j"), lambda y: cell(1, F.least(y, own("j")), F.greatest(y, own("j"))))).otherwise(F.array().cast("array<bigint>")))
+    dealt = spots.join(lists, "key").select(F.explode(F.when(F.col("comp") == F.col("top"), of_top).otherwise(of_rest)).alias("cell"), "id", "comp", "n", "pos")
+    return dealt, total
+
+
+def _families(dense: DataFrame) -> DataFrame:
+    """``key, id`` for ``cell, id`` of dense cells, so that each pair of a cell meets under a key.
+
+    Cells that share rows are one family, in which a row is sent once and not
+    once a cell; a family with more pairs than all its cells stays in cells.
+    """
+    dense = written(dense, "near-dense")
+    heads = dense.groupBy("cell").agg(F.min("id").alias("head"), F.count("*").alias("rows"))
+    family = written(components(dense.join(heads, "cell").select("id", "head")), "near-families")
+    pairs = heads.join(family, F.col("head") == F.col("id")).groupBy("component").agg(F.sum(F.col("rows") * F.col("rows")).alias("in_cells"))
+    sizes = family.groupBy("component").agg(F.count("*").alias("rows")).join(pairs, "component").select("component", (F.col("rows") * F.col("rows") <= F.col("in_cells")).alias("whole"))
+    family = written(family.join(sizes, "component"), "near-families")
+    whole = family.where("whole").select(F.xxhash64(F.lit(2), "component").alias("key"), "id")
+    return whole.union(dense.join(family.where("NOT whole"), "id").select(F.col("cell").alias("key"), "id"))
 
 
 def _likely(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -368,13 +440,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     Pairs with ``100 * intersection >= percent * union`` are links.
     """
     spark = docs.sparkSession
-    rows = written(signatures(docs, id, text, width, percent), "near-signatures")
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    rows = written(signatures(docs, id, text, width), "near-signatures")
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     classes = written(classes, "near-classes")
     total = classes.count()
 
+    heads = lambda: F.posexplode(F.array(*[F.xxhash64(F.substring("sig", 2 * DEPTH * k + 1, 2 * DEPTH)) for k in range(ORDERS)])).alias("t", "key")
     rotated = lambda k: F.concat(F.substring("sig", 2 * DEPTH * k + 1, 2 * VALUES), F.substring("sig", 1, 2 * DEPTH * k)) if k else F.col("sig")
-    keys = classes.select(F.col("rep").alias("id"), F.posexplode(F.array(*[F.xxhash64(F.substring("sig", 2 * DEPTH * k + 1, 2 * DEPTH)) for k in range(ORDERS)])).alias("t", "key"))
+    keys = classes.select(F.col("rep").alias("id"), heads())
     parts = max(1, -(-total * ORDERS // (4 * STRETCH_ROWS)))
     sharing = keys.repartitionByRange(parts, "t", "key", "id").sortWithinPartitions("t", "key", "id").mapInArrow(_sharing, "id long").distinct()
     sharing = written(sharing, "near-sharing")
@@ -392,40 +465,49 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
     links = tried = None
     comp = spark.createDataFrame([], "id long, component long")
+    labelled = lambda: active.join(comp, "id", "left").select("id", "n", "sig", F.coalesce("component", "id").alias("comp"))
     for mode in (1, 2, 3):
         orders = range(FIRST) if mode == 1 else range(ORDERS)
-        labelled = active.join(comp, "id", "left").select("id", "n", "sig", F.coalesce("component", "id").alias("comp"))
-        exploded = labelled.select("id", "n", "comp", F.posexplode(F.array(*[rotated(k) for k in orders])).alias("t", "order_sig"))
+        exploded = labelled().select("id", "n", "comp", F.posexplode(F.array(*[rotated(k) for k in orders])).alias("t", "order_sig"))
         parts = max(1, -(-n_sharing * len(orders) // STRETCH_ROWS))
         found = exploded.repartitionByRange(parts, "t", "order_sig", "id").sortWithinPartitions("t", "order_sig", "id").mapInArrow(_candidates(mode, percent), "a long, b long").distinct()
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = written(found, f"near-candidates{mode}")
-        if links is not None and found.isEmpty():
+        if found.isEmpty():
             continue
-        new = written(linked(found, sets), f"near-links{mode}")
         tried = found if tried is None else tried.union(found)
-        if links is not None and new.isEmpty():
+        new = written(linked(found, sets), f"near-links{mode}")
+        if new.isEmpty():
             continue
         links = new if links is None else links.union(new)
         comp = written(components(links), f"near-components{mode}")
 
-    labelled = classes.select(F.col("rep").alias("id"), "n", "prefix").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    cells, total = _cells(labelled)
-    if total:
-        cells = cells.repartition(-(-total // LIST_ROWS), "cell").sortWithinPartitions("cell", "n", "id")
-        rest = written(cells.mapInArrow(_possible(percent), "a long, b long, cell long"), "near-rest")
-        pairs = written(_likely(rest.where("cell IS NULL").select("a", "b").distinct(), labelled, percent), "near-rest-pairs")
-        dense = rest.where("cell IS NOT NULL").select(F.col("a").alias("id"), "cell").distinct()
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("id")).distinct(), "near-rest-ids")
-        small = F.broadcast if ids.count() <= BROADCAST_ROWS else (lambda df: df)
-        sets = written(_sets(texts.join(small(ids), "id", "left_semi"), width), "near-rest-sets")
-        n_dense = dense.count()
-        labels = labelled.select("id", "comp")
-        packed = dense.join(labels, "id").join(sets, "id").repartition(max(1, n_dense // CHUNK_ROWS), "cell").sortWithinPartitions("cell", "id")
-        new = written(linked(pairs, sets).union(packed.mapInArrow(_joining(percent), "a long, b long")), "near-rest-links")
-        if not new.isEmpty():
-            comp = written(components(new if links is None else links.union(new)), "near-components")
+    # exact: rows of regions that still have several components
+    spots = labelled().select("id", "comp", heads())
+    mixed = written(spots.groupBy("t", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t", "key"), "near-mixed")
+    if n_mixed := mixed.count():
+        opened = written(spots.join(F.broadcast(mixed) if n_mixed <= BROADCAST_ROWS else mixed, ["t", "key"]).select("id", "comp").distinct(), "near-open")
+        few = F.broadcast if opened.count() <= BROADCAST_ROWS else (lambda df: df)
+        open_sets = written(sets.join(few(opened), "id").select("id", "comp", F.size("shingles").cast("long").alias("n"), "shingles"), "near-open-sets")
+        prefixed = open_sets.select("id", "comp", "n").join(_prefixes(open_sets.select("id", "shingles"), percent), "id")
+        prefixed = written(prefixed, "near-prefixes")
+        cells, total = _dealt(prefixed.select("id", "comp", "n", F.posexplode("prefix").alias("pos", "key")))
+        if total:
+            cells = cells.repartition(-(-total // LIST_ROWS), "cell").sortWithinPartitions("cell", "n", "id")
+            rest = written(cells.mapInArrow(_possible(percent), "a long, b long, cell long"), "near-rest")
+            pairs = written(_likely(rest.where("cell IS NULL").select("a", "b").distinct(), prefixed, percent), "near-rest-pairs")
+            dense = rest.where("cell IS NOT NULL").select("cell", F.col("a").alias("id")).distinct()
+            own = open_sets.select("id", "shingles")
+            new = linked(pairs, own)
+            if not dense.isEmpty():
+                spots = _families(dense).join(prefixed.select("id", "comp", "n"), "id").withColumn("pos", F.lit(0))
+                cells, total = _dealt(spots)
+                packed = cells.select("cell", "id", "comp").join(own, "id").repartition(-(-total // CHUNK_ROWS), "cell").sortWithinPartitions("cell", "id")
+                new = new.union(packed.mapInArrow(_joining(percent), "a long, b long"))
+            new = written(new, "near-rest-links")
+            if not new.isEmpty():
+                comp = written(components(new if links is None else links.union(new)), "near-components")
 
     member = classes.select("h1", "h2", "n", "rep").join(comp, F.col("rep") == comp["id"], "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"))
     member = written(member, "near-members")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from knotlog.llm import ann, near_dedup, registry, substring_dedup
+from knotlog.llm import components as components_module
 from knotlog.llm._common import Words, runs_of
 from knotlog.llm.components import components
 
@@ -138,8 +139,27 @@ def test_overlaps():
     rnd = np.random.default_rng(3)
     sets = [np.unique(np.r_[rnd.integers(0, 90, 60), rnd.integers(100, 9000, 80)]) for _ in range(70)]
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
-    got = near_dedup.overlaps(sets)
-    assert [[x for j, x in enumerate(r) if i != j] for i, r in enumerate(got.tolist())] == [[x for j, x in enumerate(r) if i != j] for i, r in enumerate(want)]
+    of = np.array([0, 3, 4, 40, 69])
+    got = near_dedup.overlaps(sets, of)
+    assert [[x for j, x in enumerate(r) if i != j] for i, r in zip(of, got.tolist())] == [[x for j, x in enumerate(want[i]) if i != j] for i in of]
+
+
+def test_near_wide_region_bridge(spark, monkeypatch):
+    """A large group and rows around its threshold, cut into many chunks, by distributed components."""
+    monkeypatch.setattr(near_dedup, "STRETCH_ROWS", 60)
+    monkeypatch.setattr(near_dedup, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(near_dedup, "SHORT", 8)
+    monkeypatch.setattr(near_dedup, "DENSE", 1)
+    monkeypatch.setattr(components_module, "SMALL_LINKS", 3)
+    rnd = random.Random(12)
+    rows = sparse_family(9, 150)
+    for i in range(200):  # near copies of one text
+        own = [f"t{k}" for k in range(120)]
+        own[rnd.randrange(120)] = f"y{i}"
+        rows.append((1000 + i, " ".join(own), "s"))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOC), width=3, percent=85).collect()
+    want = brute_near(rows, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: want.get(d, d) for d, *_ in rows}
 
 
 def test_near_empty(spark):
