@@ -98,3 +98,17 @@ def fit_to_budget(tokens: Column, limit: Column) -> Column:
         return F.struct((a["used"] + F.when(ok, t).otherwise(0)).cast("long").alias("used"), F.concat(a["take"], F.array(F.coalesce(ok, F.lit(False)))).alias("take"))
 
     return F.aggregate(tokens, start, step, lambda a: a["take"])
+
+
+def admitted_refs(items: Column, limit: int) -> Column:
+    """References of the items (``s, depth, ref, tokens``, best first) that the greedy budget admits.
+
+    The same fold as ``fit_to_budget``, which keeps what is admitted only.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("refs"))
+
+    def step(a: Column, x: Column) -> Column:
+        used = a["used"] + x["tokens"].cast("long")
+        return F.when(used <= limit, F.struct(used.alias("used"), F.concat(a["refs"], F.array(x["ref"])).alias("refs"))).otherwise(a)
+
+    return F.aggregate(items, start, step, lambda a: a["refs"])

@@ -99,25 +99,40 @@ def scored_sections(spark: SparkSession, log: DataFrame, links: DataFrame, reque
 
 
 def admit(sections: DataFrame, limit: int, key: list[str] | None = None) -> DataFrame:
-    """``sections`` with ``position`` and ``admitted`` by the greedy budget.
-
-    One request's sections (of each ``key``) are folded in order of score; only
-    their references and costs are gathered for that.
+    """``sections`` with ``admitted`` by the greedy budget.
+
+    One request's sections (of each ``key``) are folded in order of score.  Only
+    those that can be admitted are gathered for that: of sections of one cost
+    ``t``, all better ones would be admitted first, so at most ``limit / t`` can
+    be.  That bounds a fold by ``limit * (1 + ln limit)`` items, however many
+    sections there are; a section without cost is always admitted and not
+    folded.
     """
     key = key or []
+    order = [F.col("score").desc(), "depth", "ref"]
+    if limit <= 0:
+        return sections.withColumn("admitted", F.lit(False))
+    sections = written(sections, "sections")  # used twice below
+    costs = sections.where("tokens > 0 AND tokens <= %d" % limit).select(*key, "score", "depth", "ref", "tokens")
+    rank = F.row_number().over(Window.partitionBy(*key, "tokens").orderBy(*order))
+    able = costs.withColumn("_n", rank).where(F.col("_n") <= limit).where(F.col("_n") * F.col("tokens") <= limit)
     items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "depth", "ref", "tokens")))
-    folded = sections.groupBy(*key).agg(items.alias("_i")).withColumn("_take", scoring.fit_to_budget(F.transform("_i", lambda x: x["tokens"].cast("long")), F.lit(limit)))
-    each = folded.select(*key, F.posexplode(F.arrays_zip(F.transform("_i", lambda x: x["ref"]).alias("ref"), F.col("_take").alias("take"))).alias("position", "_x"))
-    marks = each.select(*key, F.col("_x.ref").alias("ref"), "position", F.col("_x.take").alias("admitted"))
-    return sections.join(marks, [*key, "ref"])
+    admitted = able.groupBy(*key).agg(scoring.admitted_refs(items, limit).alias("_refs"))
+    taken = admitted.select(*key, F.explode("_refs").alias("ref"), F.lit(True).alias("_taken"))
+    right = taken.withColumnsRenamed({c: f"_{c}" for c in (*key, "ref")})
+    same = sections["ref"].eqNullSafe(right["_ref"])
+    for c in key:
+        same = same & sections[c].eqNullSafe(right[f"_{c}"])
+    marked = sections.join(right, same, "left").drop(*[f"_{c}" for c in (*key, "ref")])
+    return marked.withColumn("admitted", F.coalesce("_taken", F.col("tokens") <= 0, F.lit(False))).drop("_taken")
 
 
 def assemble(spark: SparkSession, log: DataFrame, links: DataFrame, request: Request) -> DataFrame:
     """The admitted sections of a request, best first, with running metadata."""
     if not request.paths():
-        return scored_sections(spark, log, links, Request(["-"], request.now)).limit(0).withColumns({"position": F.lit(0), "admitted": F.lit(True)})
+        return scored_sections(spark, log, links, Request(["-"], request.now)).limit(0).withColumn("admitted", F.lit(True))
     rows = admit(scored_sections(spark, log, links, request), request.budget if request.budget > 0 else scoring.DEFAULT_BUDGET)
-    return rows.where("admitted").orderBy("position")
+    return rows.where("admitted").orderBy(F.col("score").desc(), "depth", "ref")
 
 
 def anticipated(links: DataFrame, starts: DataFrame, served: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from knotlog.functions import paths, scoring, text
 from knotlog.operators import eventlog, federation, graph, maintenance, reports, retrieval, search
 from knotlog.plans import dsl, model
+from knotlog.plans.stored import stored
 from knotlog.plans.model import CALLS, DECISIONS, EVENT_LOG, KNOWLEDGE_LINKS, LINKS, NODES, ORDER_LOG, RELATIONS, active_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +38,21 @@ def _start(spark: SparkSession, ref: str) -> DataFrame:
     return spark.createDataFrame([(ref,)], "ref string")
 
 
+def _edges(s: SparkSession, d: str) -> graph.EdgeIndex:
+    """The links of the tables, stored in order of either end."""
+    return stored(s, d, "edges", lambda path: graph.EdgeIndex.build(model.links(s, d), path))
+
+
+def _knowledge(s: SparkSession, d: str) -> graph.EdgeIndex:
+    """Import and decision links of the tables, stored alike."""
+    return stored(s, d, "knowledge-edges", lambda path: graph.EdgeIndex.build(_klinks(s, d), path))
+
+
+def _index(s: SparkSession, d: str) -> search.Index:
+    """The inverted index of the documents."""
+    return stored(s, d, "text-index", lambda path: search.Index.build(table(s, d, "documents"), path))
+
+
 # --- query language --------------------------------------------------------
 
 _SHOWN = ["id", "language", "module", "stability", "updated_at"]
@@ -51,7 +67,7 @@ _dsl("dsl_neq", "nodes where language != 'en'", "language <> 'en'")
 _dsl("dsl_range", "nodes where stability >= 0.3 and stability < 0.8", "stability >= 0.3 AND stability < 0.8")
 _dsl("dsl_and_or", "nodes where module = 'src1' and stability > 0.5 or language = 'es'", "(module = 'src1' AND stability > 0.5) OR language = 'es'")
 _dsl("dsl_contains", "nodes where name contains '_12'", "contains(name, '_12')")
-_dsl("dsl_matches", "nodes where file_path matches '^src[3-5]/doc_[0-9]+7$'", "regexp_matches(file_path, '^src[3-5]/doc_[0-9]+7$')")
+_dsl("dsl_matches", "nodes where file_path matches '^src[3-7]/doc_[0-9]*7$'", "regexp_matches(file_path, '^src[3-7]/doc_[0-9]*7$')")
 _dsl("dsl_order_limit", "nodes where language = 'en' order by stability desc limit 25", "language = 'en'", "ORDER BY stability DESC, id LIMIT 25")
 _dsl("dsl_time", "nodes where updated_at > '2024-01-15' order by updated_at", "updated_at > '2024-01-15'")
 
@@ -74,12 +90,12 @@ def reach_sql(start: str, depth: int, forward: bool, where: str = "true") -> str
 
 @query("dsl_traverse", f"WITH {LINKS}, {active_sql()} SELECT substr(ref, 3) AS id, ref FROM {reach_sql(START, 2, True)}")
 def _(s, d):
-    return dsl.run(f"nodes where traverse(links, depth=2, direction=forward) from '{START}' order by ref", None, model.links(s, d))
+    return dsl.run(f"nodes where traverse(links, depth=2, direction=forward) from '{START}' order by ref", None, _edges(s, d))
 
 
 @query("dsl_traverse_as_of", f"WITH {LINKS}, {active_sql(f'created_at_nanos <= {MOMENT}')} SELECT substr(ref, 3) AS id, ref FROM {reach_sql(START, 3, True)}")
 def _(s, d):
-    return dsl.run(f"nodes where traverse(links, depth=3) from '{START}' as of '{MOMENT_TEXT}'", None, model.links(s, d))
+    return dsl.run(f"nodes where traverse(links, depth=3) from '{START}' as of '{MOMENT_TEXT}'", None, _edges(s, d))
 
 
 @query("dsl_as_of_collection", f"WITH {EVENT_LOG} SELECT id, max(version) AS version FROM log WHERE created_at_nanos <= {EVENT_MOMENT} GROUP BY id HAVING arg_max(lifecycle, version) = 'active'")
@@ -160,7 +176,7 @@ def _(s, d):
 
 
 def _neighbors(direction: str, ref: str):
-    return lambda s, d: graph.neighbors(model.links(s, d), _start(s, ref), direction).select("ref")
+    return lambda s, d: graph.neighbors(_edges(s, d), _start(s, ref), direction).select("ref")
 
 
 _near = {"forward": "SELECT dst_ref AS ref FROM active WHERE src_ref = '{0}'", "reverse": "SELECT src_ref AS ref FROM active WHERE dst_ref = '{0}'"}
@@ -172,32 +188,32 @@ query("graph_neighbors_both", f"WITH {LINKS}, {active_sql()} SELECT DISTINCT ref
 @query("graph_neighbors_all", f"WITH {LINKS}, {active_sql()} SELECT src_ref AS start, count(DISTINCT dst_ref) AS n FROM active WHERE src_ref LIKE 'e:c/%' GROUP BY src_ref")
 def _(s, d):
     starts = table(s, d, "customer").select(F.concat(F.lit("e:c/"), F.col("c_custkey").cast("string")).alias("ref"))
-    return graph.neighbors(model.links(s, d), starts).groupBy("start").agg(F.count("*").alias("n"))
+    return graph.neighbors(_edges(s, d), starts).groupBy("start").agg(F.count("*").alias("n"))
 
 
 @query("graph_reachable_fwd", f"WITH {LINKS}, {active_sql()} SELECT ref, depth FROM {reach_sql(START, 3, True)}")
 def _(s, d):
-    return graph.reachable(model.links(s, d), _start(s, START), 3, cap=None).select("ref", "depth")
+    return graph.reachable(_edges(s, d), _start(s, START), 3, cap=None).select("ref", "depth")
 
 
 @query("graph_reachable_rev", f"WITH {LINKS}, {active_sql()} SELECT ref, depth FROM {reach_sql('e:r/1', 2, False)}")
 def _(s, d):
-    return graph.reachable(model.links(s, d), _start(s, "e:r/1"), 2, "reverse", cap=None).select("ref", "depth")
+    return graph.reachable(_edges(s, d), _start(s, "e:r/1"), 2, "reverse", cap=None).select("ref", "depth")
 
 
 @query("graph_reachable_both", f"WITH {LINKS}, {active_sql()} SELECT ref, min(depth) AS depth FROM (SELECT * FROM {reach_sql('e:o/7', 2, True)} UNION ALL SELECT * FROM {reach_sql('e:o/7', 2, False)}) GROUP BY ref")
 def _(s, d):
-    return graph.reachable(model.links(s, d), _start(s, "e:o/7"), 2, "both", cap=None).select("ref", "depth")
+    return graph.reachable(_edges(s, d), _start(s, "e:o/7"), 2, "both", cap=None).select("ref", "depth")
 
 
 @query("graph_reachable_asof", f"WITH {LINKS}, {active_sql(f'created_at_nanos <= {MOMENT}')} SELECT ref, depth FROM {reach_sql(START, 2, True)}")
 def _(s, d):
-    return graph.reachable(model.links(s, d), _start(s, START), 2, as_of_nanos=MOMENT, cap=None).select("ref", "depth")
+    return graph.reachable(_edges(s, d), _start(s, START), 2, as_of_nanos=MOMENT, cap=None).select("ref", "depth")
 
 
 @query("graph_impact", f"WITH {LINKS}, {active_sql()} SELECT ref, depth FROM {reach_sql(TARGET, 2, False)}")
 def _(s, d):
-    return graph.impact_radius(model.links(s, d), _start(s, TARGET), 2, cap=None).select("ref", "depth")
+    return graph.impact_radius(_edges(s, d), _start(s, TARGET), 2, cap=None).select("ref", "depth")
 
 
 _EDGES = "edge_type IN ('placed', 'contains')"
@@ -205,13 +221,14 @@ _EDGES = "edge_type IN ('placed', 'contains')"
 
 @query("graph_edge_filter", f"WITH {LINKS}, {active_sql(_EDGES)} SELECT ref, depth FROM {reach_sql(START, 4, True)}")
 def _(s, d):
-    return graph.reachable(model.links(s, d), _start(s, START), 4, edge_types=["placed", "contains"], cap=None).select("ref", "depth")
+    return graph.reachable(_edges(s, d), _start(s, START), 4, edge_types=["placed", "contains"], cap=None).select("ref", "depth")
 
 
-@query("graph_cap", f"WITH {LINKS}, {active_sql()} SELECT 'e:r/1' AS start, true AS capped")
+@query("graph_cap", f"""WITH {LINKS}, {active_sql()}, l1 AS (SELECT src_ref AS ref, row_number() OVER (ORDER BY edge_type, src_ref) AS k FROM active WHERE dst_ref = 'e:r/1'),
+l2 AS (SELECT src_ref AS ref FROM active JOIN l1 ON dst_ref = l1.ref ORDER BY l1.k, edge_type, src_ref LIMIT 20 - 1 - (SELECT count(*) FROM l1))
+SELECT ref, 1::BIGINT AS depth, true AS capped FROM l1 UNION ALL SELECT ref, 2, true FROM l2""")
 def _(s, d):
-    found = graph.reachable(model.links(s, d), _start(s, "e:r/1"), 5, "reverse", cap=20)
-    return found.select("start", "capped").distinct()
+    return graph.reachable(_edges(s, d), _start(s, "e:r/1"), 5, "reverse", cap=20).select("ref", "depth", "capped")
 
 
 # --- full text -------------------------------------------------------------
@@ -230,18 +247,29 @@ SEARCH = "the and erst of"
 
 @query("fts_tokenize", f"WITH {_TOKENS} SELECT doc_id, count(*) AS n, count(DISTINCT term) AS terms FROM tokens GROUP BY doc_id")
 def _(s, d):
-    docs = table(s, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t")).where(F.size("t") > 0)
-    return docs.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("terms"))
+    return search.terms(table(s, d, "documents")).groupBy("doc_id").agg(F.sum("freq").alias("n"), F.count("*").alias("terms"))
 
 
 @query("fts_tf", f"WITH {_TOKENS} SELECT doc_id, term, count(*) AS freq FROM tokens GROUP BY ALL")
 def _(s, d):
-    return search.postings(table(s, d, "documents")).select("doc_id", "term", "freq")
+    return search.terms(table(s, d, "documents"))
+
+
+@query("fts_positions", f"""WITH {_TOKENS.replace("SELECT doc_id, lower(unnest(", "SELECT doc_id, k, generate_subscripts(CASE WHEN len(p) > 1 THEN list_append(p, x) ELSE [x] END, 1) AS j, lower(unnest(").replace("SELECT doc_id, w, unnest(w) AS x", "SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS x").replace("SELECT doc_id, x, list_filter", "SELECT doc_id, k, x, list_filter")},
+numbered AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS pos FROM tokens)
+SELECT doc_id, term, count(*) AS freq, string_agg(pos, ',' ORDER BY pos) AS positions FROM numbered GROUP BY ALL""")
+def _(s, d):
+    return search.postings(table(s, d, "documents")).select("doc_id", "term", "freq", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
 @query("fts_df", f"WITH {_TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM tokens GROUP BY term")
 def _(s, d):
-    return search.postings(table(s, d, "documents")).groupBy("term").agg(F.count("*").alias("df"))
+    return search.terms(table(s, d, "documents")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query("fts_norms", f"WITH {_TOKENS} SELECT documents.doc_id, count(term) AS dl FROM documents LEFT JOIN tokens USING (doc_id) GROUP BY 1")
+def _(s, d):
+    return search.norms(table(s, d, "documents"))
 
 
 def _bm25_sql(tail: str, dead: str = "false", corpus: str = "tokens") -> str:
@@ -253,14 +281,19 @@ SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * f * 2.2 / (f + 1.
 FROM tf JOIN df USING (term) JOIN dl USING (doc_id), corpus GROUP BY doc_id {tail}"""
 
 
-@query("fts_bm25", _bm25_sql(""))
+@query("fts_scan", _bm25_sql(""))
 def _(s, d):
     return search.bm25(table(s, d, "documents"), SEARCH).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("fts_bm25", _bm25_sql(""))
+def _(s, d):
+    return _index(s, d).bm25(SEARCH).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("fts_bm25_topk", _bm25_sql("ORDER BY sum(ln((n - df + 0.5) / (df + 0.5) + 1) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) DESC, doc_id LIMIT 10"))
 def _(s, d):
-    return search.search(table(s, d, "documents"), SEARCH, 10).select("doc_id", F.round("score", 6).alias("score"))
+    return _index(s, d).search(SEARCH, 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("fts_tombstones", _bm25_sql("", "doc_id % 17 = 0"))
@@ -280,7 +313,7 @@ def _(s, d):
 @query("fts_merge_segments", f"WITH {_TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM tokens WHERE doc_id % 17 <> 0 GROUP BY term")
 def _(s, d):
     docs = table(s, d, "documents")
-    old, new = search.postings(docs), search.postings(docs.where("doc_id % 5 = 0"))
+    old, new = search.terms(docs), search.terms(docs.where("doc_id % 5 = 0"))
     return search.merge_segments(old, new, docs.where("doc_id % 17 = 0").select("doc_id")).groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -358,7 +391,7 @@ _FOCUS = "src3/doc_3"
 @query("context_candidates", f"""WITH {NODES}, {RELATIONS}, {DECISIONS}, {KNOWLEDGE_LINKS}, active AS (SELECT * FROM klinks)
 SELECT ref FROM {reach_sql('e:' + _FOCUS, 2, True)} UNION SELECT ref FROM {reach_sql('e:' + _FOCUS, 2, False)} UNION SELECT 'e:{_FOCUS}'""")
 def _(s, d):
-    return retrieval.candidates(s, _klinks(s, d), [_FOCUS]).select("ref")
+    return retrieval.candidates(s, _knowledge(s, d), [_FOCUS]).select("ref")
 
 
 @query("context_assemble", rf"""WITH RECURSIVE {NODES}, {RELATIONS}, {DECISIONS}, {KNOWLEDGE_LINKS}, active AS (SELECT * FROM klinks),
@@ -376,14 +409,14 @@ def _(s, d):
     from datetime import UTC, datetime
 
     request = retrieval.Request([_FOCUS], datetime(2024, 2, 1, tzinfo=UTC))
-    return retrieval.assemble(s, _assemble_log(s, d), _klinks(s, d), request).select("ref", F.round("score", 6).alias("score"))
+    return retrieval.assemble(s, _assemble_log(s, d), _knowledge(s, d), request).select("ref", F.round("score", 6).alias("score"))
 
 
 @query("anticipated", f"""WITH {NODES}, {RELATIONS}, {DECISIONS}, {KNOWLEDGE_LINKS}
 SELECT DISTINCT ref FROM (SELECT dst_ref AS ref FROM klinks WHERE src_ref = 'e:{_FOCUS}' UNION SELECT src_ref FROM klinks WHERE dst_ref = 'e:{_FOCUS}') WHERE ref NOT LIKE 'd:%' AND ref <> 'e:{_FOCUS}'""")
 def _(s, d):
     served = model.decisions(s, d).select(F.concat(F.lit("d:"), "id").alias("ref"))
-    return retrieval.anticipated(_klinks(s, d), _start(s, f"e:{_FOCUS}"), served)
+    return retrieval.anticipated(_knowledge(s, d), _start(s, f"e:{_FOCUS}"), served)
 
 
 @query("recall_substring", "SELECT doc_id, (CASE WHEN contains(lower(text), 'erst') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'und') THEN 1 ELSE 0 END + CASE WHEN contains(source, 'src1') THEN 0 ELSE 0 END)::INTEGER AS score FROM documents")
@@ -412,7 +445,19 @@ def _fans(s: SparkSession, d: str) -> DataFrame:
 
 
 query("topology_fans", f"{_FANS} SELECT * FROM fans")(_fans)
-query("topology_entry_points", f"{_FANS} SELECT ref, fan_out FROM fans WHERE fan_in <= 1 AND fan_out >= 3 ORDER BY fan_out DESC, ref LIMIT 5")(lambda s, d: reports.entry_points(_fans(s, d)).select("ref", "fan_out"))
+
+
+@query("topology_entry_points", f"""WITH {NODES}, {RELATIONS}, x AS (SELECT source_node_id AS path, 0 AS i, 1 AS o FROM relations UNION ALL SELECT target_node_id, 1, 0 FROM relations),
+fans AS (SELECT 'e:' || file_path AS ref, coalesce(sum(i), 0)::BIGINT AS fan_in, coalesce(sum(o), 0)::BIGINT AS fan_out FROM nodes LEFT JOIN x ON path = file_path GROUP BY 1)
+SELECT ref, fan_out FROM fans WHERE fan_in <= 1 AND fan_out >= 3 ORDER BY fan_out DESC, ref LIMIT 5""")
+def _(s, d):
+    # every relation as an import: with the links of the other queries no document has three
+    entities = model.nodes(s, d).select(F.concat(F.lit("e:"), "file_path").alias("ref"))
+    ref = lambda c: F.concat(F.lit("e:"), c)
+    links = model.relations(s, d).select(ref("source_node_id").alias("src_ref"), F.lit("imports").alias("edge_type"), ref("target_node_id").alias("dst_ref"))
+    return reports.entry_points(reports.fan_counts(entities, links, model.decisions(s, d).where("false"))).select("ref", "fan_out")
+
+
 query("topology_core_modules", f"{_FANS} SELECT regexp_replace(regexp_replace(ref, '^e:', ''), '/[^/]*$', '') AS module, sum(fan_in)::BIGINT AS incoming FROM fans WHERE fan_in > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")(lambda s, d: reports.core_modules(_fans(s, d)))
 query("topology_hotspots", f"{_FANS} SELECT ref, must_count FROM fans WHERE must_count >= 3 ORDER BY must_count DESC, ref LIMIT 5")(lambda s, d: reports.hotspots(_fans(s, d)).select("ref", "must_count"))
 

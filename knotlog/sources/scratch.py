@@ -29,8 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed with the scope or process it is made in."""
     path = f"{shared_dir(spark)}/knotlog-{label}-{uuid.uuid4().hex}"
-    if not _MADE:
-        atexit.register(_at_exit)
     _MADE.append(path)
     return path
 
@@ -73,10 +71,11 @@ def scoped(spark: SparkSession) -> Iterator[None]:
         remove(spark, own)
 
 
+@atexit.register
 def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        try:
+    try:
+        spark = SparkSession.getActiveSession() if _MADE else None
+        if spark is not None and spark.sparkContext._jsc is not None:
             remove(spark, _MADE)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            pass
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass

@@ -42,10 +42,45 @@ def test_lifecycle_and_time(spark):
     assert near(edge_types=["u"]) == {"e:d"}
 
 
-def test_cap(spark):
+def capped_bfs(edges, start, depth, ways, cap):
+    """Breadth first by one queue; ``edges`` are (source, type, target)."""
+    seen, out, queue = {(start, w) for w in ways}, {}, [(start, 0, w) for w in ways]
+    while queue:
+        at, d, way = queue.pop(0)
+        if d >= depth:
+            continue
+        near = sorted((t, b) for a, t, b in edges if a == at) if way == "f" else sorted((t, a) for a, t, b in edges if b == at)
+        for _, n in near:
+            if (n, way) in seen:
+                continue
+            seen.add((n, way))
+            if len(seen) > cap:
+                return out, True
+            out.setdefault(n, d + 1)
+            queue.append((n, d + 1, way))
+    return out, False
+
+
+@pytest.mark.parametrize("held", [300, 0])
+def test_cap(spark, monkeypatch, held):
+    """Over the cap a walk returns what it visited, in its order; small and large frontiers alike."""
+    monkeypatch.setattr(graph, "LITERALS", held)
     links = spark.createDataFrame([("e:a", "t", f"e:{i}", 1, 0, "active") for i in range(9)], LINK)
     got = graph.reachable(links, spark.createDataFrame([("e:a",)], "ref string"), 3, cap=5).collect()
-    assert all(r["capped"] for r in got) and len(got) == 9
+    assert all(r["capped"] for r in got) and {r["ref"] for r in got} == {"e:0", "e:1", "e:2", "e:3"}
+    rnd = random.Random(3)
+    edges = {(f"e:{rnd.randrange(30)}", rnd.choice("tu"), f"e:{rnd.randrange(30)}") for _ in range(70)}
+    links = spark.createDataFrame([(a, t, b, 1, 0, "active") for a, t, b in edges], LINK)
+    index = graph.EdgeIndex.build(links)
+    start = spark.createDataFrame([("e:1",), ("e:2",), ("e:77",)], "ref string")
+    for cap, direction, ways in ((8, "forward", "f"), (13, "both", "fr"), (500, "reverse", "r")):
+        for source in (links, index):
+            got = {}
+            for r in graph.reachable(source, start, 4, direction, cap=cap).collect():
+                got.setdefault(r["start"], ({}, r["capped"]))[0][r["ref"]] = r["depth"]
+            for s in ("e:1", "e:2", "e:77"):
+                want = capped_bfs(edges, s, 4, ways, cap)
+                assert got.get(s, ({}, False)) == (want if want[0] else ({}, False))
 
 
 def test_as_of_stops_first(spark):
@@ -81,6 +116,60 @@ def test_budget(spark, seed):
     assert df.select(scoring.fit_to_budget(F.col("c"), F.lit(limit)).alias("t")).first()["t"] == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_admit(spark, seed):
+    """Of many sections only those that can be admitted are folded; the result is the whole fold's."""
+    rnd = random.Random(seed)
+    rows = [(f"r{i}", rnd.choice("ab"), rnd.random(), rnd.randrange(3), rnd.choice([0, 1, 1, 2, 3, 7, 40, 500])) for i in range(400)]
+    limit, want = 90, set()
+    for key in "ab":
+        used = 0
+        for ref, _, _, _, cost in sorted((r for r in rows if r[1] == key), key=lambda r: (-r[2], r[3], r[0])):
+            if used + cost <= limit:
+                used += cost
+                want.add(ref)
+    df = spark.createDataFrame(rows, "ref string, k string, score double, depth int, tokens int")
+    got = retrieval.admit(df, limit, ["k"]).collect()
+    assert len(got) == 400 and {r["ref"] for r in got if r["admitted"]} == want
+    assert retrieval.admit(df, 0).where("admitted").count() == 0
+
+
+def test_index(spark, tmp_path):
+    """Added, replaced and deleted documents are found as a scan of the live ones finds them."""
+    rnd = random.Random(4)
+    words = ["alpha", "betaGamma", "delta", "eps_zeta", "東京都", "Omega9", "omega"]
+    make = lambda ids: [(i, " ".join(rnd.choices(words, k=rnd.randrange(0, 9))) or None) for i in ids]
+    first, second = make(range(40)), make(range(30, 50))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = search.Index.build(frame(first), str(tmp_path / "index"), buckets=3)
+    near = lambda df: {r["doc_id"]: pytest.approx(r["score"]) for r in df.collect()}
+    for q in ("alpha", "beta omega 京都", "nothing", ""):
+        assert {r["doc_id"]: r["score"] for r in index.bm25(q).collect()} == near(search.bm25(frame(first), q))
+    index.add(frame(second))
+    index.delete(frame([(3, None), (35, None)]))
+    index.add(frame([(3, "alpha again")]))
+    live = [r for r in first if r[0] < 30 and r[0] != 3] + [r for r in second if r[0] != 35] + [(3, "alpha again")]
+    index.save()
+    index = search.Index.open(spark, str(tmp_path / "index"))
+    for _ in range(2):
+        for q in ("alpha", "gamma 9"):
+            assert {r["doc_id"]: r["score"] for r in index.bm25(q, live_statistics=True).collect()} == near(search.bm25(frame(live), q))
+        index.compact()
+    assert len(index.segments) == 1 and not index.tombstones and index.search("alpha", 2).count() == 2
+
+
+def test_terms_match_tokenizer(spark):
+    texts = ["parseJSON error_code parseJSON", "東京都 x 東京", "v2Ray東 カード", "", "__ _ a_b_C"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in docs.select("doc_id", text.tokenize(F.col("text")).alias("t")).collect():
+        want = {}
+        for k, t in enumerate(r["t"]):
+            want.setdefault(t, []).append(k)
+        got = {x["term"]: x["positions"] for x in search.postings(docs).where(F.col("doc_id") == r["doc_id"]).collect()}
+        assert got == want
+    assert {r["doc_id"]: r["dl"] for r in search.norms(docs).collect()}[3] == 0
+
+
 def test_tokenizer(spark):
     cases = {"parseJSON error_code": ["parse", "json", "parsejson", "error", "code", "error_code"], "東京都 x": ["東京", "京都", "x"], "v2Ray東": ["v", "2", "ray", "v2ray", "東"], "": [], "__": ["__"], "カード": ["カー", "ード"]}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
