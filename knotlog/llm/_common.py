@@ -95,16 +95,17 @@ class Words:
     """The words of consecutive texts: byte spans, owning row and 64-bit hash.
 
     A word is a run of bytes other than space and 0x09-0x0D, which is the same
-    as a run of such code points.  Words never cross rows.
+    as a run of such code points, or of the bytes that ``solid`` marks.  Words
+    never cross rows.
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, which: int = 0):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, which: int = 0, solid: np.ndarray | None = None):
         n, rows = len(data), len(offs) - 1
         self.rows = rows
         if lower:
             data = LOWER[data]
         self.data = data
-        solid = ~_WS[data]
+        solid = (~_WS if solid is None else solid)[data]
         edge = np.zeros(n + 1, bool)
         edge[offs] = True
         before = np.zeros(n, bool)

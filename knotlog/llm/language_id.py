@@ -4,18 +4,24 @@ Each language has a probability for every piece of a fixed public vocabulary of
 byte strings.  The probability of a word is the sum over all its segmentations
 into pieces, which a forward algorithm adds up position by position for all
 languages at once; expectation maximisation with the matching backward pass
-learns the pieces' probabilities from labelled text.  A text is the product of
-its words.
+learns the pieces' probabilities from labelled text.  Every piece of the
+vocabulary counts and words are never cut: sums are scaled as they go, so a
+word may have any length.  A text's log probability is the sum of its words',
+over the root of their number, which keeps the score of long texts from
+becoming 0 or 1 for all but ties; the score is the best language's share.
 
 Scale: learning takes a bounded sample of labelled rows (``MAX_DOCS`` of each
-language, of them the ``MAX_WORDS`` most frequent words), so what reaches the
-driver does not grow.  The model (vocabulary x languages) is broadcast and
-every row is scored where it lies: no shuffle.  Words met before are looked up.
+language), so what reaches the driver does not grow.  The model (vocabulary x
+languages) is broadcast and every row is scored where it lies: no shuffle.
+Words met before are looked up by hash, ``REMEMBER`` of them at most.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 rows without a label are scored but not learned from; ties go to the language
-first in order; with nothing to learn from everything is ``und``; repeated rows
-are scored alike; a null id is never held out and never learned from.
+first in order; with nothing to learn from (an empty table too) everything is
+``und``; repeated rows are scored alike; a null id is never held out and never
+learned from; other columns pass through, and one named as an output column is
+replaced (``prefix`` keeps both).  A very long text is scored in one slice of
+its own, about 60 bytes a byte.
 """
 
 from __future__ import annotations
@@ -32,21 +38,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotlog.llm._common import slices, table
+from knotlog.llm._common import Words, slices, table, utf8
 
 #: Labelled rows of one language that are learned from, about.
 MAX_DOCS = 600
-#: Distinct words of one language that are learned from, at most.
-MAX_WORDS = 20_000
 ROUNDS = 4
 #: Added to every piece's expected count.
 SMOOTH = 0.02
-#: Longest piece, and longest stretch of a word that is segmented at once.
-LONGEST, STRETCH = 16, 32
-#: Words that one Python process remembers at most.
-REMEMBER = 300_000
+#: Words that one Python process remembers at most (about 150 bytes each).
+REMEMBER = 150_000
+#: Words that one forward pass holds at most, and their bytes.
+PASS_WORDS, PASS_BYTES = 20_000, 1 << 20
+#: Sums below this are scaled up.
+TINY = 1e-100
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of runs that may hold letters: ASCII letters and all of other characters.
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def default_path() -> str:
@@ -56,97 +65,183 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+class Pieces:
+    """A vocabulary of byte strings as a trie in one hash table.
+
+    A node is the number of a prefix of a piece; ``step`` follows a byte and
+    gives -1 where no piece goes on.
+    """
+
+    def __init__(self, vocabulary: list[bytes]):
+        self.size = len(vocabulary)
+        edges: dict[int, int] = {}
+        piece = [-1]
+        for number, p in enumerate(vocabulary):
+            node = 0
+            for byte in p:
+                key = node << 8 | byte
+                to = edges.get(key)
+                if to is None:
+                    to = edges[key] = len(piece)
+                    piece.append(-1)
+                node = to
+            piece[node] = number
+        self.piece = np.array(piece, np.int32)
+        keys, to = np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int32, len(edges))
+        bits = max(8, int(len(keys) * 4).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # each free slot goes to one of those that want it, the others try the next
+            free = self.keys[at] == -1
+            slot, first = np.unique(at[free], return_index=True)
+            own = np.flatnonzero(free)[first]
+            self.keys[slot], self.to[slot] = keys[left[own]], to[left[own]]
+            rest = np.ones(len(left), bool)
+            rest[own] = False
+            left, at = left[rest], (at[rest] + 1) & ((1 << bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        key = node.astype(np.int64) << 8 | byte
+        at = self._slot(key)
+        out = np.where(self.keys[at] == key, self.to[at], -1)
+        left = np.flatnonzero((self.keys[at] != key) & (self.keys[at] != -1))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            hit = self.keys[at] == key[left]
+            out[left[hit]] = self.to[at[hit]]
+            go = ~hit & (self.keys[at] != -1)
+            left, at = left[go], at[go]
+        return out
+
+
 @functools.lru_cache(maxsize=2)
-def pieces(path: str) -> dict[bytes, int]:
-    """Number of each piece; every single byte is a piece."""
+def pieces(path: str) -> Pieces:
+    """The vocabulary of ``path``; every single byte is a piece of it."""
     with open(path, "rb") as f:
         found = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    kept = dict.fromkeys([bytes([b]) for b in range(256)] + [p for p in found if len(p) <= LONGEST])
-    return {p: i for i, p in enumerate(kept)}
+    return Pieces(list(dict.fromkeys([bytes([b]) for b in range(256)] + found)))
 
 
 class Lattice:
-    """All segmentations of a list of byte strings.
+    """All segmentations of byte strings of like length, position by position."""
+
+    def __init__(self, words: list[bytes], vocabulary: Pieces):
+        self.vocabulary = vocabulary
+        self.lens = np.array([len(w) for w in words], np.int64)
+        self.width = int(self.lens.max())
+        self.bytes = np.zeros((self.width, len(words)), np.uint8)
+        for k, w in enumerate(words):
+            self.bytes[: len(w), k] = np.frombuffer(w, np.uint8)
+
+    def edges(self, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, words, pieces) of what starts at position ``i``."""
+        live = np.flatnonzero(self.lens > i)
+        node = np.zeros(len(live), np.int32)
+        at = i
+        while len(live):
+            node = self.vocabulary.step(node, self.bytes[at, live])
+            go = node >= 0
+            live, node = live[go], node[go]
+            at += 1
+            piece = self.vocabulary.piece[node]
+            ends = piece >= 0
+            if ends.any():
+                yield at - i, live[ends], piece[ends]
+            go = self.lens[live] > at
+            live, node = live[go], node[go]
+
+    def forward(self, prob: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of all ways to each position, and their scale: true sum = sum * exp(scale).
+
+        ``keep`` gets the edges of each position.
+        """
+        n, columns = len(self.lens), prob.shape[1]
+        alpha = np.zeros((self.width + 1, n, columns))
+        alpha[0] = 1.0
+        scale, now = np.zeros((self.width + 1, n, columns)), np.zeros((n, columns))
+        for i in range(self.width):
+            found = list(self.edges(i))
+            if keep is not None:
+                keep.append(found)
+            low = np.flatnonzero(((alpha[i] < TINY) & (alpha[i] > 0)).any(axis=1)) if i else ()
+            if len(low):  # what is summed so far moves to the scale of this position
+                up = np.where(alpha[i, low] > 0, alpha[i, low], 1.0)
+                alpha[i:, low] /= up
+                now[low] += np.log(up)
+            scale[i] = now
+            for length, words, piece in found:
+                alpha[i + length, words] += alpha[i, words] * prob[piece]
+            ended = np.flatnonzero(self.lens == i + 1)
+            if len(ended):
+                scale[i + 1 :, ended] = now[ended]
+        return alpha, scale
+
+    def totals(self, alpha: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Log probability of each word in each column."""
+        at = (self.lens, np.arange(len(self.lens)))
+        return np.log(np.maximum(alpha[at], 1e-300)) + scale[at]
+
+    def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected number of each piece over all segmentations (one column)."""
+        kept: list = []
+        alpha, scale = self.forward(prob, kept)
+        total = self.totals(alpha, scale)[:, 0]
+        alpha, scale = alpha[:, :, 0], scale[:, :, 0]
+        beta, back, now = np.zeros_like(alpha), np.zeros_like(alpha), np.zeros(len(self.lens))
+        beta[self.lens, np.arange(len(self.lens))] = 1.0
+        out = np.zeros(len(prob))
+        for i in range(self.width - 1, -1, -1):
+            for length, words, piece in kept[i]:
+                p = prob[piece, 0]
+                into = beta[i + length, words] * np.exp(back[i + length, words] - now[words])
+                beta[i, words] += p * into
+                share = np.exp(np.log(np.maximum(alpha[i, words] * p * beta[i + length, words], 1e-300)) + scale[i, words] + back[i + length, words] - total[words])
+                out += np.bincount(piece, weight[words] * share, len(prob))
+            low = np.flatnonzero((beta[i] < TINY) & (beta[i] > 0))
+            now[low] += np.log(beta[i, low])
+            beta[i, low] = 1.0
+            back[i] = now
+        return out
 
-    An edge is a piece at a place; position ``base[w] + i`` lies before byte
-    ``i`` of word ``w``.  Edges are ordered by how far into its word they end.
-    """
 
-    def __init__(self, words: list[bytes], vocabulary: dict[bytes, int]):
-        get = vocabulary.get
-        lens = np.array([len(w) for w in words], np.int64)
-        self.base = np.cumsum(lens + 1) - lens - 1
-        self.size = int((lens + 1).sum())
-        self.last = self.base + lens
-        start, end, piece = [], [], []
-        for w, at in zip(words, self.base.tolist(), strict=True):
-            n = len(w)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    k = get(w[i:j])
-                    if k is not None:
-                        start.append(at + i)
-                        end.append(at + j)
-                        piece.append(k)
-        s, e, p = (np.array(x, np.int64) for x in (start, end, piece))
-        within = np.zeros(self.size, np.int64)
-        within[:] = np.arange(self.size) - np.repeat(self.base, lens + 1)
-        self.forward_steps = self._steps(s, e, p, within[e], e)
-        self.start, self.end, self.piece, self.within = s, e, p, within
-
-    @staticmethod
-    def _steps(s: np.ndarray, e: np.ndarray, p: np.ndarray, depth: np.ndarray, into: np.ndarray) -> list[tuple]:
-        order = np.lexsort((into, depth))
-        s, e, p, depth, into = (x[order] for x in (s, e, p, depth, into))
-        cuts = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1]]) if len(depth) else np.zeros(0, np.int64)
-        out = []
-        for a, b in zip(cuts, np.r_[cuts[1:], len(depth)], strict=True):
-            t = into[a:b]
-            head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            out.append((s[a:b], e[a:b], p[a:b], head, t[head]))
-        return out
+def batches_of(words: list[bytes]) -> Iterator[np.ndarray]:
+    """Numbers of words of like length, as many as one pass holds."""
+    lens = np.array([len(w) for w in words], np.int64)
+    step = np.ceil(np.log2(np.maximum(lens, 8)) * 4).astype(np.int64)
+    order = np.lexsort((lens, step))
+    a = 0
+    while a < len(order):
+        most = max(1, min(PASS_WORDS, PASS_BYTES // int(2 ** ((step[order[a]]) / 4))))
+        b = min(a + most, int(np.searchsorted(step[order], step[order[a]], "right")))
+        yield order[a:b]
+        a = b
 
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """Summed probability of all ways to each position, for each column."""
-        alpha = np.zeros((self.size, prob.shape[1]))
-        alpha[self.base] = 1.0
-        for s, _, p, head, into in self.forward_steps:
-            alpha[into] = np.add.reduceat(alpha[s] * prob[p], head, axis=0)
-        return alpha
 
-    def backward(self, prob: np.ndarray) -> np.ndarray:
-        """Summed probability of all ways from each position to the end."""
-        beta = np.zeros((self.size, prob.shape[1]))
-        beta[self.last] = 1.0
-        depth = -self.within[self.start]
-        for _, e, p, head, into in self._steps(self.start, self.end, self.piece, depth, self.start):
-            beta[into] = np.add.reduceat(beta[e] * prob[p], head, axis=0)
-        return beta
+def words_in(text: str) -> list[str]:
+    """Lower-cased runs of word characters with a letter, without digits."""
+    return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
-def stretches(word: str) -> list[bytes]:
-    """A word with its leading space as byte strings of bounded length."""
-    data = (" " + word).encode("utf-8", "replace")
-    return [data[i : i + STRETCH] for i in range(0, len(data), STRETCH)]
+def as_bytes(word: str) -> bytes:
+    """A word as the vocabulary's pieces write it, with its leading space."""
+    return (" " + word).encode("utf-8", "replace")
 
 
-def fit_language(counts: dict[str, int], vocabulary: dict[bytes, int]) -> np.ndarray:
+def fit_language(counts: dict[str, int], vocabulary: Pieces) -> np.ndarray:
     """Piece probabilities of one language from its words' counts."""
-    parts: Counter[bytes] = Counter()
-    for word, n in counts.items():
-        for x in stretches(word):
-            parts[x] += n
-    words = list(parts)
-    weight = np.array([parts[w] for w in words], float)
-    lattice = Lattice(words, vocabulary)
-    prob = np.full((len(vocabulary), 1), 1 / len(vocabulary))
+    words = [as_bytes(w) for w in counts]
+    weight = np.fromiter(counts.values(), float, len(counts))
+    parts = [(Lattice([words[k] for k in own], vocabulary), weight[own]) for own in batches_of(words)]
+    prob = np.full((vocabulary.size, 1), 1 / vocabulary.size)
     for _ in range(ROUNDS):
-        alpha, beta = lattice.forward(prob), lattice.backward(prob)
-        each = np.zeros(lattice.size)
-        owner = np.repeat(np.arange(len(words)), lattice.last - lattice.base + 1)
-        each[:] = (weight / alpha[lattice.last, 0])[owner]
-        expected = alpha[lattice.start, 0] * prob[lattice.piece, 0] * beta[lattice.end, 0] * each[lattice.start]
-        new = np.bincount(lattice.piece, expected, len(vocabulary)) + SMOOTH
+        new = np.full(vocabulary.size, SMOOTH)
+        for lattice, w in parts:
+            new += lattice.expected(prob, w)
         prob = (new / new.sum())[:, None]
     return prob[:, 0]
 
@@ -162,7 +257,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     learn = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("_id")))
     sizes = {r["_lang"]: r["n"] for r in learn.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return [], np.zeros((len(pieces(path)), 0))
+        return [], np.zeros((pieces(path).size, 0))
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, MAX_DOCS / n)])
     point = F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(1_000_000)) / 1e6
     sample = learn.where(point < F.element_at(share, F.col("_lang"))).select("_lang", "_text")
@@ -171,63 +266,77 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
         for batch in batches:
             found: Counter = Counter()
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update((name, w) for w in _WORD.findall(text.lower()) if len(w) <= 60)
+                found.update((name, w) for w in words_in(text))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found]), pa.array(list(found.values()), pa.int64())], ["_lang", "word", "n"])
 
-    counted = sample.mapInArrow(words, "_lang string, word string, n long").groupBy("_lang", "word").agg(F.sum("n").alias("n"))
-    languages = sorted(sizes)
-    model = []
-    counted = counted.persist()
-    for name in languages:
-        top = counted.where(F.col("_lang") == name).orderBy(F.col("n").desc(), "word").limit(MAX_WORDS).toArrow()
-        model.append(fit_language(dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)), pieces(path)))
-    counted.unpersist()
-    return languages, np.stack(model, axis=1)
+    # words of the bounded sample
+    counted = sample.mapInArrow(words, "_lang string, word string, n long").groupBy("_lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("_lang", "ascending"), ("word", "ascending")])
+    by: dict[str, dict[str, int]] = {name: {} for name in sorted(sizes)}
+    for name, word, n in zip(*[counted.column(c).to_pylist() for c in ("_lang", "word", "n")], strict=True):
+        by[name][word] = n
+    by = {name: words_of for name, words_of in by.items() if words_of}
+    if not by:
+        return [], np.zeros((pieces(path).size, 0))
+    return list(by), np.stack([fit_language(x, pieces(path)) for x in by.values()], axis=1)
 
 
 class Scorer:
-    """Scores texts with a fitted model; remembers words."""
+    """Scores texts with a fitted model; remembers runs of letters by hash."""
 
     def __init__(self, languages: list[str], prob: np.ndarray, path: str):
         self.languages, self.prob, self.vocabulary = languages, prob, pieces(path)
-        self.at: dict[str, int] = {}
+        self.at: dict[int, int] = {}
         self.rows = np.zeros((1024, len(languages) + 1))
 
-    def learn(self, new: list[str]) -> None:
-        """Log probability of words in each language; the last column marks letters."""
-        cut = [stretches(w) for w in new]
-        flat = [x for parts in cut for x in parts]
-        lattice = Lattice(flat, self.vocabulary)
-        logs = np.log(np.maximum(lattice.forward(self.prob)[lattice.last], 1e-300))
-        head = np.cumsum([0, *[len(c) for c in cut[:-1]]])
+    def log_probability(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word in each language."""
+        data, out = [as_bytes(w) for w in words], np.zeros((len(words), len(self.languages)))
+        for own in batches_of(data):
+            lattice = Lattice([data[k] for k in own], self.vocabulary)
+            out[own] = lattice.totals(*lattice.forward(self.prob))
+        return out
+
+    def learn(self, hashes: list[int], runs: list[bytes]) -> None:
+        """Sums of a run's words in each language; the last column counts the words."""
+        found = [words_in(x.decode("utf-8", "replace")) for x in runs]
+        new = list({w for words in found for w in words})
+        number = dict(zip(new, range(len(new)), strict=True))
+        logs = np.hstack([self.log_probability(new), np.ones((len(new), 1))]) if new else np.zeros((0, self.rows.shape[1]))
         n = len(self.at)
-        if n + len(new) > len(self.rows):
-            self.rows = np.vstack([self.rows[:n], np.zeros((n + 2 * len(new) + 1024, self.rows.shape[1]))])
-        letters = np.array([any(map(str.isalpha, w)) for w in new])
-        self.rows[n : n + len(new), :-1] = np.add.reduceat(logs, head, axis=0) * letters[:, None]
-        self.rows[n : n + len(new), -1] = letters
-        self.at.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        docs = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        if n + len(runs) > len(self.rows):
+            self.rows = np.vstack([self.rows[:n], np.zeros((n // 2 + len(runs) + 1024, self.rows.shape[1]))])
+        owner = np.repeat(np.arange(len(runs)), [len(words) for words in found])
+        own = logs[[number[w] for words in found for w in words]] if new else logs
+        for c in range(self.rows.shape[1]):
+            self.rows[n : n + len(runs), c] = np.bincount(owner, own[:, c], len(runs))
+        self.at.update(zip(hashes, range(n, n + len(runs)), strict=True))
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text of a slice (bytes and row offsets)."""
+        rows = len(offs) - 1
+        runs = Words(data, offs, lower=True, solid=_LETTERS)
+        if not len(runs) or not self.languages:
+            return ["und"] * rows, np.zeros(rows)
+        hashes, first, which = np.unique(runs.hash, return_index=True, return_inverse=True)
+        keys = hashes.tolist()
         if len(self.at) > REMEMBER:
             self.at.clear()
-        new = list({w for d in docs for w in d if w not in self.at})
-        for i in range(0, len(new), 20_000):
-            self.learn(new[i : i + 20_000])
-        get = self.at.__getitem__
-        names, scores = [], []
-        for d in docs:
-            if d and self.languages and (total := self.rows[np.fromiter(map(get, d), np.int64, len(d))].sum(axis=0))[-1]:
-                logp = total[:-1] / np.sqrt(total[-1])
-                best = int(np.argmax(logp))
-                names.append(self.languages[best])
-                scores.append(float(1 / np.exp(logp - logp[best]).sum()))
-            else:
-                names.append("und")
-                scores.append(0.0)
-        return names, scores
+        new = [k for k, h in enumerate(keys) if h not in self.at]
+        if new:
+            raw = runs.data.tobytes()
+            a, b = runs.start[first[new]].tolist(), runs.end[first[new]].tolist()
+            self.learn([keys[k] for k in new], [raw[x:y] for x, y in zip(a, b, strict=True)])
+        at = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        total = np.zeros((rows, self.rows.shape[1]))
+        for c in range(total.shape[1]):
+            total[:, c] = np.bincount(runs.row, self.rows[at, c][which], rows)
+        words = total[:, -1]
+        logp = total[:, :-1] / np.sqrt(np.maximum(words, 1))[:, None]
+        best = np.argmax(logp, axis=1)
+        score = 1 / np.exp(logp - logp[np.arange(rows), best][:, None]).sum(axis=1)
+        names = [self.languages[k] if n else "und" for k, n in zip(best.tolist(), words.tolist(), strict=True)]
+        return names, np.where(words > 0, score, 0.0)
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -253,7 +362,7 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, text: str =
         score = _SCORERS[key]
         for whole in batches:
             for batch in slices(whole, text):
-                found, sure = score(batch.column(text).to_pylist())
+                found, sure = score(*utf8(batch.column(text)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*names, *new])
 
     return docs.mapInArrow(run, out)
