@@ -1,20 +1,25 @@
-"""A Python data source of commits exported as ``git log`` text.
+"""Commits of a repository as rows: one for each file of each commit.
 
-Register it with ``spark.dataSource.register(CommitLog)`` and read a file made
-by ``git log --name-status --format=%x01%H%x02%an%x02%aI%x02%B%x03``.
+``read_log`` reads text that ``export`` or ``git log`` (in ``FORMAT``) left in
+any folder Spark reaches; its records are split over tasks by Spark's own text
+reader.  ``GitLog`` reads a repository that is mounted on the executors, some
+hundred commits a task; register it with ``spark.dataSource.register(GitLog)``.
 """
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from knotlog.functions.text import commit_decision_id, commit_decision_title, commit_type, is_commit_decision
 
 SCHEMA = "sha string, author string, time string, message string, action string, path string"
+#: Options of ``git log`` that make the text read here.
+FORMAT = ["--name-status", "--format=%x01%H%x02%an%x02%aI%x02%B%x03"]
 #: Only so many days and commits count as recent.
 RECENT_DAYS, RECENT_COMMITS = 90, 200
 
@@ -30,35 +35,54 @@ def parse_log(text: str) -> Iterator[tuple]:
                 yield sha, author, time, message.strip(), parts[0][:1], parts[-1]
 
 
+def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rows of exported logs, by built-in functions; a record is a line of the reader."""
+    raw = spark.read.option("lineSep", "\x01").text(path)
+    part = lambda c, mark, n: F.split_part(c, F.lit(mark), F.lit(n))
+    head, files = part(F.col("value"), "\x03", 1), part(F.col("value"), "\x03", 2)
+    one = raw.where(F.contains("value", F.lit("\x03"))).select(
+        part(head, "\x02", 1).alias("sha"), part(head, "\x02", 2).alias("author"), part(head, "\x02", 3).alias("time"), F.btrim(part(head, "\x02", 4), F.lit(" \t\r\n")).alias("message"),
+        F.explode(F.split(files, "\r?\n")).alias("line"),
+    )
+    parts = F.split("line", "\t")
+    return one.where(F.size(parts) >= 2).select("sha", "author", "time", "message", F.substring(F.get(parts, F.lit(0)), 1, 1).alias("action"), F.element_at(parts, -1).alias("path"))
+
+
+def _git(repository: str, *args: str, given: str | None = None) -> str:
+    return subprocess.run(["git", "-C", repository, *args], input=given, capture_output=True, text=True, errors="replace", check=True).stdout
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, shas: list[str]):
+        self.shas = shas
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, options: dict):
+        self.repository, self.size = options["path"], int(options.get("commits", 500))
+        self.only = [f"--since={options['since']}"] if "since" in options else []
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(p) for p in self.paths]
+        shas = _git(self.repository, "rev-list", *self.only, "HEAD").split()
+        return [_Part(shas[i : i + self.size]) for i in range(0, len(shas), self.size)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8", errors="replace") as f:
-            yield from parse_log(f.read())
+        if partition.shas:
+            yield from parse_log(_git(self.repository, "log", "--no-walk=unsorted", "--stdin", *FORMAT, given="\n".join(partition.shas) + "\n"))
 
 
-class CommitLog(DataSource):
-    """Format ``commitlog``; option ``path`` may name several files with commas."""
+class GitLog(DataSource):
+    """Format ``gitlog``: ``path`` is a repository; ``since`` bounds the commits, ``commits`` a task's."""
 
     @classmethod
     def name(cls) -> str:
-        return "commitlog"
+        return "gitlog"
 
     def schema(self) -> str:
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"].split(","))
+        return _Reader(dict(self.options))
 
 
 def recent(rows: DataFrame, now: Column) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import os
 import tomllib
 from collections.abc import Iterator
@@ -105,50 +104,6 @@ def go_module(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").rlike(r"(^|/)go\.mod$")).select("path", F.regexp_extract(text, r"(?m)^\s*module\s+(\S+)", 1).alias("module_path")).where("module_path <> ''")
 
 
-def python_entities(files: DataFrame) -> DataFrame:
-    """``path, kind, name, line`` of functions, classes and methods in Python files.
-
-    Parsing needs the language itself, so this runs in Arrow batches; a file
-    that does not parse has no entities.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    tree = ast.parse(bytes(content).decode("utf-8", "replace"))
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-                for node in tree.body:
-                    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                        out.append((path, "function", node.name, node.lineno))
-                    elif isinstance(node, ast.ClassDef):
-                        out.append((path, "class", node.name, node.lineno))
-                        out += [(path, "method", f"{node.name}.{x.name}", x.lineno) for x in node.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
-            yield pd.DataFrame(out, columns=["path", "kind", "name", "line"])
-
-    return files.where(paths.language(F.col("path")) == "Python").select("path", "content").mapInPandas(run, "path string, kind string, name string, line int")
-
-
-#: Declarations at the start of a line, for languages without a parser here.
-_DECLARED = {
-    "Go": r"(?m)^(?:func\s+(?:\([^)]*\)\s*)?|type\s+)(\w+)",
-    "JavaScript": r"(?m)^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|class)\s+(\w+)",
-    "TypeScript": r"(?m)^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|class|interface|type|enum)\s+(\w+)",
-    "Java": r"(?m)^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+(\w+)",
-}
-
-
-def declared_names(files: DataFrame) -> DataFrame:
-    """``path, name`` of declarations in Go, JS/TS and Java files, by pattern."""
-    text, lang = F.decode(F.col("content"), "UTF-8"), paths.language(F.col("path"))
-    names = F.array().cast("array<string>")
-    for language, pattern in _DECLARED.items():
-        names = F.when(lang == language, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(names)
-    return files.select("path", F.explode(names).alias("name"))
-
-
 def annotations(files: DataFrame, tag: str = "@kb") -> DataFrame:
     """``file, line, type, name, description`` of annotation comments."""
     code = files.where(paths.extension(F.col("path")).isin(ANNOTATED) & ~F.col("path").rlike(r"(^|/)(vendor|node_modules|\.[^/]*)/"))

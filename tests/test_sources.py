@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from knotlog.sources import commits, files
+from knotlog.operators import fieldindex
+from knotlog.plans import migrations
+from knotlog.sources import commits, entities, files
 from knotlog.sources.store import Locked, Store, once
 from knotlog.streaming import collector
 
@@ -53,8 +55,8 @@ def test_files(spark, repo):
     assert files.file_tree(spark, f"file://{repo}").count() == 7
     found = {(r["path"], r["import_path"]) for r in files.imports(tree).collect()}
     assert found == {("main.go", "fmt"), ("main.go", "a.io/b"), ("main.go", "os"), ("pkg/util/io.py", "os"), ("pkg/util/io.py", "sys"), ("pkg/util/io.py", "a.b"), ("web/x.ts", "./a"), ("web/x.ts", "side"), ("J.java", "a.B.c"), ("J.java", "d.e.*")}
-    assert {r["name"] for r in files.python_entities(tree).collect()} == {"K", "K.m", "f"}
-    assert {r["name"] for r in files.declared_names(tree).collect()} == {"Run", "Q", "J"}
+    found = {(r["path"], r["kind"], r["name"], r["receiver"], r["line"]) for r in entities.entities(tree).collect()}
+    assert found == {("pkg/util/io.py", "class", "K", "", 4), ("pkg/util/io.py", "method", "m", "K", 5), ("pkg/util/io.py", "function", "f", "", 7), ("main.go", "function", "Run", "", 9), ("web/x.ts", "class", "Q", "", 3), ("J.java", "class", "J", "", 3)}
     assert files.go_module(tree).first()["module_path"] == "a.io/repo"
     rule = files.annotation_decisions(files.annotations(tree)).first()
     assert (rule["id"], rule["severity"], rule["body"]) == ("rule:must-log", "must", "[file: main.go:8]\n\nalways")
@@ -71,8 +73,7 @@ def test_layers():
 def test_commits(spark, tmp_path):
     log = "\x01abc123def4567\x02Ann\x022024-01-02T00:00:00Z\x02ADR: use y\n\x03\nA\ta.go\nM\tb.go\n\x01ffff\x02Bob\x022020-01-01T00:00:00Z\x02feat: z\n\x03\nD\tc.go\n"
     (tmp_path / "log").write_text(log)
-    spark.dataSource.register(commits.CommitLog)
-    rows = spark.read.format("commitlog").option("path", str(tmp_path / "log")).load()
+    rows = commits.read_log(spark, str(tmp_path / "log"))
     assert rows.count() == 3
     assert {r["path"] for r in commits.recent(rows, F.lit("2024-02-01").cast("timestamp")).collect()} == {"a.go", "b.go"}
     d = commits.commit_decisions(rows).collect()
@@ -106,3 +107,109 @@ def test_streams(spark, tmp_path):
     seen = []
     collector.watch(spark, str(source), str(tmp_path / "c3"), lambda df, n: seen.append(df.count())).awaitTermination()
     assert seen == [1]
+
+
+GO = """package x
+// Doc {
+func Add(a int, s string) (int, error) {
+	x := "func Bad() {"
+	return a, nil
+}
+func (t *Tree[K]) Get(k K) bool { return true }
+type (
+	A struct {
+		f int
+	}
+	B interface{ M() }
+)
+type D[T any] interface {
+	N()
+}
+const Max = 3
+const (
+	one = iota
+	Two
+)
+"""
+JS = """import x from "y";
+export default class Foo extends Bar {
+  constructor(x) { if (x) { y(); } }
+  async load(a, b = {}) { return `}{`; }
+}
+export async function run(a, {b}) { function inner() {} }
+export const f = async (a) => { return 1 };
+const g = x => x;
+const K = { run() { } };
+interface Q { a: string }
+"""
+JAVA = """package a;
+/** Doc { */
+@Service("x{")
+public class Foo<T> extends Bar {
+  public static final int MAX = 3;
+  private static final String[] NAMES = {"a", "b"};
+  private int n = 0;
+  public Foo(int n) { this.n = n; }
+  @Override
+  public <X> List<X> get(Map<String, X> m) throws E { if (a) { return; } return null; }
+  abstract void none();
+  public static class Inner { void deep() {} }
+}
+interface I { void a(); }
+public enum Color { RED, GREEN; void x() {} }
+@interface Ann { String value() default ""; }
+"""
+
+
+def test_declarations():
+    assert sorted(entities.go(GO)) == sorted([("function", "Add", "", True, 3, 6), ("method", "Get", "Tree", True, 7, 7), ("struct", "A", "", True, 9, 11), ("interface", "B", "", True, 12, 12), ("interface", "D", "", True, 14, 16), ("constant", "Max", "", True, 17, 17), ("constant", "one", "", False, 19, 19), ("constant", "Two", "", True, 20, 20)])
+    assert sorted(entities.javascript(JS)) == sorted([("class", "Foo", "", True, 2, 5), ("method", "constructor", "Foo", True, 3, 3), ("method", "load", "Foo", True, 4, 4), ("function", "run", "", True, 6, 6), ("function", "f", "", True, 7, 7), ("function", "g", "", False, 8, 8), ("constant", "K", "", False, 9, 9), ("interface", "Q", "", False, 10, 10)])
+    got = [x[:4] for x in entities.java(JAVA)]
+    assert got == [("class", "Foo", "", True), ("constant", "MAX", "", True), ("constant", "NAMES", "", False), ("method", "Foo", "Foo", True), ("method", "get", "Foo", True), ("method", "none", "Foo", False), ("class", "Foo.Inner", "", True), ("method", "deep", "Foo.Inner", False), ("interface", "I", "", False), ("method", "a", "I", False), ("enum", "Color", "", True), ("annotation", "Ann", "", False)]
+    for text in ("", "}}}{{{", "func (", "class {", 'class A { String s = "', "type (", "const f = ("):
+        for read in (entities.go, entities.javascript, entities.java):
+            list(read(text))
+
+
+def test_git(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    if not shutil.which("git"):
+        pytest.skip("no git")
+    repo = tmp_path / "r"
+    repo.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=A B", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for i in range(5):
+        (repo / f"f{i}.txt").write_text(str(i))
+        run("add", "-A")
+        run("commit", "-q", "-m", f"feat: number {i}\n\nbody\twith tab")
+    spark.dataSource.register(commits.GitLog)
+    rows = spark.read.format("gitlog").option("commits", 2).load(str(repo))
+    assert rows.rdd.getNumPartitions() == 3 and {(r["path"], r["action"], r["author"]) for r in rows.collect()} == {(f"f{i}.txt", "A", "A B") for i in range(5)}
+    (tmp_path / "log.txt").write_text(subprocess.run(["git", "-C", str(repo), "log", *commits.FORMAT], check=True, capture_output=True, text=True).stdout)
+    assert sorted(map(tuple, commits.read_log(spark, str(tmp_path / "log.txt")).collect())) == sorted(map(tuple, rows.collect()))
+    assert sorted(commits.parse_log((tmp_path / "log.txt").read_text())) == sorted(map(tuple, rows.collect()))
+
+
+def test_field_index(spark, tmp_path):
+    rows = spark.createDataFrame([("a", ["x", "y", "x"], 1), ("b", ["y"], 2), ("c", None, 1), (None, ["x"], 3)], "id string, tags array<string>, n int")
+    index = fieldindex.FieldIndex.build(rows, "tags", str(tmp_path / "i"))
+    assert {r["key"] for r in index.keys(["x"]).collect()} == {"a"} and index.keys([]).count() == 0 and index.keys(["zz"]).count() == 0
+    assert {r["id"] for r in index.rows(rows, ["x", "y"]).collect()} == {"a", "b"}
+    store = Store(spark, str(tmp_path / "s"))
+    store.commit(replace={"t": rows})
+    assert fieldindex.backfill_index(store, "t", "n") and not fieldindex.backfill_index(store, "t", "n")
+    assert sorted(map(tuple, store.table("index_t_n").collect())) == [("1", "a"), ("1", "c"), ("2", "b")]
+
+
+def test_migrations(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    nodes = spark.createDataFrame([("file", "a.go", "a.go", "h", "active", "t")], "type string, file_path string, name string, content_hash string, status string, created_at string")
+    relations = spark.createDataFrame([("kn:a", "b", "", "t"), ("", "b", "x", "t")], "source_node_id string, target_node_id string, type string, created_at string")
+    notes = spark.createDataFrame([("n1", "# Title\nx", "t")], "id string, content string, created_at string")
+    store.commit(replace={"nodes": nodes, "relations": relations, "notes": notes, "evolution": spark.createDataFrame([("x",)], "id string")})
+    assert migrations.migrate(store, 11) == [10, 11] and migrations.migrate(store) == [12, 13, 14, 15] and migrations.migrate(store) == []
+    assert store.table("entities").first()["id"] == "a.go" and store.table("evolution").count() == 0
+    assert [tuple(r)[:3] for r in store.table("links").collect()] == [("e:a", "related", "e:b")] and store.table("decisions").first()["id"] == "note:n1"
