@@ -1,8 +1,7 @@
 """Quality rules (operator 3): text statistics and a calibrated n-gram classifier.
 
 The classifier is a logistic regression over hashed word 1- and 2-grams and
-hashed character (byte) 4-grams of a text, each group as shares of its own
-total.  It is fitted on labelled rows, and its score is turned into a
+hashed 4-grams of code points of a text, each group as shares of its own total.  It is fitted on labelled rows, and its score is turned into a
 probability by a logistic curve fitted on labelled rows that the regression
 did not see.  Texts are scored in Arrow batches against a fixed threshold.
 
@@ -14,7 +13,10 @@ lie, without a shuffle, in slices of bounded size.
 Defined cases: a null text has no words and fails the base rules; with no
 labels, or labels of one value only, the base rules decide alone; several
 labels of one row count as their least; repeated rows are scored alike; rows
-with a null id are scored but never learned from.
+with a null id are scored but never learned from; an empty table gives an empty
+result; other columns pass through but for the text, and one named as an output
+column is replaced.  A very long text is scored in one slice of its own, about
+150 bytes a byte.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotlog.llm._common import Words, runs_of, slices, table, utf8
+from knotlog.llm._common import Words, mix, runs_of, slices, table, utf8
 
 #: Labelled rows of each quality that are learned from, about.
 MAX_LABELLED = 1_200
@@ -43,7 +45,7 @@ _SIZE = 1 << BITS
 _SHIFT = np.uint64(64 - BITS)
 _SYM = np.zeros(256, np.int64)
 _SYM[list(SYMBOLS)] = 1
-_CHAR = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_GRAM = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
 def _bounds(rows: np.ndarray, n: int) -> np.ndarray:
@@ -56,6 +58,18 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and where each begins."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    head = data[at].astype(np.int64)
+    more = (head >= 0xC0).astype(np.int64) + (head >= 0xE0) + (head >= 0xF0)
+    point = head & np.array([0x7F, 0x1F, 0x0F, 0x07])[more]
+    for k in (1, 2, 3):
+        some = np.flatnonzero(more >= k)
+        point[some] = point[some] << 6 | data[at[some] + k] & 0x3F
+    return point, at
+
+
 def ngram_buckets(data: np.ndarray, offs: np.ndarray, words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """(bucket of each occurrence, bounds of each row's occurrences) by table."""
     n = len(offs) - 1
@@ -66,10 +80,12 @@ def ngram_buckets(data: np.ndarray, offs: np.ndarray, words: Words) -> list[tupl
     order = np.argsort(rows, kind="stable")
     word = (np.concatenate([words.hash, two])[order] >> _SHIFT).astype(np.int64)
     out = [(word, _bounds(rows[order], n))]
-    if len(data) >= 4:
-        c = _CHAR[data]
-        four = c[:-3] * np.uint64(0x9E3779B97F4A7C15) + c[1:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:-1] * np.uint64(0x165667B19E3779F9) + c[3:] * np.uint64(0x27D4EB2F165667C5)
-        row = np.repeat(np.arange(n), np.diff(offs))
+    point, at = code_points(data)
+    first = np.searchsorted(at, offs)
+    row = np.repeat(np.arange(n), np.diff(first))
+    if len(point) >= 4:
+        c = mix(point.astype(np.uint64) + np.uint64(1))
+        four = c[:-3] * _GRAM[0] + c[1:-2] * _GRAM[1] + c[2:-1] * _GRAM[2] + c[3:] * _GRAM[3]
         inside = row[:-3] == row[3:]
         out.append(((four[inside] >> _SHIFT).astype(np.int64), _bounds(row[:-3][inside], n)))
     else:
