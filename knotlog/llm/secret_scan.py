@@ -6,15 +6,17 @@ candidate string, a run of one character class, is read through a window of
 one character enters and one leaves; a run with a window over its class's
 threshold is a secret unless the allow-list suppresses it.
 
-Positions come from the text between matches: ``split`` gives the gaps,
-``regexp_extract_all`` the matches, and the running sum of both lengths gives
-the start of each match.  The sums run in a window over match rows, not in one
-expression, so a text with very many matches costs linear time.  Only match
-lengths are shuffled, never text.
-
-Defined cases: a null text counts as empty; repeated rows give equal results;
-a text without a match gives zeros and the digest of the empty string.  Rows
-with a null id are scanned as well.  Other columns are not kept.
+Positions come from the text between matches: ``regexp_extract_all`` gives the
+matches, ``split`` the gaps (where there is a match), and the running sum of
+both lengths the start of each match.  The sums run in a window over match
+rows, not in one expression, so a text with very many matches costs linear
+time.  The table is read once, for all kinds.  Only match lengths are shuffled,
+never text.
+
+Defined cases: a null text counts as empty; repeated rows give equal results,
+as often as they stand; a text without a match gives zeros and the digest of
+the empty string.  Rows with a null id are scanned as well; an empty table
+gives an empty result.  Other columns are not kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -80,19 +82,6 @@ def window_entropy(text: Column, window: int = WINDOW) -> Column:
     return F.get(F.transform(F.array(code), over), F.lit(0))
 
 
-def _rows(docs: DataFrame, kind: int, pattern: str, keep) -> DataFrame:
-    """One row per match: document key, kind, running number, gap, length, keep."""
-    found = docs.where(F.col("_text").rlike(pattern))
-    gaps = F.split(F.col("_text"), pattern, -1)
-    matches = F.regexp_extract_all(F.col("_text"), F.lit(pattern), F.lit(0))
-    parts = [matches.alias("m"), gaps.alias("g")]
-    if keep == 2:
-        parts.append(F.regexp_extract_all(F.col("_text"), F.lit(pattern), F.lit(2)).alias("v"))
-    rows = found.select("_id", "_mark", F.posexplode(F.arrays_zip(*parts)).alias("_no", "_x")).where(F.col("_x.m").isNotNull())
-    value = F.col("_x.v") if keep == 2 else F.col("_x.m")
-    return rows.select("_id", "_mark", F.lit(kind).alias("_kind"), "_no", F.length("_x.g").alias("_gap"), F.length("_x.m").alias("_len"), value.alias("_value"))
-
-
 def _allowed(x: Column) -> Column:
     out = F.lit(False)
     for rule in ALLOW:
@@ -100,50 +89,60 @@ def _allowed(x: Column) -> Column:
     return out
 
 
+def _verdict(value: Column, bits: float) -> Column:
+    """Whether a candidate has a window over ``bits`` that the allow-list lets through."""
+    secret = lambda x: F.when(_allowed(x), F.lit(False)).otherwise(window_entropy(x) >= bits)
+    pieces = F.filter(F.split(value, ALLOW_WORDS, -1), lambda x: F.length(x) >= WINDOW)
+    return F.when(_allowed(value), F.lit(False)).otherwise(F.exists(pieces, secret))
+
+
+def _spans(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Spans of every different row, and a row of kind -1 that says how often it stands (``_times``)."""
+    source = docs.select(F.col(id).alias("_id"), F.xxhash64(F.lit(5), F.col(text)).alias("_mark"), F.col(text).alias("_text"))
+    kinds = {**{n: (pattern, group) for n, (pattern, group, _) in KINDS.items()}, **{n: (pattern, 0) for n, (pattern, _) in CLASSES.items()}}
+    found = source.select("*", *[F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)).alias(f"_m{k}") for k, (pattern, _) in enumerate(kinds.values())])
+    per_kind = []
+    for k, (pattern, group) in enumerate(kinds.values()):
+        m = F.col(f"_m{k}")
+        value = F.regexp_extract_all("_text", F.lit(pattern), F.lit(group)) if group else m
+        parts = F.arrays_zip(F.split("_text", pattern, -1).alias("g"), m.alias("m"), value.alias("v"))
+        per_kind.append(F.struct(F.lit(k).alias("kind"), F.when(F.size(m) > 0, parts).alias("x")))
+    # a row without a match of its own counts the rows alike
+    none = F.struct(F.lit(-1).alias("kind"), F.array(F.struct(F.lit("").alias("g"), F.lit("").alias("m"), F.lit("").alias("v"))).alias("x"))
+    each = found.select("_id", "_mark", F.explode(F.array(none, *per_kind)).alias("_k")).where("_k.x IS NOT NULL")
+    rows = each.select("_id", "_mark", F.col("_k.kind").alias("_kind"), F.posexplode("_k.x").alias("_no", "_x")).where("_x.m IS NOT NULL")
+    kind, value, keep = F.col("_kind"), F.col("_x.v"), F.lit(False)
+    for k, (_, _, least) in enumerate(KINDS.values()):
+        keep = F.when(kind == k, F.length(value) >= least).otherwise(keep)
+    for k, (_, bits) in enumerate(CLASSES.values(), len(KINDS)):
+        keep = F.when(kind == k, _verdict(value, bits)).otherwise(keep)
+    rows = rows.select("_id", "_mark", "_kind", "_no", F.length("_x.g").alias("_gap"), F.length("_x.m").alias("_len"), keep.alias("_keep"))
+    rows = rows.groupBy("_id", "_mark", "_kind", "_no").agg(F.count("*").alias("_times"), F.first("_gap").alias("_gap"), F.first("_len").alias("_len"), F.first("_keep").alias("_keep"))
+    so_far = Window.partitionBy("_id", "_mark", "_kind").orderBy("_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_end", F.sum(F.col("_gap") + F.col("_len")).over(so_far)).where("_keep OR _kind < 0")
+    name = F.get(F.array(*[F.lit(n) for n in kinds]), F.when(kind >= 0, kind))
+    return rows.select("_id", "_mark", "_kind", "_times", name.alias("kind"), (F.col("_end") - F.col("_len")).alias("start"), F.col("_end").alias("end"))
+
+
 def secret_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, mark, kind, start, end`` of every span; positions in code points.
 
     ``mark`` is a hash of the text, which tells apart rows that share an id.
     """
-    source = docs.select(F.col(id).alias("_id"), F.xxhash64(F.lit(5), F.col(text)).alias("_mark"), F.col(text).alias("_text"))
-    rows = None
-    names = [*KINDS, *CLASSES]
-    for k, (pattern, group, least) in enumerate(KINDS.values()):
-        r = _rows(source, k, pattern, group)
-        r = r.select("_id", "_mark", "_kind", "_no", "_gap", "_len", (F.length("_value") >= least).alias("_keep"))
-        rows = r if rows is None else rows.unionByName(r)
-    for k, (pattern, bits) in enumerate(CLASSES.values(), len(KINDS)):
-        r = _rows(source, k, pattern, 0)
-        secret = lambda x: F.when(_allowed(x), F.lit(False)).otherwise(window_entropy(x) >= bits)
-        pieces = F.filter(F.split("_value", ALLOW_WORDS, -1), lambda x: F.length(x) >= WINDOW)
-        verdict = F.when(_allowed(F.col("_value")), F.lit(False)).otherwise(F.exists(pieces, secret))
-        rows = rows.unionByName(r.select("_id", "_mark", "_kind", "_no", "_gap", "_len", verdict.alias("_keep")))
-    rows = rows.dropDuplicates(["_id", "_mark", "_kind", "_no"])
-    so_far = Window.partitionBy("_id", "_mark", "_kind").orderBy("_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("_gap") + F.col("_len")).over(so_far)
-    kind = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_kind") + 1)
-    spans = rows.withColumn("_end", end).where("_keep")
-    return spans.select(F.col("_id").alias(id), F.col("_mark").alias("mark"), "_kind", kind.alias("kind"), (F.col("_end") - F.col("_len")).alias("start"), F.col("_end").alias("end"))
+    return _spans(docs, id, text).where("_kind >= 0").select(F.col("_id").alias(id), F.col("_mark").alias("mark"), "kind", "start", "end")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and digest, and all spans, of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = secret_spans(docs)
+    spans = _spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     item = F.struct("start", "_kind", F.concat_ws(":", "kind", "start", "end").alias("s"))
-    base = F.col("_kind") < len(KINDS)
+    base = F.col("_kind").between(0, len(KINDS) - 1)
     joined = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["s"]), ",")
-    per_doc = spans.groupBy("doc_id", "mark").agg(
+    per_doc = spans.groupBy("_id", "_mark").agg(
         *[F.count_if(F.col("_kind") == k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(F.encode(joined(F.collect_list(F.when(base, item))), "UTF-8"), 256).alias("base_sha256"),
-        joined(F.collect_list(item)).alias("spans"),
-    )
-    per_doc = per_doc.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
-    keys = docs.select("doc_id", F.xxhash64(F.lit(5), "text").alias("mark"))
-    out = keys.join(per_doc, keys["doc_id"].eqNullSafe(per_doc["_id"]) & (keys["mark"] == per_doc["_mark"]), "left")
-    return out.select(
-        "doc_id",
-        *[F.coalesce(f"n_{name}", F.lit(0)).cast("long").alias(f"n_{name}") for name in KINDS],
-        F.coalesce("base_sha256", F.sha2(F.encode(F.lit(""), "UTF-8"), 256)).alias("base_sha256"),
-        F.coalesce("spans", F.lit("")).alias("spans"),
+        joined(F.collect_list(F.when(F.col("_kind") >= 0, item))).alias("spans"),
+        F.max(F.when(F.col("_kind") < 0, F.col("_times"))).alias("times"),
     )
+    per_row = per_doc.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return per_row.select(F.col("_id").alias("doc_id"), *[F.col(f"n_{name}").cast("long").alias(f"n_{name}") for name in KINDS], "base_sha256", "spans")
