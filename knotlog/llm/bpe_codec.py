@@ -2,8 +2,10 @@
 
 Byte pairs that occur inside no token of the vocabulary can never be merged
 across, so such a pair is a certain cut.  Each pre-token is cut there, every
-fragment is encoded by itself, and the ids are concatenated.  Encoding works
-row by row without a shuffle; fragments already met are looked up.
+fragment is encoded by itself, and the ids are concatenated.  The fragments of
+all pre-tokens not met before are encoded together, as ragged arrays; a long
+fragment by a heap of its own.  Encoding needs no shuffle; pre-tokens already
+met are looked up.
 
 Defined cases: a null text counts as empty and gives no ids; ids are stored as
 little-endian unsigned 32-bit integers; repeated rows are encoded alike; other
@@ -25,8 +27,10 @@ from pyspark.sql import types as T
 from knotlog.llm._bytebpe import default_path, load, pretokens
 from knotlog.llm._common import slices, table
 
-#: Fragments and pre-tokens that one Python process remembers at most.
-REMEMBER = 400_000
+#: Pre-tokens that one Python process remembers at most (about 200 bytes each), and their length.
+REMEMBER, LONGEST = 200_000, 64
+#: Bytes from which a fragment is merged by a heap.
+HEAP_BYTES = 512
 
 
 class Encoder:
@@ -36,72 +40,82 @@ class Encoder:
         self.vocabulary = load(path)
         self.split = pretokens(path)
         self.seen: dict[str, bytes] = {}
-        self.fragments: dict[bytes, bytes] = {}
 
     def fragment(self, data: bytes) -> bytes:
         """Ids of a fragment: merge the pair of lowest rank, leftmost first."""
-        have = self.fragments.get(data)
-        if have is not None:
-            return have
         v = self.vocabulary
         ids: list[int] = v.byte[np.frombuffer(data, np.uint8)].tolist()
         n = len(ids)
-        if n > 1:
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            merge = v.merge
-            heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
-            heapq.heapify(heap)
-            while heap:
-                _, i, a, b, new = heapq.heappop(heap)
-                j = after[i]
-                if ids[i] != a or j >= n or ids[j] != b:
-                    continue
-                ids[i], ids[j] = new, -1
-                k = after[i] = after[j]
-                if k < n:
-                    before[k] = i
-                    if m := merge.get((new, ids[k])):
-                        heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
-                h = before[i]
-                if h >= 0 and (m := merge.get((ids[h], new))):
-                    heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
-            ids = [x for x in ids if x >= 0]
-        out = np.array(ids, "<u4").tobytes()
-        if len(data) <= 64:
-            if len(self.fragments) >= REMEMBER:
-                self.fragments.clear()
-            self.fragments[data] = out
-        return out
-
-    def pretoken(self, text: str) -> bytes:
-        """Ids of a pre-token: its fragments between forced cuts, joined."""
-        data = text.encode()
-        if len(data) == 1:
-            out = self.fragment(data)
-        else:
-            b = np.frombuffer(data, np.uint8)
-            cuts = np.flatnonzero(~self.vocabulary.inside[b[:-1], b[1:]]) + 1
-            if len(cuts):
-                edges = [0, *cuts.tolist(), len(data)]
-                out = b"".join([self.fragment(data[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)])
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        merge = v.merge
+        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, new = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue
+            ids[i], ids[j] = new, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if m := merge.get((new, ids[k])):
+                    heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
+            h = before[i]
+            if h >= 0 and (m := merge.get((ids[h], new))):
+                heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Places before which a byte string is certainly cut."""
+        return np.flatnonzero(~self.vocabulary.inside[data[:-1], data[1:]]) + 1
+
+    def pretokens(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens: their fragments between forced cuts, joined."""
+        out, short, parts = {}, [], []
+        for t in texts:
+            data = t.encode()
+            if len(data) < HEAP_BYTES:
+                short.append(t)
+                parts.append(data)
             else:
-                out = self.fragment(data)
-        if len(text) <= 64:
-            if len(self.seen) >= REMEMBER:
-                self.seen.clear()
-            self.seen[text] = out
+                edges = [0, *self.cuts(np.frombuffer(data, np.uint8)).tolist(), len(data)]
+                out[t] = b"".join([self.fragment(data[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)])
+        if short:
+            data = np.frombuffer(b"".join(parts), np.uint8)
+            lens = np.array([len(x) for x in parts])
+            edge = np.zeros(len(data), bool)
+            edge[self.cuts(data)] = True
+            edge[np.cumsum(lens) - lens] = True
+            sym, owner = self.vocabulary.merged(self.vocabulary.byte[data], np.cumsum(edge), np.repeat(np.arange(len(parts)), lens))
+            raw, at = sym.astype("<u4").tobytes(), (np.cumsum(np.bincount(owner, minlength=len(parts))) * 4).tolist()
+            out.update(zip(short, [raw[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)], strict=True))
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        out = []
-        for piece, special in self.vocabulary.pieces(text):
-            if special:
-                out.append(np.array([self.vocabulary.special[piece]], "<u4").tobytes())
-            else:
-                get, make = self.seen.get, self.pretoken
-                out += [get(x) or make(x) for x in self.split(piece)]
-        return b"".join(out)
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        v, seen = self.vocabulary, self.seen
+        docs: list[list] = []
+        for text in texts:
+            toks: list = []
+            for piece, special in v.pieces(text or ""):
+                if special:
+                    toks.append(v.special[piece])
+                elif piece:
+                    toks += self.split(piece)
+            docs.append(toks)
+        new = list({t for toks in docs for t in toks if t not in seen and t.__class__ is str})
+        if new:
+            if len(seen) + len(new) > REMEMBER:
+                seen.clear()
+                new = list({t for toks in docs for t in toks if t.__class__ is str})
+            seen.update(self.pretokens(new))
+        special = {i: np.array([i], "<u4").tobytes() for i in v.special.values()}
+        out = [b"".join([seen[t] if t.__class__ is str else special[t] for t in toks]) for toks in docs]
+        for t in new:
+            if len(t) > LONGEST:
+                del seen[t]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -129,7 +143,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", count: str = "
         enc = encoder(path)
         for whole in batches:
             for batch in slices(whole, text):
-                found = [enc.encode(x) if x else b"" for x in batch.column(text).to_pylist()]
+                found = enc.encode(batch.column(text).to_pylist())
                 yield _with(batch, names, {ids: pa.array(found, pa.binary()), count: pa.array([len(x) // 4 for x in found], pa.int64())})
 
     return docs.mapInArrow(run, out)

@@ -2,10 +2,8 @@
 
 Pre-tokens not met before are held as one ragged numpy array of symbols.  In
 each round every sequence finds its adjacent pair of lowest rank, all places of
-that pair merge at once, and sequences without a mergeable pair leave with the
-number of symbols they still have.  A merged symbol only takes part in pairs of
-higher rank than its own, so merging all places at once gives what merging them
-one by one gives.
+that pair merge at once, and sequences without a mergeable pair leave
+(``Vocabulary.merged``); the symbols that each pre-token still has are counted.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); a special
 string inside a text is one token, the library's default; repeated rows are
@@ -32,50 +30,21 @@ REMEMBER = 500_000
 #: A training sequence of more tokens than this is marked.
 LIMIT = 512
 
-_NONE = np.iinfo(np.int64).max
-
 
 class Counter:
     """Counts the symbols that survive merging."""
 
     def __init__(self, path: str):
-        v = self.vocabulary = load(path)
+        self.vocabulary = load(path)
         self.split = pretokens(path)
-        self.size = len(v.token)
-        keys = np.array([a * self.size + b for a, b in v.merge], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.rank = np.array([m[0] for m in v.merge.values()], np.int64)[order]
-        self.made = np.array([m[1] for m in v.merge.values()], np.int64)[order]
         self.seen: dict[str, int] = {}
 
     def merge(self, parts: list[bytes]) -> np.ndarray:
         """Surviving symbols of each byte string (none may be empty)."""
         lens = np.array([len(x) for x in parts])
-        sym = self.vocabulary.byte[np.frombuffer(b"".join(parts), np.uint8)]
         seq = np.repeat(np.arange(len(parts)), lens)
-        left = lens.copy()
-        while len(sym) > 1:
-            key = sym[:-1] * self.size + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = (self.keys[at] == key) & (seq[:-1] == seq[1:])
-            rank = np.full(len(sym), _NONE)
-            rank[:-1][ok] = self.rank[at[ok]]
-            head = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-            low = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.r_[head, len(sym)]))
-            live = low != _NONE
-            if not live.any():
-                break
-            here = live & (rank == low)
-            spot = np.flatnonzero(here)
-            first = np.r_[True, np.diff(spot) > 1]  # of a chain of overlapping places
-            chain = np.maximum.accumulate(np.where(first, np.arange(len(spot)), 0))
-            spot = spot[(np.arange(len(spot)) - chain) % 2 == 0]
-            sym[spot] = self.made[at[spot]]
-            live[spot + 1] = False
-            left -= np.bincount(seq[spot], minlength=len(left))
-            sym, seq = sym[live], seq[live]
-        return left
+        _, owner = self.vocabulary.merged(self.vocabulary.byte[np.frombuffer(b"".join(parts), np.uint8)], seq, seq)
+        return np.bincount(owner, minlength=len(parts))
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text."""
