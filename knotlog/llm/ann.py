@@ -18,7 +18,9 @@ Defined cases: a vector that is null, zero, or holds a null or non-finite
 component takes no part; only vectors of a query's length are its candidates;
 each repeated row is a candidate; of several rows with a query's id one (the
 smallest vector) asks; rows with a query's own id are no candidates of it;
-null ids take no part.
+null ids take no part; ties in distance go to the smaller id; an empty table
+gives an empty result; other columns are not looked at.  A block holds its
+vectors once as numbers of 8 bytes: very long vectors want smaller blocks.
 """
 
 from __future__ import annotations
@@ -151,8 +153,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id"
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "id", "score"])
 
-    # a batch is a few hundred rows, or a few packs
-    found = dealt.unionByName(sent).repartition(blocks, "block").sortWithinPartitions("block", "kind", "id").mapInArrow(run, "query_id long, id long, score double")
+    # by range: each block is a task of its own, where hashes of a few block numbers would meet
+    found = dealt.unionByName(sent).repartitionByRange(blocks, "block").sortWithinPartitions("block", "kind", "id").mapInArrow(run, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id), "score")
