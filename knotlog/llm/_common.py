@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from knotlog.sources.scratch import shared_dir, written
 
-__all__ = ["LOWER", "Words", "mix", "runs_of", "shared_dir", "slices", "table", "utf8", "written"]
+__all__ = ["LOWER", "Words", "fresh", "mix", "runs_of", "shared_dir", "slices", "table", "utf8", "written"]
 
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 1 << 20
@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, prefix: str) -> str:
+    """``prefix`` with as many underscores before it as keep it from starting a column's name."""
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 # --- text in Arrow batches -------------------------------------------------
 
 
@@ -66,19 +73,40 @@ _BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _POW: list[tuple[np.ndarray, np.ndarray]] = []
 
 
+#: Bytes whose words are hashed at once, about, and powers that a process keeps at most.
+PIECE, KEPT_POWERS = 1 << 19, 1 << 20
+
+
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n + 1``."""
     while len(_POW) < 2:
         _POW.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
-    if len(_POW[which][0]) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
-        out = []
-        for base in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            out.append(np.cumprod(steps, dtype=np.uint64))
+    if len(_POW[which][0]) > n:
+        return _POW[which]
+    out = []
+    for base in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
+        steps = np.full(max(n + 1, KEPT_POWERS), base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    if n < KEPT_POWERS:
         _POW[which] = (out[0], out[1])
-    return _POW[which]
+    return out[0], out[1]
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """Hash of each word, whatever stands around it; piece by piece, so that a long text needs no long tables."""
+    out, a = np.empty(len(start), np.uint64), 0
+    while a < len(start):
+        base = start[a]
+        b = max(a + 1, int(np.searchsorted(start, base + PIECE)))
+        part = data[base : end[b - 1]]
+        power, inverse = _powers(len(part), which)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[which][part] * power[: len(part)], out=sums[1:])
+        s, e = start[a:b] - base, end[a:b] - base
+        out[a:b] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
+        a = b
+    return mix(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,10 +149,7 @@ class Words:
         self.count = np.diff(first)
         self.first = first
         self.row = np.repeat(np.arange(rows), self.count)
-        power, inverse = _powers(n, which)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[which][data] * power[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = _hashes(data, self.start, self.end, which)
 
     def __len__(self) -> int:
         return len(self.start)

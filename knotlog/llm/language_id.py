@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotlog.llm._common import Words, slices, table, utf8
+from knotlog.llm._common import Words, fresh, slices, table, utf8
 
 #: Labelled rows of one language that are learned from, about.
 MAX_DOCS = 600
@@ -376,8 +376,9 @@ def keep_known(docs: DataFrame, learn_from: DataFrame, id: str = "doc_id", text:
     languages, prob = fit(learn_from, id, text, lang)
     if not languages:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    scored = predict(docs, languages, prob, text, prefix="language_id_")
-    return scored.where(F.col("language_id_lang_pred") != "und").select(*docs.columns)
+    prefix = fresh(docs, "language_id_")
+    scored = predict(docs, languages, prob, text, prefix=prefix)
+    return scored.where(F.col(f"{prefix}lang_pred") != "und").select(*docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Row-wise and line operators against brute force and the public libraries."""
 
+import base64
+import decimal
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -58,7 +60,8 @@ def test_codec_fuzz(text):
     lib = test_codec_fuzz.__dict__.setdefault("lib", Tokenizer.from_file(path))
     want = lib.encode(text, add_special_tokens=False).ids
     enc = bpe_codec.encoder(path)
-    assert np.frombuffer(enc.encode(text), "<u4").tolist() == want and enc.decode(enc.encode(text)) == text
+    (ids,) = enc.encode([text])
+    assert np.frombuffer(ids, "<u4").tolist() == want and enc.decode(ids) == text
     assert token_counts.counter(path).counts([text]) == [len(want)]
 
 
@@ -134,6 +137,33 @@ def test_mix(spark):
     assert out.columns == docs.columns and Counter(r["source"] for r in out.select("source").collect()) == Counter({n: c for n, c in sum((Counter({r["source"]: r["copies"]}) for r in got), Counter()).items() if c})
 
 
+def test_mix_misses_little(spark):
+    """Sources of few, uneven documents come within 1 % of their targets; only whole copies are taken."""
+    rnd = np.random.default_rng(6)
+    rows = [(i, "w " * int(min(4000, rnd.lognormal(4, 1.5) + 1)), f"s{i % 9}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOC)
+    by = defaultdict(int)
+    got = source_mix.mix(docs).collect()
+    for r in got:
+        by[r["source"], r["target"]] += r["size"] * r["copies"]
+        assert 0 <= r["copies"] <= 2
+    assert len(got) == len(rows)
+    assert all(abs(taken - target) <= 0.01 * target for (_, target), taken in by.items()), by
+
+
+def test_mixed_repeats(spark):
+    """Repeated rows take their copies together; other columns stay, clashing names too."""
+    rows = [(1, "a b c", "s")] * 5 + [(1, "c b a", "s"), (2, "a b", "t"), (None, None, None), (3, "x " * 5000, "t")]
+    docs = spark.createDataFrame(rows, DOC).withColumns({c: F.lit(c) for c in ("rows", "copies", "same", "mark", "size", "row", "key")})
+    out = source_mix.mixed(docs)
+    assert out.columns == docs.columns and out.where("rows = 'rows' AND key = 'key'").count() == out.count()
+    want = defaultdict(int)
+    for r in source_mix.mix(docs).collect():
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in out.collect()) == {k: v for k, v in want.items() if v}
+    assert source_mix.mixed(docs.limit(0)).count() == 0
+
+
 def test_pivotal_is_fair(spark):
     """Over many seeds a document is taken as often as its probability says."""
     docs = spark.createDataFrame([(i, "w " * (i % 5 + 1), "a" if i < 90 else "b") for i in range(100)], DOC)
@@ -192,8 +222,39 @@ def test_window_entropy(spark):
         assert r["h"] == pytest.approx(entropy(r["t"], secret_scan.WINDOW), abs=1e-9)
 
 
+def all_spans(text):
+    """Base spans and entropy spans of a text, by the library's regular expressions and brute windows."""
+    spans = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    allowed = lambda x: any(re.search(p, x) for p in secret_scan.ALLOW)
+    for k, (name, (pattern, bits)) in enumerate(secret_scan.CLASSES.items(), 3):
+        for m in re.finditer(pattern, text):
+            parts = [x for x in re.split(secret_scan.ALLOW_WORDS, m[0]) if len(x) >= secret_scan.WINDOW]
+            if not allowed(m[0]) and any(not allowed(x) and entropy(x, secret_scan.WINDOW) >= bits for x in parts):
+                spans.append((m.start(), k, m.end(), name))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+
+
+def test_all_spans(spark, tmp_path):
+    rnd = np.random.default_rng(21)
+    letters = {"b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEFabcdef", "low": "abc1", "words": "thequickbrownfox"}
+    rows = [(i, t, "s") for i, t in enumerate(SECRETS)]
+    for i in range(150):
+        parts = []
+        for _ in range(rnd.integers(1, 7)):
+            kind = rnd.choice(list(letters))
+            run = "".join(rnd.choice(list(letters[kind]), rnd.integers(5, 60)))
+            parts.append(rnd.choice(["", "token=", "password: ", "EXAMPLE", "é ", "x12345678", "AKIA"]) + run + rnd.choice(["", "example", ".", "=="]))
+        rows.append((100 + i, rnd.choice([" ", "\n", "/", ", "]).join(parts), "s"))
+    spark.createDataFrame(rows + rows[20:22], DOC).withColumn("spans", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r["doc_id"], r["spans"]) for r in secret_scan.op8_secret_scan(spark, str(tmp_path)).collect())
+    assert got == Counter((d, all_spans(t or "")) for d, t, _ in rows + rows[20:22])
+    assert sum("entropy" in s for _, s in got) > 50
+
+
 def test_allow_list(spark):
-    texts = {"key 9fQ2xL7vRb4TzK8mWc3H": True, "thisisaverylongwordwithoutdigits": False, "EXAMPLE9fQ2xL7vRb4TzK8mWc3H": False, "abc123abc123abc123abc123": False, "550e8400-e29b-41d4-a716-446655440000": False}
+    texts = {"key 9fQ2xL7vRb4TzK8mWc3H": True, "thisisaverylongwordwithoutdigits": False, "EXAMPLE9fQ2xL7vRb4TzK8mWc3H": True, "EXAMPLE9fQ2xL7vRb4TzK8": False, "abc123abc123abc123abc123": False, "550e8400-e29b-41d4-a716-446655440000": False}
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOC)
     found = {r["doc_id"] for r in secret_scan.secret_spans(docs).collect() if r["kind"] == "entropy_base64"}
     assert found == {i for i, ok in enumerate(texts.values()) if ok}
@@ -222,21 +283,75 @@ def test_language(spark, tmp_path):
     assert kept.columns == docs.columns and kept.where("score = 's'").count() == kept.count() and kept.where("doc_id in (500, 501, 502)").count() == 0
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert language_id.fit(bare)[0] == [] and language_id.keep_known(bare, bare).where("doc_id = 0").count() == 1
-    assert language_id.predict(bare, [], np.zeros((len(language_id.pieces(language_id.default_path())), 0))).where("lang_pred <> 'und'").count() == 0
+    assert language_id.predict(bare, [], np.zeros((language_id.pieces(language_id.default_path()).size, 0))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_forward_sums_segmentations():
-    vocabulary = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4}
-    prob = np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 0.2], [0.15, 0.2], [0.25, 0.2]])
+def brute_log(word, column, vocabulary):
+    """Log of the sum over all segmentations, in decimals of any size."""
+    sums = [decimal.Decimal(1), *[decimal.Decimal(0)] * len(word)]
+    longest = max(map(len, vocabulary))
+    for i in range(len(word)):
+        for j in range(i + 1, min(len(word), i + longest) + 1):
+            k = vocabulary.get(word[i:j])
+            if k is not None:
+                sums[j] += sums[i] * decimal.Decimal(float(column[k]))
+    return float(sums[-1].ln())
 
-    def total(word, col):
-        return 1.0 if not word else sum(prob[i, col] * total(word[len(p) :], col) for p, i in vocabulary.items() if word.startswith(p))
 
-    words = [b"a", b"abab", b"bbaba", b"ababa"]
-    lattice = language_id.Lattice(words, vocabulary)
-    got = lattice.forward(prob)[lattice.last]
-    assert np.allclose(got, [[total(w, c) for c in (0, 1)] for w in words])
-    assert np.allclose(lattice.backward(prob)[lattice.base], got)
+def test_forward_sums_segmentations():
+    names = [b"a", b"b", b"ab", b"ba", b"aba"]
+    vocabulary = dict(zip(names, range(5)))
+    prob = np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 0.2], [0.15, 0.2], [0.25, 0.2]])
+    pieces = language_id.Pieces(names)
+    words = [b"a", b"abab", b"bbaba", b"ababa", b"ab" * 60, b"b" * 700, b"bab" * 900]
+    for own in language_id.batches_of(words):
+        lattice = language_id.Lattice([words[k] for k in own], pieces)
+        got = lattice.totals(*lattice.forward(prob))
+        assert np.allclose(got, [[brute_log(words[k], prob[:, c], vocabulary) for c in (0, 1)] for k in own])
+    assert sorted(np.concatenate(list(language_id.batches_of(words)))) == list(range(len(words)))
+
+
+def test_expected_counts():
+    names = [b"a", b"b", b"ab", b"ba", b"aba"]
+    prob = np.array([0.1, 0.2, 0.3, 0.15, 0.25])
+
+    def ways(word):
+        if not word:
+            yield ()
+        for k, p in enumerate(names):
+            if word.startswith(p):
+                yield from ((k, *rest) for rest in ways(word[len(p) :]))
+
+    words, weight, want = [b"abab", b"bbaba", b"ababa"], np.array([2.0, 1.0, 3.0]), np.zeros(5)
+    for w, times in zip(words, weight):
+        shares = [(way, np.prod(prob[list(way)])) for way in ways(w)]
+        for way, p in shares:
+            for k in way:
+                want[k] += times * p / sum(x for _, x in shares)
+    got = language_id.Lattice(words, language_id.Pieces(names)).expected(prob[:, None], weight)
+    assert np.allclose(got, want)
+    long = language_id.Lattice([b"ab" * 600], language_id.Pieces([b"a", b"b"])).expected(np.array([[1e-6], [1e-3]]), np.ones(1))
+    assert np.allclose(long, [600, 600])
+
+
+def test_long_words_are_not_cut():
+    """Every piece counts and nothing is cut: long words of the real vocabulary, and text without spaces."""
+    path = language_id.default_path()
+    vocabulary = {}
+    for line in open(path, "rb"):
+        vocabulary[base64.b64decode(line.split()[0])] = None
+    vocabulary = {p: i for i, p in enumerate(dict.fromkeys([bytes([b]) for b in range(256)] + list(vocabulary)))}
+    rnd = np.random.default_rng(4)
+    prob = rnd.random((len(vocabulary), 2)) / len(vocabulary)
+    scorer = language_id.Scorer(["x", "y"], prob, path)
+    words = ["internationalization" * 8, "\u4e2d\u6587\u6ca1\u6709\u7a7a\u683c" * 30, "s", "donaudampfschifffahrt", "\u00e9" * 300]
+    got = scorer.log_probability(words)
+    assert np.allclose(got, [[brute_log(language_id.as_bytes(w), prob[:, c], vocabulary) for c in (0, 1)] for w in words])
+    text = "Words, " + words[1] + "; D\u00c9J\u00c0 vu"
+    data = np.frombuffer(text.encode(), np.uint8)
+    names, score = scorer(data, np.array([0, len(data)]))
+    logp = scorer.log_probability(re.findall(r"[^\W\d_]+", text.lower())).sum(axis=0) / 2
+    assert names == [["x", "y"][int(np.argmax(logp))]] and np.isclose(score[0], 1 / np.exp(logp - logp.max()).sum())
 
 
 def brute_quality(text):
