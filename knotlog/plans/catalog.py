@@ -846,3 +846,6 @@ def _(s, d):
     from knotlog.streaming.collector import call_links
 
     return call_links(model.served(s, d).withColumn("served", F.array("ref"))).select("src_ref", "edge_type", "dst_ref")
+
+
+from knotlog.plans import catalog_more  # noqa: E402, F401  registers its queries
