@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 
@@ -119,12 +118,6 @@ class Vocabulary:
         return [(x, x in self.special) for x in self.split_special(text) if x]
 
 
-@functools.lru_cache(maxsize=4)
-def load(path: str) -> Vocabulary:
-    """The vocabulary of ``path``, kept once per Python process."""
-    return Vocabulary(path)
-
-
 class Pretokens:
     """Splits texts into pre-tokens as the tokenizer library does.
 
@@ -164,9 +157,3 @@ class Pretokens:
                 at += len(piece)
             return out
         return find(text)
-
-
-@functools.lru_cache(maxsize=4)
-def pretokens(path: str) -> Pretokens:
-    """The splitter for ``path``, kept once per Python process."""
-    return Pretokens(load(path))

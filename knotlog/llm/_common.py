@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from knotlog.sources.scratch import shared_dir, written
 
-__all__ = ["LOWER", "Words", "fresh", "mix", "runs_of", "shared_dir", "slices", "table", "utf8", "written"]
+__all__ = ["LOWER", "Words", "fresh", "mix", "resident", "runs_of", "shared_dir", "slices", "table", "utf8", "written"]
 
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 1 << 20
@@ -28,6 +28,22 @@ def fresh(df: DataFrame, prefix: str) -> str:
     return prefix
 
 
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(key: tuple | None = None, make: Callable[[], object] | None = None) -> object:
+    """What a Python worker keeps between tasks: one model or vocabulary, the last that was asked for.
+
+    Workers are used again by later stages; with no key, what an earlier one
+    left is dropped.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        if make is not None:
+            _RESIDENT[key] = make()
+    return _RESIDENT.get(key)
+
+
 # --- text in Arrow batches -------------------------------------------------
 
 

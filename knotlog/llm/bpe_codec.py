@@ -8,13 +8,15 @@ fragment by a heap of its own.  Encoding needs no shuffle; pre-tokens already
 met are looked up.
 
 Defined cases: a null text counts as empty and gives no ids; ids are stored as
-little-endian unsigned 32-bit integers; repeated rows are encoded alike; other
-columns pass through, and one named as an output column is replaced.
+little-endian unsigned 32-bit integers; repeated rows are encoded alike, rows
+with a null id like any others; an empty table gives an empty result; other
+columns pass through, and one named as an output column is replaced.  A very
+long text is encoded in one slice of its own, about 100 bytes a byte, less what
+its pre-tokens repeat.
 """
 
 from __future__ import annotations
 
-import functools
 import heapq
 from collections.abc import Iterator
 
@@ -24,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotlog.llm._bytebpe import default_path, load, pretokens
-from knotlog.llm._common import slices, table
+from knotlog.llm._bytebpe import Pretokens, Vocabulary, default_path
+from knotlog.llm._common import resident, slices, table
 
 #: Pre-tokens that one Python process remembers at most (about 200 bytes each), and their length.
-REMEMBER, LONGEST = 200_000, 64
+REMEMBER, LONGEST = 120_000, 64
 #: Bytes from which a fragment is merged by a heap.
 HEAP_BYTES = 512
 
@@ -37,8 +39,8 @@ class Encoder:
     """Encodes and decodes single texts with one vocabulary."""
 
     def __init__(self, path: str):
-        self.vocabulary = load(path)
-        self.split = pretokens(path)
+        self.vocabulary = Vocabulary(path)
+        self.split = Pretokens(self.vocabulary)
         self.seen: dict[str, bytes] = {}
 
     def fragment(self, data: bytes) -> bytes:
@@ -122,10 +124,9 @@ class Encoder:
         return b"".join(map(self.vocabulary.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """The encoder of ``path``, kept once per Python process."""
-    return Encoder(path)
+    """The encoder of ``path``, kept in a Python worker."""
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 def _with(batch: pa.RecordBatch, schema: list[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -166,8 +167,25 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", path: str |
     return docs.mapInArrow(run, out)
 
 
+def recode(docs: DataFrame, text: str = "text", ids: str = "ids", count: str = "n_tokens", decoded: str = "decoded", path: str | None = None) -> DataFrame:
+    """``encode`` and then ``decode`` in one pass, so that a task needs one Python worker."""
+    path = path or default_path()
+    new = {ids: T.BinaryType(), count: T.LongType(), decoded: T.StringType()}
+    out = T.StructType([*[f for f in docs.schema.fields if f.name not in new], *[T.StructField(n, k) for n, k in new.items()]])
+    names = out.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for whole in batches:
+            for batch in slices(whole, text):
+                found = enc.encode(batch.column(text).to_pylist())
+                made = (pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([enc.decode(x) for x in found], pa.string()))
+                yield _with(batch, names, dict(zip(new, made, strict=True)))
+
+    return docs.mapInArrow(run, out)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs).drop("text"))
+    coded = recode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

@@ -27,7 +27,6 @@ its own, about 60 bytes a byte.
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotlog.llm._common import Words, fresh, slices, table, utf8
+from knotlog.llm._common import Words, fresh, resident, slices, table, utf8
 
 #: Labelled rows of one language that are learned from, about.
 MAX_DOCS = 600
@@ -119,9 +118,12 @@ class Pieces:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    """The vocabulary of ``path``; every single byte is a piece of it."""
+    """The vocabulary of ``path``, kept in a Python process; every single byte is a piece of it."""
+    return resident(("pieces", path), lambda: _pieces(path))
+
+
+def _pieces(path: str) -> Pieces:
     with open(path, "rb") as f:
         found = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
     return Pieces(list(dict.fromkeys([bytes([b]) for b in range(256)] + found)))
@@ -285,7 +287,7 @@ class Scorer:
     """Scores texts with a fitted model; remembers runs of letters by hash."""
 
     def __init__(self, languages: list[str], prob: np.ndarray, path: str):
-        self.languages, self.prob, self.vocabulary = languages, prob, pieces(path)
+        self.languages, self.prob, self.vocabulary = languages, prob, _pieces(path)
         self.at: dict[int, int] = {}
         self.rows = np.zeros((1024, len(languages) + 1))
 
@@ -339,9 +341,6 @@ class Scorer:
         return names, np.where(words > 0, score, 0.0)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, text: str = "text", path: str | None = None, prefix: str = "") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; only the text is looked at.
 
@@ -353,13 +352,10 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, text: str =
     out = T.StructType([*kept, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())])
     names = [f.name for f in kept]
     model = docs.sparkSession.sparkContext.broadcast((languages, prob.astype(np.float32)))
-    key = f"{path}-{hash(prob.tobytes())}-{languages}"
+    key = ("scorer", path, hash(prob.tobytes()), *languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(model.value[0], model.value[1].astype(float), path)
-        score = _SCORERS[key]
+        score = resident(key, lambda: Scorer(model.value[0], model.value[1].astype(float), path))
         for whole in batches:
             for batch in slices(whole, text):
                 found, sure = score(*utf8(batch.column(text)))

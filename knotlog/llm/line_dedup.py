@@ -63,7 +63,8 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_char
     hit = hit.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))))
     kept = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(F.transform(F.col("left"), lambda i: F.get(F.col("split"), i)), "\n"))
     n_dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("split") - F.size("left")).cast("long")
-    return hit.select("row.*", F.size("split").cast("long").alias(new[0]), n_dropped.alias(new[1]), kept.alias(new[2]))
+    out = hit.select("row", F.struct(F.size("split").cast("long").alias("a"), n_dropped.alias("b"), kept.alias("c")).alias("out"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new], *[F.col(f"out.{x}").alias(n) for x, n in zip("abc", new, strict=True)])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

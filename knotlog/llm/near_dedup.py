@@ -57,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotlog.llm._common import Words, mix, runs_of, slices, table, utf8, written
+from knotlog.llm._common import Words, mix, resident, runs_of, slices, table, utf8, written
 from knotlog.llm.components import components
 
 ORDERS, DEPTH = 20, 4
@@ -136,6 +136,7 @@ def signatures(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
     """``id, n, h1, h2, sig`` of every row; the hashes stand for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingle_sets(*utf8(batch.column("text")), width)

@@ -108,6 +108,8 @@ def repeated_run_words(words: Words, run: int = RUN) -> np.ndarray:
     if not len(h):
         return out
     at = np.flatnonzero(words.row[run - 1 :] == words.row[: len(words) - run + 1])
+    if not len(at):
+        return out
     h, row = h[at], words.row[at]
     order = np.lexsort((h, row))
     h, row, at = h[order], row[order], at[order]

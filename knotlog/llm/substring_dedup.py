@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotlog.llm._common import Words, mix, runs_of, slices, table, utf8, written
+from knotlog.llm._common import Words, mix, resident, runs_of, slices, table, utf8, written
 
 BLOCK = 10
 #: Words of one bucket, about.
@@ -150,6 +150,7 @@ def _probes(buckets: int, block: int):
             yield _ask(k, pack(rest[edge[k] : edge[k + 1]]), pack(b_rest[own]), ids, marks, b_doc[own], number[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         held, words_held = [], 0
         for whole in batches:
             for batch in slices(whole, "text"):

@@ -7,13 +7,14 @@ that pair merge at once, and sequences without a mergeable pair leave
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); a special
 string inside a text is one token, the library's default; repeated rows are
-counted alike.  No shuffle; memory is bounded by the remembered pre-tokens and
-one slice of text.
+counted alike, rows with a null id like any others; an empty table gives an
+empty result; other columns pass through but for the text, and one named as an
+output column is replaced.  No shuffle; memory is bounded by the remembered
+pre-tokens and one slice of text, which a very long text is by itself.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotlog.llm._bytebpe import default_path, load, pretokens
-from knotlog.llm._common import slices, table, utf8
+from knotlog.llm._bytebpe import Pretokens, Vocabulary, default_path
+from knotlog.llm._common import resident, slices, table, utf8
 
 #: Pre-tokens that one Python process remembers at most.
-REMEMBER = 500_000
+REMEMBER = 200_000
 #: A training sequence of more tokens than this is marked.
 LIMIT = 512
 
@@ -35,8 +36,8 @@ class Counter:
     """Counts the symbols that survive merging."""
 
     def __init__(self, path: str):
-        self.vocabulary = load(path)
-        self.split = pretokens(path)
+        self.vocabulary = Vocabulary(path)
+        self.split = Pretokens(self.vocabulary)
         self.seen: dict[str, int] = {}
 
     def merge(self, parts: list[bytes]) -> np.ndarray:
@@ -69,10 +70,9 @@ class Counter:
         return [sum(map(get, toks)) + x for toks, x in zip(docs, extra, strict=True)]
 
 
-@functools.lru_cache(maxsize=4)
 def counter(path: str) -> Counter:
-    """The counter of ``path``, kept once per Python process."""
-    return Counter(path)
+    """The counter of ``path``, kept in a Python worker."""
+    return resident(("counter", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
