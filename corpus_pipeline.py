@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotlog.llm._common import fresh, table
-from knotlog.llm.bpe_codec import decode, encode
+from knotlog.llm.bpe_codec import recode
 from knotlog.llm.language_id import keep_known
 from knotlog.llm.line_dedup import line_dedup
 from knotlog.llm.near_dedup import keep_first
@@ -40,7 +40,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prefix = fresh(docs, "line_")
     left, same = F.col(f"{prefix}kept"), F.col(f"{prefix}n_dropped") == 0
     kept = line_dedup(docs, prefix=prefix).where(same | left.rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.when(same, F.col("text")).otherwise(left))
-    return kept.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return kept.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     decoded = fresh(docs, "bpe_decoded")
     same = F.col(decoded) == F.coalesce("text", F.lit(""))
-    return decode(encode(docs), text=decoded).withColumn("round_trip", same).drop("text", decoded)
+    return recode(docs, decoded=decoded).withColumn("round_trip", same).drop("text", decoded)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", lines), ("near_dedup", near_copies), ("source_mix", mix), ("bpe", tokens)]

@@ -101,14 +101,15 @@ def _(s, d):
 
 
 _PLANS = {
-    "nodes where language = 'fr'": "Collection|FullScan",
-    "notes where id = 'x' or id = 'y'": "Collection|FullScan",
+    "nodes where module = 'api' and stability > 0.5": "Collection: nodes|Strategy:   IndexSeek|Index:      by_module|Seek key:   api|Filters:    module = api AND stability > 0.5",
+    "nodes where stability >= 0.3 order by updated_at desc limit 5": "Collection: nodes|Strategy:   FullScan|Filters:    stability >= 0.3|Order by:   updated_at DESC|Limit:      5",
+    "notes where id = 'x' or content contains 'y'": "Collection: notes|Strategy:   FullScan|Filters:    id = x OR content contains y",
 }
 
 
-@query("dsl_explain", values([(q, dsl.explain(dsl.parse(q)).split("\n")[0].split(":")[0]) for q in _PLANS], ["query", "part"]))
+@query("dsl_explain", values(list(_PLANS.items()), ["query", "plan"]))
 def _(s, d):
-    return s.createDataFrame([(q, dsl.explain(dsl.parse(q)).splitlines()[0].partition(":")[0]) for q in _PLANS], "query string, part string")
+    return s.createDataFrame([(q, dsl.explain(dsl.parse(q)).replace("\n", "|")) for q in _PLANS], "query string, plan string")
 
 
 @query("append_links", "SELECT 'e\\cc/' || o_custkey || ':placed:e\\co/' || o_orderkey AS id, 1::BIGINT AS version, 'active' AS lifecycle FROM orders".replace("\\c", "' || chr(92) || 'c"))

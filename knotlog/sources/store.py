@@ -97,10 +97,12 @@ class Store:
         return self.commit(replace={n: df.coalesce(files) if files else df for n, df in frames.items()})
 
     def diagnostics(self) -> DataFrame:
-        """``table, parts, rows`` of the current snapshot."""
-        m = self.manifest()
-        rows = [(n, len(p), self.table(n, m).count()) for n, p in sorted(m["tables"].items())]
-        return self.spark.createDataFrame(rows, "table string, parts int, rows long")
+        """``table, parts, files, bytes, rows`` of the current snapshot."""
+        m, rows = self.manifest(), []
+        for n, parts in sorted(m["tables"].items()):
+            sums = [self._fs.getContentSummary(self._path(p)) for p in parts]
+            rows.append((n, len(parts), sum(x.getFileCount() for x in sums), sum(x.getLength() for x in sums), self.table(n, m).count()))
+        return self.spark.createDataFrame(rows, "table string, parts int, files long, bytes long, rows long")
 
 
 def once(store: Store, done: str, migration: Callable[[], dict[str, DataFrame]]) -> bool:

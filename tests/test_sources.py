@@ -9,7 +9,7 @@ from knotlog.operators import fieldindex
 from knotlog.plans import migrations
 from knotlog.sources import commits, entities, files
 from knotlog.sources.store import Locked, Store, once
-from knotlog.streaming import collector
+from knotlog.streaming import collector, watcher
 
 
 def test_store(spark, tmp_path):
@@ -213,3 +213,21 @@ def test_migrations(spark, tmp_path):
     assert migrations.migrate(store, 11) == [10, 11] and migrations.migrate(store) == [12, 13, 14, 15] and migrations.migrate(store) == []
     assert store.table("entities").first()["id"] == "a.go" and store.table("evolution").count() == 0
     assert [tuple(r)[:3] for r in store.table("links").collect()] == [("e:a", "related", "e:b")] and store.table("decisions").first()["id"] == "note:n1"
+
+
+def test_watcher(spark, tmp_path):
+    root, store = tmp_path / "r", Store(spark, str(tmp_path / "s"))
+    root.mkdir()
+    (root / "a.py").write_text("1")
+    (root / "b.py").write_text("2")
+    kinds = lambda df: {r["path"]: r["change"] for r in df.collect()}
+    assert kinds(watcher.scan_changes(store, str(root))) == {"a.py": "new", "b.py": "new"}
+    assert watcher.scan_changes(store, str(root)).count() == 0
+    (root / "a.py").unlink()
+    (root / "b.py").write_text("3")
+    (root / "c.py").write_text("4")
+    seen = []
+    assert watcher.follow(store, str(root), lambda df: seen.append(kinds(df)), rounds=2, wait=lambda s: None) == 1
+    assert seen == [{"a.py": "missing", "b.py": "changed", "c.py": "new"}]
+    row = store.diagnostics().first()
+    assert (row["table"], row["parts"], row["rows"]) == ("scan", 1, 2) and row["files"] > 0 and row["bytes"] > 0
