@@ -11,7 +11,7 @@ from knotlog.plans import dsl, model, requests
 from knotlog.plans.catalog import expected, query, values
 from knotlog.plans.model import CALLS, NODES, table
 from knotlog.plans.stored import stored
-from knotlog.sources import collections, entities, files
+from knotlog.sources import collections, entities, files, pages
 
 # --- files made of the tables' rows ----------------------------------------
 
@@ -160,6 +160,13 @@ def _(s, d):
     return federation.filter_deps(deps, module="1", direction="incoming", repo="Brand#11").select("source_node_id", "target_repo")
 
 
+@query("module_pages", f"""WITH {NODES} SELECT 'MODULES/' || replace(module, '/', '_') || '.md' AS page, '| ' || file_path || ' | ' || class || ' | ' || printf('%.2f', stability) || ' |' AS line FROM nodes""")
+def _(s, d):
+    none = s.createDataFrame([], "id string, severity string, title string")
+    lines = pages.pages(model.nodes(s, d), model.relations(s, d), none)
+    return lines.where("page LIKE 'MODULES/%' AND part = 1").select("page", "line")
+
+
 # --- functions and parameters on fixed inputs ------------------------------
 
 expected("cjk_terms", {"東京都庁": "東京,京都,都庁", "カード": "カー,ード", "字": "字", "한국어 x": "한국,국어,x", "abc東京XyZ": "abc,東京,xy,z,xyz"}, lambda c: F.array_join(text.tokenize(c), ","))

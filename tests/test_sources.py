@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotlog.operators import fieldindex
 from knotlog.plans import migrations
-from knotlog.sources import commits, entities, files
+from knotlog.sources import commits, entities, files, pages
 from knotlog.sources.store import Locked, Store, once
 from knotlog.streaming import collector, watcher
 
@@ -231,3 +231,17 @@ def test_watcher(spark, tmp_path):
     assert seen == [{"a.py": "missing", "b.py": "changed", "c.py": "new"}]
     row = store.diagnostics().first()
     assert (row["table"], row["parts"], row["rows"]) == ("scan", 1, 2) and row["files"] > 0 and row["bytes"] > 0
+
+
+def test_pages(spark, tmp_path):
+    nodes = spark.createDataFrame([("a/x.go", "Go", "a", "source", 0.5), ("a/y.go", "Go", "a", "test", 0.25), ("b/z.tf", "HCL", "b/c", "infra", 1.0)], "file_path string, language string, module string, class string, stability double")
+    relations = spark.createDataFrame([("a/x.go", "b/z.tf", "imports")], "source_node_id string, target_node_id string, type string")
+    decisions = spark.createDataFrame([("d2", "may", "Later"), ("d1", "must", "First")], "id string, severity string, title string")
+    fans = spark.createDataFrame([("e:a/x.go", 0, 3, 0), ("e:b/z.tf", 4, 0, 3)], "ref string, fan_in long, fan_out long, must_count long")
+    lines = pages.pages(nodes, relations, decisions, fans)
+    assert pages.page_text(lines, "DECISIONS.md") == "# Decisions\n\n- **must** First\n- **may** Later\n"
+    assert pages.page_text(lines, "MODULES/a.md") == "# a\n\n| File | Role | Stability |\n|---|---|---|\n| a/x.go | source | 0.50 |\n| a/y.go | test | 0.25 |\n"
+    assert "## Entry points\n\n- a/x.go\n" in pages.page_text(lines, "AGENTS.md") and "- b/z.tf" in pages.page_text(lines, "AGENTS.md")
+    pages.write_pages(lines, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out")).where("page = 'MODULES/b_c.md'").count()
+    assert back == pages.page_text(lines, "MODULES/b_c.md").count("\n")
