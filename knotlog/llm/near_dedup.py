@@ -75,7 +75,7 @@ SAMPLE_DOCS, COMMON = 10_000, 50_000
 #: Candidates a row from which a list is checked where it lies.
 DENSE = 4
 #: Rows and shingles of a chunk of a list, about.
-CHUNK_ROWS, CHUNK_SHINGLES = 2_000, 1_000_000
+CHUNK_ROWS, CHUNK_SHINGLES = 600, 1_000_000
 #: Rows of a list up to which all its pairs are looked at by distance in it.
 SHORT = 64
 #: Rows of lists that a task holds, about.

@@ -378,11 +378,11 @@ SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
-  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS at FROM w
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS st FROM w
 ), k AS (
-  SELECT doc_id, at, row_number() OVER (PARTITION BY array_to_string(ws[at:at + 19], ' ') ORDER BY doc_id, at) AS n FROM s
+  SELECT doc_id, st, row_number() OVER (PARTITION BY array_to_string(ws[st:st + 19], ' ') ORDER BY doc_id, st) AS n FROM s
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS pos FROM k WHERE n > 1
+  SELECT DISTINCT doc_id, unnest(range(st, st + 20)) AS pos FROM k WHERE n > 1
 ), words AS (
   SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w
 ), kept AS (
