@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from knotlog.sources.scratch import shared_dir, written
+from knotlog.sources import scratch
 
-__all__ = ["LOWER", "Words", "fresh", "mix", "resident", "runs_of", "shared_dir", "slices", "table", "utf8", "written"]
+__all__ = ["LOWER", "Words", "fresh", "mix", "resident", "runs_of", "slices", "table", "utf8", "written"]
 
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 1 << 20
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table of the shared folder; small ones as few files."""
+    return scratch.written(df, label, few=True)
+
+
 def fresh(df: DataFrame, prefix: str) -> str:
     """``prefix`` with as many underscores before it as keep it from starting a column's name."""
     while any(c.startswith(prefix) for c in df.columns):
