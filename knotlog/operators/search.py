@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotlog.functions.text import split_words, tokenize, word_terms
+from knotlog.session import spread
 from knotlog.sources.scratch import remove, written
 
 K1, B = 1.2, 0.75
@@ -34,7 +35,7 @@ def _dictionary(words: DataFrame) -> DataFrame:
 
 def terms(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, term, freq`` of every document."""
-    words = docs.select(F.col(id).alias("doc_id"), F.explode(split_words(F.col(text))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    words = spread(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.explode(split_words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     words = written(words, "word-counts")
     each = words.join(_dictionary(words), "word").select("doc_id", F.explode("terms").alias("term"), "n")
     return each.groupBy("doc_id", "term").agg(F.sum("n").alias("freq"))
@@ -42,7 +43,8 @@ def terms(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
 def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``term, doc_id, freq, positions`` of every term of every document."""
-    words = written(docs.select(F.col(id).alias("doc_id"), F.posexplode(split_words(F.col(text))).alias("at", "word")), "words-in-order")
+    words = spread(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.posexplode(split_words(F.col("text"))).alias("at", "word"))
+    words = written(words, "words-in-order")
     each = words.join(_dictionary(words), "word")
     so_far = F.sum(F.size("terms")).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     tokens = each.select("doc_id", (so_far - F.size("terms")).alias("first"), "terms").select("doc_id", "first", F.posexplode("terms").alias("k", "term"))
@@ -184,7 +186,7 @@ def bm25(docs: DataFrame, query: str, id: str = "doc_id", text: str = "text", de
     unless ``live_statistics``.
     """
     wanted = query_terms(query)
-    words = docs.select(F.col(id).alias("doc_id"), F.explode_outer(split_words(F.col(text))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    words = spread(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.explode_outer(split_words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     words = written(words, "word-counts")  # texts are read once
     known = _dictionary(words.where("word IS NOT NULL"))
     hit = F.filter("terms", lambda t: t.isin(wanted) if wanted else F.lit(False))

@@ -33,21 +33,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """``df`` as a Parquet table of the shared folder; its lineage ends there.
 
-    Exchanges before it are coalesced to the advisory size, so a small table is
-    few files.
+    With ``few``, exchanges before it are coalesced to the advisory size rather
+    than to the cores, so that a small table is few files.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
+    if few:
+        spark.conf.set(key, "false")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        if few:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
