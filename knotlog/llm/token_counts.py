@@ -27,7 +27,7 @@ from knotlog.llm._bytebpe import Pretokens, Vocabulary, default_path
 from knotlog.llm._common import resident, slices, table, utf8
 
 #: Pre-tokens that one Python process remembers at most.
-REMEMBER = 200_000
+REMEMBER = 500_000
 #: A training sequence of more tokens than this is marked.
 LIMIT = 512
 
