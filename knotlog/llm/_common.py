@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from knotlog.sources import scratch
 
-__all__ = ["LOWER", "Words", "fresh", "mix", "resident", "runs_of", "slices", "table", "utf8", "written"]
+__all__ = ["LOWER", "Words", "fresh", "mapped", "mix", "resident", "runs_of", "slices", "table", "utf8", "written"]
 
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 1 << 20
@@ -49,6 +50,31 @@ def resident(key: tuple | None = None, make: Callable[[], object] | None = None)
     return _RESIDENT.get(key)
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library hold free to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``df.mapInArrow``, each task of which gives back what it has freed.
+
+    Its Python worker waits for other tasks, through stages without any, beside
+    a JVM that needs the memory.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 # --- text in Arrow batches -------------------------------------------------
 
 

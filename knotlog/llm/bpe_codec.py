@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knotlog.llm._bytebpe import Pretokens, Vocabulary, default_path
-from knotlog.llm._common import resident, slices, table
+from knotlog.llm._common import mapped, resident, slices, table
 
 #: Pre-tokens that one Python process remembers at most (about 200 bytes each), and their length.
 REMEMBER, LONGEST = 120_000, 64
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", count: str = "
                 found = enc.encode(batch.column(text).to_pylist())
                 yield _with(batch, names, {ids: pa.array(found, pa.binary()), count: pa.array([len(x) // 4 for x in found], pa.int64())})
 
-    return docs.mapInArrow(run, out)
+    return mapped(docs, run, out)
 
 
 def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
@@ -164,7 +164,7 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", path: str |
                 found = [enc.decode(x) if x else "" for x in batch.column(ids).to_pylist()]
                 yield _with(batch, names, {text: pa.array(found, pa.string())})
 
-    return docs.mapInArrow(run, out)
+    return mapped(docs, run, out)
 
 
 def recode(docs: DataFrame, text: str = "text", ids: str = "ids", count: str = "n_tokens", decoded: str = "decoded", path: str | None = None) -> DataFrame:
@@ -182,7 +182,7 @@ def recode(docs: DataFrame, text: str = "text", ids: str = "ids", count: str = "
                 made = (pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([enc.decode(x) for x in found], pa.string()))
                 yield _with(batch, names, dict(zip(new, made, strict=True)))
 
-    return docs.mapInArrow(run, out)
+    return mapped(docs, run, out)
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

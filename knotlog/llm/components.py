@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotlog.llm._common import written
+from knotlog.llm._common import mapped, written
 
 
 #: Links that one task contracts at most (two longs each); more go by rounds.
@@ -50,9 +50,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    edges = written(edges.mapInArrow(_contract, "u long, v long").distinct(), "links")
+    edges = written(mapped(edges, _contract, "u long, v long").distinct(), "links")
     if edges.count() <= SMALL_LINKS:
-        stars = edges.repartition(1).mapInArrow(_contract, "u long, v long").withColumnsRenamed({"u": "id", "v": "component"})
+        stars = mapped(edges.repartition(1), _contract, "u long, v long").withColumnsRenamed({"u": "id", "v": "component"})
         return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
 
     def mark(e: DataFrame) -> tuple:

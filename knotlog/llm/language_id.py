@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotlog.llm._common import Words, fresh, resident, slices, table, utf8
+from knotlog.llm._common import Words, fresh, mapped, resident, slices, table, utf8
 
 #: Labelled rows of one language that are learned from, about.
 MAX_DOCS = 600
@@ -273,7 +273,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found]), pa.array(list(found.values()), pa.int64())], ["_lang", "word", "n"])
 
     # words of the bounded sample
-    counted = sample.mapInArrow(words, "_lang string, word string, n long").groupBy("_lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("_lang", "ascending"), ("word", "ascending")])
+    counted = mapped(sample, words, "_lang string, word string, n long").groupBy("_lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("_lang", "ascending"), ("word", "ascending")])
     by: dict[str, dict[str, int]] = {name: {} for name in sorted(sizes)}
     for name, word, n in zip(*[counted.column(c).to_pylist() for c in ("_lang", "word", "n")], strict=True):
         by[name][word] = n
@@ -361,7 +361,7 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, text: str =
                 found, sure = score(*utf8(batch.column(text)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*names, *new])
 
-    return docs.mapInArrow(run, out)
+    return mapped(docs, run, out)
 
 
 def keep_known(docs: DataFrame, learn_from: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -57,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotlog.llm._common import Words, mix, resident, runs_of, slices, table, utf8, written
+from knotlog.llm._common import Words, mapped, mix, resident, runs_of, slices, table, utf8, written
 from knotlog.llm.components import components
 
 ORDERS, DEPTH = 20, 4
@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
                 sig = [signature(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "h1", "h2", "sig"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary")
+    return mapped(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, n long, h1 long, h2 long, sig binary")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 offs = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offs, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))], ["id", "prefix"])
 
-    return sets.mapInArrow(run, "id long, prefix array<long>")
+    return mapped(sets, run, "id long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -172,7 +172,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 flat = np.concatenate([np.zeros(0, np.int64), *sets])
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], ["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return mapped(docs, run, "id long, shingles array<long>")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -450,7 +450,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     rotated = lambda k: F.concat(F.substring("sig", 2 * DEPTH * k + 1, 2 * VALUES), F.substring("sig", 1, 2 * DEPTH * k)) if k else F.col("sig")
     keys = classes.select(F.col("rep").alias("id"), heads())
     parts = max(1, -(-total * ORDERS // (4 * STRETCH_ROWS)))
-    sharing = keys.repartitionByRange(parts, "t", "key", "id").sortWithinPartitions("t", "key", "id").mapInArrow(_sharing, "id long").distinct()
+    sharing = mapped(keys.repartitionByRange(parts, "t", "key", "id").sortWithinPartitions("t", "key", "id"), _sharing, "id long").distinct()
     sharing = written(sharing, "near-sharing")
     n_sharing = sharing.count()
     small = F.broadcast if n_sharing <= BROADCAST_ROWS else (lambda df: df)
@@ -471,7 +471,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         orders = range(FIRST) if mode == 1 else range(ORDERS)
         exploded = labelled().select("id", "n", "comp", F.posexplode(F.array(*[rotated(k) for k in orders])).alias("t", "order_sig"))
         parts = max(1, -(-n_sharing * len(orders) // STRETCH_ROWS))
-        found = exploded.repartitionByRange(parts, "t", "order_sig", "id").sortWithinPartitions("t", "order_sig", "id").mapInArrow(_candidates(mode, percent), "a long, b long").distinct()
+        found = mapped(exploded.repartitionByRange(parts, "t", "order_sig", "id").sortWithinPartitions("t", "order_sig", "id"), _candidates(mode, percent), "a long, b long").distinct()
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = written(found, f"near-candidates{mode}")
@@ -496,7 +496,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         cells, total = _dealt(prefixed.select("id", "comp", "n", F.posexplode("prefix").alias("pos", "key")))
         if total:
             cells = cells.repartition(-(-total // LIST_ROWS), "cell").sortWithinPartitions("cell", "n", "id")
-            rest = written(cells.mapInArrow(_possible(percent), "a long, b long, cell long"), "near-rest")
+            rest = written(mapped(cells, _possible(percent), "a long, b long, cell long"), "near-rest")
             pairs = written(_likely(rest.where("cell IS NULL").select("a", "b").distinct(), prefixed, percent), "near-rest-pairs")
             dense = rest.where("cell IS NOT NULL").select("cell", F.col("a").alias("id")).distinct()
             own = open_sets.select("id", "shingles")
@@ -505,7 +505,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
                 spots = _families(dense).join(prefixed.select("id", "comp", "n"), "id").withColumn("pos", F.lit(0))
                 cells, total = _dealt(spots)
                 packed = cells.select("cell", "id", "comp").join(own, "id").repartition(-(-total // CHUNK_ROWS), "cell").sortWithinPartitions("cell", "id")
-                new = new.union(packed.mapInArrow(_joining(percent), "a long, b long"))
+                new = new.union(mapped(packed, _joining(percent), "a long, b long"))
             new = written(new, "near-rest-links")
             if not new.isEmpty():
                 comp = written(components(new if links is None else links.union(new)), "near-components")

@@ -1,10 +1,13 @@
 """Cases that every operator and stage defines: nulls, empty tables, hot groups, long texts, clashing names."""
 
+import ctypes
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +112,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {r[0] for r in ROWS}
     empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_workers_give_memory_back(spark):
+    """After a task of the pipeline's first stage its Python worker keeps the model, but no memory that is free."""
+
+    def held(batches):
+        anonymous = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read()).group(1)) // 1024
+        for batch in batches:
+            time.sleep(0.2)  # so that tasks run beside each other, one a worker
+            before = anonymous()
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+            yield pa.RecordBatch.from_arrays([pa.array([before - anonymous()], pa.int64())], ["mb"])
+
+    free = lambda: max(r["mb"] for r in spark.range(0, 16, 1, 16).mapInArrow(held, "mb long").collect())
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 12))) for _ in range(60_000)]
+    docs = spark.createDataFrame([(k, " ".join(draw.choices(words, k=300)), "en" if k % 2 else "fr", "a") for k in range(12_000)], DOC).repartition(2)
+    free()
+    assert language_id.keep_known(docs, docs.limit(50)).count() == 12_000
+    assert free() < 12
