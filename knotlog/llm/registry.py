@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotlog.llm import ann, bpe_codec, language_id, line_dedup, near_dedup, quality, secret_scan, source_mix, substring_dedup, token_counts
+from knotlog.llm import ann, bpe_codec, decontaminate, language_id, line_dedup, near_dedup, quality, secret_scan, source_mix, substring_dedup, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_ann": ann.op9_ann,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op12_decontaminate": decontaminate.op12_decontaminate,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op5_near_dedup": near_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
+    "op12_decontaminate": decontaminate.SQL,
 }
