@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotlog.llm import ann, bpe_codec, decontaminate, language_id, line_dedup, near_dedup, quality, secret_scan, source_mix, substring_dedup, token_counts
+from knotlog.llm import ann, bpe_codec, decontaminate, language_id, line_dedup, near_dedup, quality, secret_scan, source_mix, substring_dedup, token_alignment, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ann": ann.op9_ann,
     "op10_token_counts": token_counts.op10_token_counts,
     "op12_decontaminate": decontaminate.op12_decontaminate,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLES = {
