@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotlog.llm import ann, bpe_codec, decontaminate, language_id, line_dedup, near_dedup, quality, secret_scan, source_mix, substring_dedup, token_alignment, token_counts
+from knotlog.llm import ann, bpe_codec, decontaminate, language_id, line_dedup, near_dedup, quality, secret_scan, source_mix, spelling, substring_dedup, token_alignment, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_ann": ann.op9_ann,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_spelling": spelling.op11_spelling,
     "op12_decontaminate": decontaminate.op12_decontaminate,
     "op13_token_alignment": token_alignment.op13_token_alignment,
 }
