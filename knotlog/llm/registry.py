@@ -24,5 +24,6 @@ ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op5_near_dedup": near_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
+    "op11_spelling": spelling.SQL,
     "op12_decontaminate": decontaminate.SQL,
 }
