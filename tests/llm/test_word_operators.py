@@ -224,7 +224,7 @@ def brute_groups(text, a, b):
     """Groups and linked id pairs of a text, by the libraries; None if the tokens do not spell it."""
     if not text:
         return None
-    letters = token_alignment.aligner(token_alignment.default_paths()).a.vocabulary.token
+    letters = token_alignment.aligner(token_alignment.default_paths()).a.token
     ids_a, ids_b = a.encode(f" {text}", add_special_tokens=False).ids, b.encode(text)
     of_a = [letters[i] for i in ids_a]
     of_b = [bytes([int(b.id_to_piece(i)[1:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in ids_b]
@@ -277,9 +277,17 @@ def test_alignment_is_that_of_the_libraries(spark, monkeypatch, hot):
 
 def test_keys_that_clash_are_salted_anew(spark, monkeypatch):
     rows = [(i, f"some text number {i} of its own") for i in range(40)]
-    real = token_alignment.group_key
-    monkeypatch.setattr(token_alignment, "group_key", lambda g, salt: real(g, salt) % 5 if salt == 0 else real(g, salt))
-    assert rows_of(token_alignment.align(spark.createDataFrame(rows, "doc_id long, text string")), *ALIGNED) == brute_alignment(rows)
+    real, salts = token_alignment._encoded, []
+
+    def clashing(*args):
+        salts.append(args[-1])
+        if args[-1]:
+            return real(*args)
+        few = F.transform("doc.keys", lambda k: k % 5)
+        return real(*args).select(F.when(F.col("doc").isNotNull(), F.col("doc").withField("keys", few)).alias("doc"), F.when(F.col("entry").isNotNull(), F.col("entry").withField("key", F.col("entry.key") % 5)).alias("entry"))
+
+    monkeypatch.setattr(token_alignment, "_encoded", clashing)
+    assert rows_of(token_alignment.align(spark.createDataFrame(rows, "doc_id long, text string")), *ALIGNED) == brute_alignment(rows) and salts == [0, 1]
 
 
 @settings(max_examples=300, deadline=None)
@@ -288,14 +296,27 @@ def test_alignment_fuzz(text):
     lib = test_alignment_fuzz.__dict__.setdefault("lib", libraries())
     want = brute_groups(text, *lib)
     align = token_alignment.aligner(token_alignment.default_paths())
-    ((n_a, n_b, n_groups, spelled, counted),) = align([text])
+    tokens = align(["before it", text, "after"])
+    n = tokens.n_groups.tolist()
+    spelled = tokens.spelled(n[0], n[0] + n[1])
+    doc, _, times, group = tokens.counted()
+    counted = {tokens.spelled(g, g + 1): t for d, g, t in zip(doc.tolist(), group.tolist(), times.tolist(), strict=True) if d == 1}
+    got = (tokens.n_a[1], tokens.n_b[1], n[1], spelled)
     if want is None:
-        assert (n_a, n_b, n_groups, spelled, counted) == (0, 0, 0, "", Counter())
+        assert got == (0, 0, 0, "") and not counted
     else:
-        assert (n_a, n_b, n_groups, spelled) == (*want[:2], len(want[2]), ";".join(want[2])) and counted == Counter(want[2])
+        assert got == (*want[:2], len(want[2]), ";".join(want[2])) and counted == Counter(want[2])
         assert sum((Counter({x: k * n for x, k in align.links(g).items()}) for g, n in counted.items()), Counter()) == Counter(want[3])
 
 
+def test_fast_encoder_is_left_where_it_differs():
+    """Long runs and characters that are classed otherwise give the ids of the library."""
+    a = token_alignment.aligner(token_alignment.default_paths()).a
+    lib = libraries()[0]
+    for text in (" " + "x" * 5000, " " * 3000 + "y", " \u0558\u088f1 x", " a\u0558b", " \U00011f02 \u1c89x", "\u2028\u0085 z"):
+        assert a.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 def test_alignment_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
