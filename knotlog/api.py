@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from knotlog.functions.scoring import PROFILES, Profile
 from knotlog.operators import eventlog, graph, maintenance, reports, retrieval, search
 from knotlog.plans import dsl
+from knotlog.schema import EVENT_LOG, INDEXED
 from knotlog.sources import files
+from knotlog.sources.scratch import written
 from knotlog.sources.store import Store
 
 
@@ -37,14 +39,17 @@ class Engine:
     def query(self, text: str) -> DataFrame:
         """A query of the language."""
         q = dsl.parse(text)
-        table = None if q.traverse else self.store.table(q.collection)
-        return dsl.compile_query(q, table, self.links() if q.traverse else None, self.store.registry())
+        if q.traverse:
+            return dsl.compile_query(q, None, self.links(), self.store.registry())
+        return dsl.over_store(q, self.store)[0]
 
     def explain(self, text: str) -> str:
         """What a query would do."""
         q = dsl.parse(text)
-        dsl.check(q, self.store.registry())
-        return dsl.explain(q)
+        registry = self.store.registry()
+        dsl.check(q, registry)
+        stored = not q.traverse and q.collection in self.store.tables()
+        return dsl.explain(q, self.store.seek(q.collection, dsl.wanted(q, registry))[1] if stored else None)
 
     def recall(self, text: str, limit: int = 10) -> DataFrame:
         """Nodes found by a text, over all their fields, best first."""
@@ -83,7 +88,11 @@ class Engine:
     # --- writing
 
     def scan(self, root: str, exclude: list[str] | None = None, now: datetime | None = None) -> int:
-        """Brings nodes and log up to a folder's files; returns the snapshot."""
+        """Brings nodes and log up to a folder's files; returns the snapshot.
+
+        Only nodes that are new, changed, or gone are written; files of the store
+        without such nodes stay.  The first scan makes the indexes of nodes.
+        """
         now = now or datetime.now(UTC)
         tree = files.file_tree(self.spark, root, exclude)
         seen = files.nodes(tree, F.lit(now.isoformat()))
@@ -92,14 +101,16 @@ class Engine:
         tables = self.store.tables()
         known = self.store.table("nodes") if "nodes" in tables else seen.limit(0)
         log = self.log() if "log" in tables else None
-        old = known.select("id", F.col("created_at").alias("_first"))
-        fresh = seen.join(old, "id", "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
-        gone = maintenance.mark_deleted(known, seen, F.lit(now.isoformat())).join(seen.select("id"), "id", "left_anti")
-        nodes = fresh.unionByName(gone.select(*fresh.columns))
+        old = known.select("id", F.col("created_at").alias("_first"), F.struct("content_hash", "status").alias("_old"))
+        fresh = seen.join(old, "id", "left").withColumn("created_at", F.coalesce("_first", "created_at"))
+        fresh = fresh.where(~F.col("_old").eqNullSafe(F.struct("content_hash", "status"))).drop("_first", "_old")
+        gone = maintenance.mark_deleted(known, seen, F.lit(now.isoformat())).join(seen.select("id"), "id", "left_anti").where(F.col("updated_at") == now.isoformat())
+        nodes = written(fresh.unionByName(gone, allowMissingColumns=True), "changed-nodes")
+        if "nodes" in tables and nodes.isEmpty():
+            return self.store.manifest()["snapshot"]
         latest = known.where("status <> 'deleted'").select("id", F.col("content_hash").alias("hash"))
         changed = maintenance.new_versions(latest, seen.withColumn("hash", F.col("content_hash")))
         entity = F.struct("type", F.col("file_path").alias("path"), "name", F.col("content_hash").alias("hash"))
-        from knotlog.schema import EVENT_LOG
 
         def shaped(df: DataFrame) -> DataFrame:
             return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT_LOG])
@@ -109,13 +120,17 @@ class Engine:
         linked = eventlog.append_links(log, links, [F.col("id")])
         if log is not None:  # a link that is there already gets no new version
             linked = eventlog.append_absent(log, linked)
-        return self.store.commit(replace={"nodes": nodes}, append={"log": shaped(events).unionByName(shaped(linked))})
+        more = {"put": {"nodes": nodes}} if "nodes" in tables else {"append": {"nodes": nodes}}
+        more.setdefault("append", {})["log"] = shaped(events).unionByName(shaped(linked))
+        snapshot = self.store.commit(**more)
+        for field in INDEXED["nodes"]:
+            if field not in self.store.indexes("nodes"):
+                snapshot = self.store.add_index("nodes", field)
+        return snapshot
 
     def put_decisions(self, rows: DataFrame, now: datetime | None = None) -> int:
         """Appends decisions (``id, title, body, severity, scope, source``) that are not there yet."""
         now = now or datetime.now(UTC)
-        from knotlog.schema import EVENT_LOG
-
         decision = F.struct("title", "body", "severity", "scope", "source")
         new = rows.select(F.lit("decision").alias("kind"), "id", decision.alias("decision")).withColumns({"created_at_nanos": F.lit(int(now.timestamp() * 1e6) * 1000), "created_at": F.lit(now), "lifecycle": F.lit("active")})
         log = self.log() if "log" in self.store.tables() else None
@@ -124,11 +139,13 @@ class Engine:
         return self.store.commit(append={"log": out.select(*[(F.col(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT_LOG])})
 
     def alter(self, collection: str, field: str, kind: str, default=None, dry: bool = False):
-        """Adds a field and fills it; a dry run tells the records and the time."""
+        """Adds a field and fills it in batches, going on where an earlier call stopped; a dry run tells the records and the time."""
         registry = self.store.registry()
         rows = self.store.table(collection)
         if dry:
             return maintenance.alter_impact(rows).first().asDict()
         registry.add_field(collection, field, kind)
         spark_kind = registry.struct(collection)[field].dataType.simpleString()
-        return self.store.commit(replace={collection: maintenance.backfill(rows, field, default, spark_kind)}, registry=registry)
+        self.store.start_backfill(collection, field, default, spark_kind, registry)
+        self.store.backfill(collection, field)
+        return self.store.manifest()["snapshot"]

@@ -23,6 +23,7 @@ from knotlog.functions.text import split_ref
 from knotlog.operators.eventlog import as_of_highest
 from knotlog.operators.graph import DEFAULT_DEPTH, VISITED_CAP, reachable
 from knotlog.schema import INDEXED, Registry
+from knotlog.sources.store import Seek, Store
 
 
 class QueryError(ValueError):
@@ -323,13 +324,44 @@ def compile_query(q: Query, table: DataFrame | None, links: DataFrame | None = N
     return out.limit(q.limit) if q.limit else out
 
 
+def wanted(q: Query, registry: Registry) -> list[dict[str, list[str]]]:
+    """What rows must have to satisfy a query, by alternative and field, where an index of the field can tell.
+
+    Equality of texts and membership in arrays can be looked up.  With ``as of``
+    nothing can: a row's field may have had another value then.
+    """
+    fields = registry.fields(q.collection)
+    if q.as_of is not None or q.traverse:
+        return []
+    served = lambda c: c.op == "=" and fields[c.field] in ("string", "time") or c.op == "contains" and fields[c.field] == "[]string"
+    out = []
+    for group in q.where:
+        own: dict[str, list[str]] = {}
+        for c in filter(served, group):
+            own.setdefault(c.field, [_text(c.value)])
+        out.append(own)
+    return out
+
+
+def over_store(q: Query, store: Store) -> tuple[DataFrame, Seek | None]:
+    """A query's rows from a store's collection, and what its indexes spared.
+
+    Files that no index names for the query's conditions are not read; the
+    conditions themselves go into the scan of the others.
+    """
+    registry = store.registry()
+    check(q, registry)
+    table, seek = store.seek(q.collection, wanted(q, registry))
+    return compile_query(q, table, registry=registry), seek
+
+
 def run(text: str, table: DataFrame | None, links: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
     """The DataFrame of a query's text."""
     return compile_query(parse(text), table, links, registry)
 
 
-def explain(q: Query) -> str:
-    """What a query does, one line for each part."""
+def explain(q: Query, read: Seek | None = None) -> str:
+    """What a query does, one line for each part; with ``read``, also the files that it comes to."""
     conditions = [c for g in q.where for c in g]
     served = INDEXED.get(q.collection, {})
     seek = next((c for c in conditions if c.op == "=" and c.field in served), None) if len(q.where) == 1 else None
@@ -343,4 +375,6 @@ def explain(q: Query) -> str:
         lines.append(("Order by", f"{q.order[0]} {'DESC' if q.order[1] else 'ASC'}"))
     if q.limit:
         lines.append(("Limit", str(q.limit)))
+    if read:
+        lines.append(("Files", f"{len(read.files)} of {read.of} by {', '.join(read.fields)}"))
     return "\n".join(f"{name + ':':<12}{value}" for name, value in lines)
