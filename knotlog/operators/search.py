@@ -1,30 +1,24 @@
-"""Full-text search: postings, a stored index, statistics, BM25, tombstones.
+"""Full-text search over texts: postings, statistics, BM25, tombstones.
 
 Words repeat, so texts are split once, words are counted per document, and only
-distinct words are taken apart into terms.  An index stores postings in buckets
-of terms, each posting with its document's length: a query reads the buckets of
-its terms, filters them in the scan, and touches no text.
+distinct words are taken apart into terms.  ``textindex`` stores what is found
+here, for queries that touch no text.
 """
 
 from __future__ import annotations
 
-import json
 import math
-import uuid
-from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotlog.functions.text import split_words, tokenize, word_terms
 from knotlog.session import spread
-from knotlog.sources.scratch import remove, written
+from knotlog.sources.scratch import written
 
 K1, B = 1.2, 0.75
 #: Distinct words whose terms are broadcast at most.
 BROADCAST_WORDS = 500_000
-#: Postings of one bucket of an index, about.
-BUCKET_ROWS = 5_000_000
 
 
 def _dictionary(words: DataFrame) -> DataFrame:
@@ -72,115 +66,10 @@ def score(hits: DataFrame, n_docs: int, avgdl: float, counts: dict[str, int]) ->
     return hits.groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
-@dataclass
-class Index:
-    """A stored inverted index: segments of postings, lengths, and tombstones.
-
-    A segment is a folder with ``postings`` (``bucket`` as folder; ``term,
-    doc_id, freq, dl`` sorted by term) and ``norms`` (``doc_id, dl``), and its
-    counts.  ``add`` writes a segment for new documents, ``delete`` tombstones;
-    ``compact`` makes one segment of what lives.  A newer segment's documents
-    hide the older ones of their ids.
-    """
-
-    spark: SparkSession
-    path: str
-    buckets: int
-    segments: list[dict] = field(default_factory=list)
-    tombstones: list[str] = field(default_factory=list)
-
-    @classmethod
-    def build(cls, docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", buckets: int | None = None) -> Index:
-        """An index of ``docs`` (one row for each id) in a new folder."""
-        index = cls(docs.sparkSession, path.rstrip("/"), buckets or 0)
-        index.add(docs, id, text)
-        return index
-
-    @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Index:
-        """The index that ``save`` left in a folder."""
-        row = spark.read.text(f"{path.rstrip('/')}/manifest").first()
-        return cls(spark, path.rstrip("/"), **json.loads(row["value"]))
-
-    def save(self) -> None:
-        """Writes the list of segments beside them."""
-        value = json.dumps({"buckets": self.buckets, "segments": self.segments, "tombstones": self.tombstones})
-        self.spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
-
-    def add(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> None:
-        """Documents as a new segment, which hides older documents of their ids."""
-        found = written(terms(docs, id, text), "terms")
-        lengths = written(docs.select(F.col(id).alias("doc_id")).distinct().join(found.groupBy("doc_id").agg(F.sum("freq").alias("dl")), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")), "lengths")
-        self._write(found.join(lengths, "doc_id"), lengths)
-
-    def _write(self, found: DataFrame, lengths: DataFrame) -> None:
-        name = f"{self.path}/segment-{uuid.uuid4().hex}"
-        counts = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
-        if not self.buckets:
-            self.buckets = max(8, -(-found.count() // BUCKET_ROWS))
-        rows = found.select(F.col("term"), "doc_id", "freq", "dl", self._bucket(F.col("term")).alias("bucket"))
-        # a bucket is dealt by document too, so that a term of a third of all documents is many tasks
-        rows.repartition(self.buckets * 2, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(2))).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{name}/postings")
-        lengths.write.parquet(f"{name}/norms")
-        self.segments.append({"name": name, "docs": counts["n"], "dl": counts["dl"]})
-
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
-
-    def delete(self, ids: DataFrame) -> None:
-        """Hides documents (``doc_id``) of the segments there are now."""
-        name = f"{self.path}/gone-{uuid.uuid4().hex}"
-        ids.select("doc_id", F.lit(len(self.segments)).alias("before")).distinct().write.parquet(name)
-        self.tombstones.append(name)
-
-    def _live(self, table: str) -> DataFrame:
-        """Rows of all segments but for hidden documents."""
-        out = None
-        for k, s in enumerate(self.segments):
-            rows = self.spark.read.parquet(f"{s['name']}/{table}")
-            for newer in self.segments[k + 1 :]:
-                rows = rows.join(self.spark.read.parquet(f"{newer['name']}/norms").select("doc_id"), "doc_id", "left_anti")
-            for gone in self.tombstones:
-                rows = rows.join(self.spark.read.parquet(gone).where(F.col("before") > k).select("doc_id"), "doc_id", "left_anti")
-            out = rows if out is None else out.unionByName(rows)
-        return out
-
-    def hits(self, words: list[str]) -> DataFrame:
-        """``term, doc_id, freq, dl`` of the live documents with one of the terms."""
-        numbers = [r["b"] for r in self.spark.createDataFrame([(w,) for w in words], "term string").select(self._bucket(F.col("term")).alias("b")).collect()] if words else []
-        return self._live("postings").where(F.col("bucket").isin(numbers) & F.col("term").isin(words)).select("term", "doc_id", "freq", "dl")
-
-    def bm25(self, query: str, live_statistics: bool = False) -> DataFrame:
-        """``doc_id, score`` of every live document with a term of the query.
-
-        Documents not merged away yet count in the corpus size and mean length
-        unless ``live_statistics``, which reads the lengths.
-        """
-        found = self.hits(query_terms(query))
-        if live_statistics:
-            n, dl = self._live("norms").agg(F.count("*"), F.sum("dl")).first()
-        else:
-            n, dl = sum(s["docs"] for s in self.segments), sum(s["dl"] for s in self.segments)
-        counts = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row per query term
-        return score(found, n, (dl or 0) / n if n else 0.0, counts)
-
-    def search(self, query: str, limit: int = 10, **more) -> DataFrame:
-        """The best documents for a query; ties in order of the id."""
-        return self.bm25(query, **more).orderBy(F.col("score").desc(), "doc_id").limit(limit)
-
-    def compact(self) -> None:
-        """One segment of the live documents; the old ones and tombstones go."""
-        old, gone = list(self.segments), list(self.tombstones)
-        found, lengths = self._live("postings").select("doc_id", "term", "freq", "dl"), written(self._live("norms"), "lengths")
-        self.segments, self.tombstones = [], []
-        self._write(found, lengths)
-        remove(self.spark, [s["name"] for s in old] + gone)
-
-
 def bm25(docs: DataFrame, query: str, id: str = "doc_id", text: str = "text", deleted: DataFrame | None = None, live_statistics: bool = False) -> DataFrame:
     """``doc_id, score`` of every document with a term of the query, without an index.
 
-    One pass over the texts; ``Index`` is for more than one query.  ``deleted``
+    One pass over the texts; ``textindex.Index`` is for more than one query.  ``deleted``
     (``doc_id``) are documents not merged away yet: they are not found and not
     in a term's document count, but count in the corpus size and mean length
     unless ``live_statistics``.

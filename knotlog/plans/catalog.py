@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotlog.functions import paths, scoring, text
-from knotlog.operators import eventlog, federation, graph, maintenance, reports, retrieval, search
+from knotlog.operators import eventlog, federation, graph, maintenance, reports, retrieval, search, textindex
 from knotlog.plans import dsl, model
 from knotlog.plans.stored import stored
 from knotlog.plans.model import CALLS, DECISIONS, EVENT_LOG, KNOWLEDGE_LINKS, LINKS, NODES, ORDER_LOG, RELATIONS, active_sql, table
@@ -48,9 +48,9 @@ def _knowledge(s: SparkSession, d: str) -> graph.EdgeIndex:
     return stored(s, d, "knowledge-edges", lambda path: graph.EdgeIndex.build(_klinks(s, d), path))
 
 
-def _index(s: SparkSession, d: str) -> search.Index:
+def _index(s: SparkSession, d: str) -> textindex.Index:
     """The inverted index of the documents."""
-    return stored(s, d, "text-index", lambda path: search.Index.build(table(s, d, "documents"), path))
+    return stored(s, d, "text-index", lambda path: textindex.Index.build(table(s, d, "documents"), path))
 
 
 # --- query language --------------------------------------------------------

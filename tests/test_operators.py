@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotlog.functions import paths, scoring, text
-from knotlog.operators import eventlog, federation, graph, maintenance, reports, retrieval, search
+from knotlog.operators import eventlog, federation, graph, maintenance, reports, retrieval, search, textindex
 
 LINK = "src_ref string, edge_type string, dst_ref string, version long, created_at_nanos long, lifecycle string"
 
@@ -141,7 +141,7 @@ def test_index(spark, tmp_path):
     make = lambda ids: [(i, " ".join(rnd.choices(words, k=rnd.randrange(0, 9))) or None) for i in ids]
     first, second = make(range(40)), make(range(30, 50))
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    index = search.Index.build(frame(first), str(tmp_path / "index"), buckets=3)
+    index = textindex.Index.build(frame(first), str(tmp_path / "index"), buckets=3)
     near = lambda df: {r["doc_id"]: pytest.approx(r["score"]) for r in df.collect()}
     for q in ("alpha", "beta omega 京都", "nothing", ""):
         assert {r["doc_id"]: r["score"] for r in index.bm25(q).collect()} == near(search.bm25(frame(first), q))
@@ -150,12 +150,12 @@ def test_index(spark, tmp_path):
     index.add(frame([(3, "alpha again")]))
     live = [r for r in first if r[0] < 30 and r[0] != 3] + [r for r in second if r[0] != 35] + [(3, "alpha again")]
     index.save()
-    index = search.Index.open(spark, str(tmp_path / "index"))
+    index = textindex.Index.open(spark, str(tmp_path / "index"))
     for _ in range(2):
         for q in ("alpha", "gamma 9"):
             assert {r["doc_id"]: r["score"] for r in index.bm25(q, live_statistics=True).collect()} == near(search.bm25(frame(live), q))
         index.compact()
-    assert len(index.segments) == 1 and not index.tombstones and index.search("alpha", 2).count() == 2
+    assert len(index.segments) == 1 and not index.segments[0]['gone'] and index.search("alpha", 2).count() == 2
 
 
 def test_terms_match_tokenizer(spark):
