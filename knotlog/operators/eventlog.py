@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from knotlog.functions.text import escape_id, version_key
 from knotlog.schema import PREFIX
+from knotlog.sources.scratch import written
 
 CHAIN = ["kind", "id"]
 
@@ -102,6 +103,38 @@ def supersedes_chain(log: DataFrame, kind: str, id: str, hops: int = 100) -> Dat
     return out.withColumn("dangling", ~F.col("supersedes").eqNullSafe(expected)).orderBy("hop")
 
 
+def resolve_supersedes(log: DataFrame, hops: int = 1_000) -> DataFrame:
+    """``key, kind, id, version, root, hop, state``: where each version's chain of pointers ends, all chains at once.
+
+    ``key`` is a version's storage key.  ``state`` is ``ok`` (``root`` has no
+    pointer), ``dangling`` (a pointer leads to no version; ``root`` is the last
+    one reached), ``cycle``, or ``too long`` (over ``hops``; these two have no
+    root).  Pointers are doubled in each round, so the rounds grow with the
+    logarithm of the longest chain; each is an exchange on keys and is written
+    to the shared folder.
+    """
+    keyed = log.select(version_key(prefix_of(F.col("kind")), F.col("id"), F.col("version")).alias("key"), "kind", "id", "version", F.col("supersedes").alias("to"))
+    keyed = written(keyed, "pointers")
+    known = keyed.select(F.col("key").alias("to"), F.lit(True).alias("there"))
+    # a pointer into nothing ends its chain where it stands
+    walk = keyed.join(known, "to", "left").withColumn("lost", F.col("to").isNotNull() & F.col("there").isNull())
+    walk = walk.select("key", F.when(~F.col("lost"), F.col("to")).alias("to"), F.col("key").alias("root"), F.lit(0).cast("long").alias("hop"), "lost")
+    walk = walk.withColumns({"root": F.coalesce("to", "root"), "hop": F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long")})
+    n, span = keyed.count(), 1
+    walk = written(walk, "walk")
+    while span <= min(hops, n) and not walk.where("to IS NOT NULL").isEmpty():
+        # ``to`` is ``span`` pointers ahead, or nothing once the end is reached
+        step = walk.select(F.col("key").alias("to"), F.col("to").alias("next"), F.col("root").alias("end"), F.col("hop").alias("more"), F.col("lost").alias("lost_there"))
+        ahead = walk.where("to IS NOT NULL").join(step, "to").select("key", F.col("next").alias("to"), F.col("end").alias("root"), (F.col("hop") + F.col("more")).alias("hop"), F.col("lost_there").alias("lost"))
+        walk = written(ahead.unionByName(walk.where("to IS NULL")), "walk")
+        span *= 2
+    open_end = F.col("to").isNotNull()
+    # a walk of more pointers than there are versions has met one twice
+    state = F.when(open_end & (F.col("hop") >= n), "cycle").when(open_end | (F.col("hop") > hops), "too long").when(F.col("lost"), "dangling").otherwise("ok")
+    out = walk.withColumn("state", state).select("key", F.when(F.col("state").isin("ok", "dangling"), F.col("root")).alias("root"), "hop", "state")
+    return keyed.drop("to").join(out, "key")
+
+
 def reverse_links(log: DataFrame, dst_ref: str, edge_type: str | None = None) -> DataFrame:
     """Latest links into a reference, in order of their escaped source."""
     own = log.where((F.col("kind") == "link") & (F.col("link.dst_ref") == dst_ref))

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotlog.sources.scratch import written
+
+#: Seconds between looks at running roots, and that a cancelled one is waited for.
+POLL, GRACE = 0.05, 5.0
+
 
 def union_repos(parts: dict[str, DataFrame], limit: int = 0) -> DataFrame:
     """Rows of all repositories with ``_repo``; of one (repository, id) the first stays.
@@ -23,15 +32,61 @@ def union_repos(parts: dict[str, DataFrame], limit: int = 0) -> DataFrame:
     return out.limit(limit) if limit > 0 else out
 
 
-def query_repos(roots: dict[str, Callable[[], DataFrame]], limit: int = 0) -> tuple[DataFrame | None, dict[str, str]]:
-    """``union_repos`` over what each root returns; a root that fails is reported."""
-    parts, errors = {}, {}
-    for repo, read in roots.items():
+def query_repos(roots: dict[str, Callable[[], DataFrame]], limit: int = 0, at_once: int = 8, seconds: float | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """``union_repos`` over what each root returns; a root that fails, when planned or when run, or is too slow is reported.
+
+    Roots run beside each other, at most ``at_once``, each from its own thread
+    with a tag on its jobs; what it returns is written to the shared folder.  A
+    root that takes over ``seconds`` from its start has its jobs cancelled.  With
+    a ``limit`` no root gives more rows than that.
+    """
+    if not roots:
+        return None, {}
+    spark = SparkSession.getActiveSession()
+    began: dict[str, float] = {}
+    tags = {repo: f"root-{uuid.uuid4().hex}" for repo in roots}
+    late: set[str] = set()
+
+    def answer(repo: str) -> DataFrame:
+        began[repo] = time.monotonic()
+        spark.sparkContext.addJobTag(tags[repo])
         try:
-            parts[repo] = read()
-        except Exception as e:  # noqa: BLE001  one repository must not fail the others
-            errors[repo] = str(e).splitlines()[0]
-    return (union_repos(parts, limit) if parts else None), errors
+            own = union_repos({repo: roots[repo]()}, limit)
+            if repo in late:
+                raise TimeoutError(repo)
+            return written(own, "root")
+        finally:
+            spark.sparkContext.removeJobTag(tags[repo])
+
+    pool = ThreadPoolExecutor(at_once, thread_name_prefix="root")
+    running = {repo: pool.submit(inheritable_thread_target(spark)(answer), repo) for repo in roots}
+    parts, errors = {}, {}
+    while running:
+        wait(running.values(), POLL, FIRST_COMPLETED)
+        for repo, future in list(running.items()):
+            if future.done():
+                del running[repo]
+                if e := future.exception():
+                    errors.setdefault(repo, str(e).splitlines()[0] if str(e) else type(e).__name__)
+                elif repo not in errors:
+                    parts[repo] = future.result()
+            elif seconds is not None and repo in began and time.monotonic() - began[repo] > seconds:
+                late.add(repo)
+                errors[repo] = f"no answer in {seconds:g} s"
+                spark.sparkContext.cancelJobsWithTag(tags[repo])  # again in each round: a root may run several jobs
+                if time.monotonic() - began[repo] > seconds + GRACE:  # it does not even run jobs: it is left behind
+                    del running[repo]
+    pool.shutdown(wait=False, cancel_futures=True)
+    rows = None
+    for repo in roots:  # in the order asked, whoever was first
+        if repo in parts:
+            rows = parts[repo] if rows is None else rows.unionByName(parts[repo], allowMissingColumns=True)
+    return (rows.limit(limit) if rows is not None and limit > 0 else rows), {repo: errors[repo] for repo in roots if repo in errors}
+
+
+def failures(errors: dict[str, str]) -> DataFrame:
+    """``_repo, error`` of the roots that gave no answer."""
+    return SparkSession.getActiveSession().createDataFrame(list(errors.items()), "_repo string, error string")
 
 
 def cross_repo_deps(imports: DataFrame, modules: DataFrame) -> DataFrame:

@@ -42,9 +42,9 @@ class EdgeIndex:
         """Stores ``links`` in a new folder (of the scratch space if none is named)."""
         spark, path = links.sparkSession, path or scratch_path(links.sparkSession, "edges")
         held = written(links, "links")
-        for name, side in (("forward", "src_ref"), ("reverse", "dst_ref")):
-            # sorted files: literals of a frontier skip what cannot hold them
-            held.orderBy(side, "edge_type").write.parquet(f"{path}/{name}")
+        for name, side, other in (("forward", "src_ref", "dst_ref"), ("reverse", "dst_ref", "src_ref")):
+            # sorted files: literals of a frontier skip what cannot hold them; by the other end too, so a hub is many ranges
+            held.orderBy(side, "edge_type", other).write.parquet(f"{path}/{name}")
         return cls.open(spark, path)
 
     @classmethod

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from knotlog.functions import paths
 from knotlog.functions.text import annotation, annotation_body, h2_sections, severity_of_name, slugify, title_of
+from knotlog.sources.scratch import written
 
 MAX_BYTES = 2 * 1024 * 1024
 #: Our own list of paths that hold secrets; such files are not read.
 SECRET_PATHS = [".env", ".env.*", "*.pem", "*.key", "*.p12", "id_rsa", "id_ed25519", "credentials", "credentials.*", "*.secret"]
+#: Folders from which on tasks list whole subtrees, and files that a task reads.
+FOLDERS, FILES_A_TASK = 256, 200
 ANNOTATED = [".go", ".py", ".js", ".jsx", ".ts", ".tsx", ".java"]
 
 
@@ -27,36 +30,82 @@ def file_tree(spark: SparkSession, root: str, exclude: list[str] | None = None,
     listed by Spark, which never sees names that start with ``.`` or ``_``; a
     plain path must be mounted on all executors, and its names are all seen.
     """
+    return contents(spark, root, listing(spark, root, exclude, most))
+
+
+def listing(spark: SparkSession, root: str, exclude: list[str] | None = None, most: int = MAX_BYTES) -> DataFrame:
+    """``path, bytes, modified`` of the files that ``file_tree`` reads; no content is read."""
+    if "://" in root:
+        raw = _binary(spark, root)
+        rows = raw.select(_relative(root).alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    else:
+        rows = _mounted(spark, root.rstrip("/"))
+    folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    hidden = F.exists(folders, lambda p: p.startswith(".") & (p != ".github"))
+    return rows.where(~hidden & (F.col("bytes") <= most) & ~paths.excluded(F.col("path"), [*(exclude or []), *SECRET_PATHS]))
+
+
+def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """``path, content, bytes, hash`` of listed files (``path``) of a root."""
     if "://" in root:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most)
-        top = root.rstrip("/").split("://")[-1]
-        rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", ""), "^.*" + _quoted(top) + "/", "")
-        rows = raw.select(rel.alias("path"), "content", F.col("length").alias("bytes"))
+        raw = _binary(spark, root).select(_relative(root).alias("path"), "content", F.col("length").alias("bytes"))
+        rows = raw.join(files.select("path"), "path", "left_semi")
     else:
-        rows = _mounted(spark, root.rstrip("/"), most)
-    hidden = F.exists(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda p: p.startswith(".") & (p != ".github"))
-    rows = rows.where(~hidden & ~paths.excluded(F.col("path"), [*(exclude or []), *SECRET_PATHS]))
+        top = root.rstrip("/")
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for path in batch["path"]:  # one file at a time: contents may be large
+                    full = os.path.join(top, path)
+                    if os.path.isfile(full):
+                        with open(full, "rb") as f:
+                            data = f.read()
+                        yield pd.DataFrame({"path": [path], "content": [data], "bytes": [len(data)]})
+
+        listed = written(files.select("path"), "listing")
+        tasks = max(1, min(10_000, listed.count() // FILES_A_TASK + 1))
+        rows = listed.repartition(tasks).mapInPandas(read, "path string, content binary, bytes long")
     return rows.withColumn("hash", F.sha2("content", 256))
 
 
-def _mounted(spark: SparkSession, root: str, most: int) -> DataFrame:
-    """Files of a mounted folder: names are listed on the driver, contents read on executors."""
-    found = []
-    for folder, below, names in os.walk(root):
-        below[:] = sorted(d for d in below if not d.startswith(".") or d == ".github")
-        found += [(os.path.relpath(os.path.join(folder, n), root),) for n in sorted(names)]
+def _binary(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+
+
+def _relative(root: str) -> Column:
+    top = root.rstrip("/").split("://")[-1]
+    return F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", ""), "^.*" + _quoted(top) + "/", "")
+
+
+def _folders(root: str) -> list[tuple[str, bool]]:
+    """Folders to list, and whether with all below them: the tree's top, level by level, until there are enough for tasks."""
+    out, level = [], [root]
+    while level and len(level) < FOLDERS:
+        out += [(f, False) for f in level]
+        below = []
+        for folder in level:
+            with os.scandir(folder) as each:
+                below += [e.path for e in each if e.is_dir(follow_symlinks=False) and (not e.name.startswith(".") or e.name == ".github")]
+        level = below
+    return out + [(f, True) for f in level]
+
+
+def _mounted(spark: SparkSession, root: str) -> DataFrame:
+    """Files of a mounted folder; the driver sees the names of its upper folders only, tasks list what is in them."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path in batch["path"]:  # one file at a time: contents may be large
-                full = os.path.join(root, path)
-                if os.path.isfile(full) and os.path.getsize(full) <= most:
-                    with open(full, "rb") as f:
-                        data = f.read()
-                    yield pd.DataFrame({"path": [path], "content": [data], "bytes": [len(data)]})
-
-    listed = spark.createDataFrame(found, "path string").repartition(max(1, min(1000, len(found) // 200 + 1)))
-    return listed.mapInPandas(read, "path string, content binary, bytes long")
+            for top, deep in zip(batch["folder"], batch["deep"], strict=True):
+                for folder, below, names in os.walk(top):
+                    below[:] = [d for d in below if deep and (not d.startswith(".") or d == ".github")]
+                    own = [os.path.join(folder, n) for n in names]
+                    own = [(os.path.relpath(x, root), s.st_size, s.st_mtime_ns // 1000) for x in own if os.path.isfile(x) and (s := os.stat(x))]
+                    for at in range(0, len(own), 10_000):
+                        yield pd.DataFrame(own[at : at + 10_000], columns=["path", "bytes", "micros"])
+
+    folders = _folders(root)
+    found = spark.createDataFrame(folders, "folder string, deep boolean").repartition(max(1, min(1000, len(folders) // 4 + 1))).mapInPandas(walk, "path string, bytes long, micros long")
+    return found.select("path", "bytes", F.timestamp_micros("micros").alias("modified"))
 
 
 def _quoted(text: str) -> str:

@@ -6,28 +6,42 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from knotlog.operators.maintenance import diff
-from knotlog.sources.files import file_tree
+from knotlog.sources.files import contents, listing
 from knotlog.sources.scratch import written
 from knotlog.sources.store import Store
 
 #: Seconds that files must have been quiet before a scan counts.
 DEBOUNCE = 0.5
+_SCAN = "id string, bytes long, modified timestamp, hash string"
 
 
 def scan_changes(store: Store, root: str, exclude: list[str] | None = None) -> DataFrame:
     """``path, old_hash, new_hash, change`` since the last call, which the store remembers.
 
     ``change`` is ``new``, ``changed`` or ``missing``; the first call finds
-    every file new.
+    every file new.  Only files whose length or time of change differ from what
+    the store has are read and hashed; a file that was touched and is the same
+    is no change.  What is remembered is put by path: its other files stay.
     """
-    seen = written(file_tree(store.spark, root, exclude).select("path", "hash"), "scan")
-    known = store.table("scan") if "scan" in store.tables() else seen.where("false")
-    changes = written(diff(known, seen).where("change <> 'unchanged'"), "changes")
-    if not changes.isEmpty() or "scan" not in store.tables():
-        store.commit(replace={"scan": seen})
-    return changes
+    spark = store.spark
+    here = written(listing(spark, root, exclude), "listing")
+    first = "scan" not in store.tables()
+    known = store.table("scan") if not first else spark.createDataFrame([], _SCAN)
+    same = (F.col("k.bytes") == F.col("h.bytes")) & (F.col("k.modified") == F.col("h.modified"))
+    both = here.alias("h").join(known.alias("k"), F.col("h.path") == F.col("k.id"), "left")
+    differ = written(both.where(F.col("k.id").isNull() | ~same).select("h.path", "h.bytes", "h.modified", F.col("k.hash").alias("old_hash"), F.col("k.id").isNull().alias("is_new")), "differ")
+    gone = written(known.join(here, F.col("id") == F.col("path"), "left_anti").select(F.col("id").alias("path"), F.col("hash").alias("old_hash")), "gone")
+    looked = not differ.isEmpty()
+    read = written(differ.join(contents(spark, root, differ).select("path", F.col("hash").alias("new_hash")), "path"), "hashed") if looked else differ.withColumn("new_hash", F.lit(None).cast("string"))
+    if looked or first:
+        seen = read.select(F.col("path").alias("id"), "bytes", "modified", F.col("new_hash").alias("hash"))
+        store.commit(**({"append": {"scan": seen}} if first else {"put": {"scan": seen}}))
+    if not gone.isEmpty():
+        store.delete("scan", gone.select(F.col("path").alias("id")))
+    changed = read.where(F.col("is_new") | (F.col("new_hash") != F.col("old_hash"))).select("path", "old_hash", "new_hash", F.when(F.col("is_new"), "new").otherwise("changed").alias("change"))
+    return changed.unionByName(gone.select("path", "old_hash", F.lit(None).cast("string").alias("new_hash"), F.lit("missing").alias("change")))
 
 
 def follow(store: Store, root: str, on_changes: Callable[[DataFrame], None], interval: float = 5.0, rounds: int | None = None, exclude: list[str] | None = None, wait: Callable[[float], None] = time.sleep) -> int:

@@ -230,7 +230,7 @@ def test_watcher(spark, tmp_path):
     assert watcher.follow(store, str(root), lambda df: seen.append(kinds(df)), rounds=2, wait=lambda s: None) == 1
     assert seen == [{"a.py": "missing", "b.py": "changed", "c.py": "new"}]
     row = store.diagnostics().first()
-    assert (row["table"], row["parts"], row["rows"]) == ("scan", 1, 2) and row["files"] > 0 and row["bytes"] > 0
+    assert (row["table"], row["rows"]) == ("scan", 2) and row["parts"] and row["files"] > 0 and row["bytes"] > 0
 
 
 def test_pages(spark, tmp_path):
