@@ -97,6 +97,19 @@ def detect_module(path: Column) -> Column:
     return F.when(~path.contains("/"), F.lit("(root)")).when(known != "", known).otherwise(F.split_part(path, F.lit("/"), F.lit(1)))
 
 
+def clean_path(path: Column) -> Column:
+    """A path without white space around it, ``.``, ``..`` where it can be undone, doubled or leading slashes."""
+    p = F.replace(F.trim(path), F.lit("\\"), F.lit("/"))
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, x: Column) -> Column:
+        last = F.coalesce(F.element_at(F.concat(F.array(F.lit("..")), kept), -1), F.lit(".."))
+        up = F.when(last != "..", F.slice(kept, F.lit(1), F.size(kept) - 1)).when(p.startswith("/"), kept).otherwise(F.concat(kept, F.array(x)))
+        return F.when(x.isin("", "."), kept).when(x == "..", up).otherwise(F.concat(kept, F.array(x)))
+
+    return F.array_join(F.aggregate(F.split(p, "/"), none, step), "/")
+
+
 def glob_regex(glob: str) -> str:
     """A glob as a regex; ``*`` and ``?`` do not cross ``/``."""
     out, i = "", 0

@@ -78,6 +78,8 @@ class Index:
     path: str
     buckets: int
     segments: list[dict] = field(default_factory=list)
+    block_docs: int = 0
+    frequent: int = 0
     #: Tables of segments, which never change, as opened; and what terms count, by the segments' state.
     _opened: dict[tuple[str, str], DataFrame] = field(default_factory=dict, repr=False)
     _counted: dict[tuple, tuple[int, dict[int, int]]] = field(default_factory=dict, repr=False)
@@ -85,9 +87,9 @@ class Index:
     # --- the folder
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", buckets: int | None = None) -> Index:
-        """An index of ``docs`` (one row for each id) in a new folder."""
-        index = cls(docs.sparkSession, path.rstrip("/"), buckets or 0)
+    def build(cls, docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", buckets: int | None = None, block_docs: int = 0, frequent: int = 0) -> Index:
+        """An index of ``docs`` (one row for each id) in a new folder; ``BLOCK_DOCS`` and ``FREQUENT`` hold where nothing is said."""
+        index = cls(docs.sparkSession, path.rstrip("/"), buckets or 0, block_docs=block_docs, frequent=frequent)
         index.add(docs, id, text)
         return index
 
@@ -99,7 +101,7 @@ class Index:
 
     def save(self) -> None:
         """Writes the list of segments beside them."""
-        value = json.dumps({"buckets": self.buckets, "segments": self.segments})
+        value = json.dumps({"buckets": self.buckets, "segments": self.segments, "block_docs": self.block_docs, "frequent": self.frequent})
         self.spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
 
     # --- writing
@@ -137,7 +139,7 @@ class Index:
         found = written(found, "postings")
         rows = found.count()
         self.buckets = self.buckets or max(8, -(-rows // BUCKET_ROWS))
-        blocks = max(1, n // BLOCK_DOCS)
+        blocks, frequent = max(1, n // (self.block_docs or BLOCK_DOCS)), self.frequent or FREQUENT
         block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks)).cast("int")
         each = found.select(self._bucket(F.col("term")).alias("bucket"), "term", block.alias("block"), "doc_id", "freq", "dl")
         # dealt by ranges down to the document, so a term that every document has is as many tasks as its postings need
@@ -147,10 +149,10 @@ class Index:
         bound = written(stored.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max(part(avgdl)).alias("best")), "bounds")
         words = written(bound.groupBy("bucket", "term").agg(F.sum("n").alias("df")), "dictionary")
         words.repartitionByRange(self.buckets, "bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{name}/dictionary")
-        often = bound.join(words.where(F.col("df") >= FREQUENT).select("term"), "term", "left_semi").select("bucket", "term", "block", "n", "best")
+        often = bound.join(words.where(F.col("df") >= frequent).select("term"), "term", "left_semi").select("bucket", "term", "block", "n", "best")
         often.repartitionByRange(self.buckets, "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{name}/blocks")
         lengths.write.parquet(f"{name}/norms")
-        return {"name": name, "docs": n, "dl": counts["dl"], "blocks": blocks, "avgdl": avgdl, "rows": rows, "frequent": FREQUENT, "dead": [], "gone": 0, "gone_dl": 0}
+        return {"name": name, "docs": n, "dl": counts["dl"], "blocks": blocks, "avgdl": avgdl, "rows": rows, "frequent": frequent, "dead": [], "gone": 0, "gone_dl": 0}
 
     def _merge_tiers(self) -> None:
         """Merges segments of one size class while a class has ``FANOUT`` of them."""
@@ -256,15 +258,15 @@ class Index:
         """The best documents for a query; ties in order of the id."""
         return self.searched(query, limit, live_statistics)[0]
 
-    def searched(self, query: str, limit: int = 10, live_statistics: bool = False) -> tuple[DataFrame, Work]:
-        """``search``, and what it read."""
+    def searched(self, query: str, limit: int = 10, live_statistics: bool = False, direct: int | None = None) -> tuple[DataFrame, Work]:
+        """``search``, and what it read; up to ``direct`` postings are all scored (``DIRECT``)."""
         words = query_terms(self.spark, query)
         numbers = self._numbers(words)
         live, stored = self._frequencies(words)
         n, avgdl = self._corpus(live_statistics)
         total = sum(stored.values())
         best = lambda hits: score(hits, n, avgdl, live).orderBy(F.col("score").desc(), "doc_id").limit(limit)
-        if total <= DIRECT:  # few postings need no exchange
+        if total <= (DIRECT if direct is None else direct):  # few postings need no exchange
             hits = self.hits(words)
             return best(hits.coalesce(1) if total <= ONE_TASK else hits), Work(0, 0, total, total)
         bounds = written(self._bounds(words, numbers, live, stored, n, avgdl), "bounds")

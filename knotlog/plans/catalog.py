@@ -605,49 +605,7 @@ def _(s, d):
     return reports.renames(i.select(F.col("l_orderkey").cast("string").alias("commit"), (F.col("l_partkey") % 50).alias("hash"), F.concat(F.when(gone, "a").otherwise("b"), F.col("l_linenumber").cast("string")).alias("path"), F.when(gone, "delete").otherwise("add").alias("action")))
 
 
-# --- text and path functions on fixed inputs -------------------------------
-
-
-def values(rows: list[tuple], columns: list[str]) -> str:
-    """SQL of literal rows."""
-    quoted = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") AS t({', '.join(columns)})"
-
-
-def expected(name: str, cases: dict, column) -> None:
-    """Registers a function of one string with its right answers."""
-    sql = values(list(cases.items()), ["input", "output"])
-    query(name, sql)(lambda s, d: s.createDataFrame([(k,) for k in cases], "input string").select("input", column(F.col("input")).alias("output")))
-
-
-expected("classify_paths", {
-    "pkg/db/tree_test.go": "test", "web/app.spec.ts": "test", "tests/test_io.py": "test", "a/io_test.py": "test", "src/UserTest.java": "test", "deploy/Dockerfile": "infra",
-    "main.tf": "infra", "ops/k8s/pod.yaml": "infra", "go.mod": "config", "conf/app.toml": "config", "README.md": "doc", "LICENSE": "doc", "img/logo.png": "asset",
-    "cmd/tool/main.go": "entry_point", "web/api/users.py": "api", "pkg/models/user.go": "data_layer", "pkg/db/tree.go": "source", "data/x.json": "unknown", "strange": "unknown",
-}, paths.classify)
-expected("detect_language", {"a/b.go": "Go", "x.PY": "Python", "y.tsx": "TypeScript", "z.unknown": "", "Makefile": "", "q.h": "C/C++ Header"}, paths.language)
-expected("detect_module", {"main.go": "(root)", "internal/kv/tree.go": "internal/kv", "a/src/b/c.py": "src/b", "docs/x.md": "docs", "src/main.py": "src", "x/pkg/y/lib/z/f.go": "pkg/y"}, paths.detect_module)
-expected("slugify", {"Hello, World!": "hello-world", "  A  b_c  ": "a-b-c", "Éa – 12": "éa-12", "--": ""}, text.slugify)
-expected("commit_type", {"feat: add": "feat", "fix(core)!: bug": "fix", "Feat: no": "unknown", "docs:x": "unknown", "chore(a): b\nfeat: c": "chore"}, text.commit_type)
-expected("commit_decision", {"ADR: use x": "use x", "decision:y\n\nbody": "y", "rfc:": "rfc:"}, text.commit_decision_title)
-expected("camel_split", {"parseJSON": "parse,json,parsejson", "HTTPServer": "http,server,httpserver", "error_code2": "error,code,2,error_code2", "simple": "simple", "東京都": "東京,京都", "a東b": "a,東,b"}, lambda c: F.array_join(text.tokenize(c), ","))
-expected("file_anchor", {"x [file: a/b.go:12] y": "a/b.go", "[file: c.py]": "c.py", "none": "", "[file: d:e]": "d:e"}, text.file_anchor)
-expected("first_line", {"\n\n## Title \nx": "Title", "": "(untitled)", "# \n\nreal": "real"}, text.first_line)
-expected("split_ref", {"e:a/b:v0000000000000003": "entity|a/b", "d:x": "decision|x", "q:1": None, "e:": None}, lambda c: F.concat(text.split_ref(c)["kind"], F.lit("|"), text.split_ref(c)["id"]))
-expected("escape_id", {"a:b": "a\\cb", "a\\b": "a\\\\b", "plain": "plain"}, text.escape_id)
-expected("unescape_id", {"a\\cb": "a:b", "a\\\\b": "a\\b", "a\\\\cb": "a\\cb"}, text.unescape_id)
-expected("annotations", {"// @kb-rule must-log: use it": "rule|must-log|use it|must", "  # @kb-lesson may-x": "lesson|may-x||may", "* @kb-rule a: b: c": "rule|a|b: c|should", "x = 1 // @kb-rule n: no": None, "// plain": None}, lambda c: F.concat(text.annotation(c, "@kb")["type"], F.lit("|"), text.annotation(c, "@kb")["name"], F.lit("|"), text.annotation(c, "@kb")["description"], F.lit("|"), text.severity_of_name(text.annotation(c, "@kb")["name"])))
-expected("h2_sections", {"# T\n## A\nx\n## B\ny\nz": "A=x;B=y\nz", "none": "", "## Only": "Only="}, lambda c: F.array_join(F.transform(text.h2_sections(c), lambda x: F.concat(x["title"], F.lit("="), x["body"])), ";"))
-
-_WORK = [("fix/leak", "", "", True, False, "bugfix", 0.9), ("Feature/x", "", "", True, False, "feature", 0.9), ("cleanup/y", "", "", True, False, "refactor", 0.9), ("tests/z", "", "", True, False, "test", 0.85), ("main", "a_test.go,tests/b.py", "", True, True, "test", 0.8), ("main", "", "a,b,c", False, True, "review", 0.7), ("main", "", "", False, True, "explore", 0.6), ("dev", "a.go", "", True, False, "explore", 0.3)]
-
-
-@query("detect_workflow", values([(i, r[5], r[6]) for i, r in enumerate(_WORK)], ["n", "workflow", "confidence"]).replace("SELECT *", "SELECT n::BIGINT AS n, workflow, confidence::DOUBLE AS confidence"))
-def _(s, d):
-    rows = s.createDataFrame([(i, *r[:5]) for i, r in enumerate(_WORK)], "n long, branch string, changed string, session string, dirty boolean, main boolean")
-    parts = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
-    w = paths.detect_workflow(F.col("branch"), parts("changed"), parts("session"), F.col("dirty"), F.col("main"))
-    return rows.select("n", w["workflow"].alias("workflow"), w["confidence"].alias("confidence"))
+# --- paths and contents ------------------------------------------------------
 
 
 @query("page_modules", "SELECT page_id, CASE WHEN contains(p, '/') THEN split_part(p, '/', 1) ELSE '(root)' END AS module FROM (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS p FROM pages)")
@@ -771,15 +729,6 @@ def _(s, d):
     return e.groupBy(bucket.alias("bucket"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("as_of_join", """SELECT e.event_id, (SELECT max(version) FROM log l WHERE l.id = e.user_id || ':view' AND l.created_at_nanos <= epoch_us(e.ts) * 1000) AS version FROM events e WHERE e.event_type = 'purchase'""".replace("SELECT e.event_id", f"WITH {EVENT_LOG} SELECT e.event_id", 1))
-def _(s, d):
-    # both sides in one window: the last version seen so far is the active one
-    e = table(s, d, "events").where("event_type IN ('purchase', 'view')")
-    order = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "view", 0).otherwise(1), "event_id")
-    seen = F.sum(F.when(F.col("event_type") == "view", 1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return e.withColumn("version", seen.cast("long")).where("event_type = 'purchase'").select("event_id", "version")
-
-
 # --- smaller queries -------------------------------------------------------
 
 
@@ -848,4 +797,4 @@ def _(s, d):
     return call_links(model.served(s, d).withColumn("served", F.array("ref"))).select("src_ref", "edge_type", "dst_ref")
 
 
-from knotlog.plans import catalog_more  # noqa: E402, F401  registers its queries
+from knotlog.plans import catalog_more, catalog_rows  # noqa: E402, F401  they register their queries

@@ -1,14 +1,14 @@
-"""More registered queries: sources, parameters, sessions and text outputs."""
+"""More registered queries: sources, indexes, sessions and outputs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotlog.functions import paths, scoring, text
+from knotlog.functions import paths
 from knotlog.operators import eventlog, federation, fieldindex, reports
 from knotlog.plans import dsl, model, requests
-from knotlog.plans.catalog import expected, query, values
+from knotlog.plans.catalog import query
 from knotlog.plans.model import CALLS, NODES, table
 from knotlog.plans.stored import stored
 from knotlog.sources import collections, entities, files, pages
@@ -100,18 +100,6 @@ def _(s, d):
     return dsl.compile_query(dsl.parse("papers where meta.lang = 'de'"), rows, registry=registry).select("id", F.col("`meta.lang`").alias("lang"))
 
 
-_PLANS = {
-    "nodes where module = 'api' and stability > 0.5": "Collection: nodes|Strategy:   IndexSeek|Index:      by_module|Seek key:   api|Filters:    module = api AND stability > 0.5",
-    "nodes where stability >= 0.3 order by updated_at desc limit 5": "Collection: nodes|Strategy:   FullScan|Filters:    stability >= 0.3|Order by:   updated_at DESC|Limit:      5",
-    "notes where id = 'x' or content contains 'y'": "Collection: notes|Strategy:   FullScan|Filters:    id = x OR content contains y",
-}
-
-
-@query("dsl_explain", values(list(_PLANS.items()), ["query", "plan"]))
-def _(s, d):
-    return s.createDataFrame([(q, dsl.explain(dsl.parse(q)).replace("\n", "|")) for q in _PLANS], "query string, plan string")
-
-
 @query("append_links", "SELECT 'e\\cc/' || o_custkey || ':placed:e\\co/' || o_orderkey AS id, 1::BIGINT AS version, 'active' AS lifecycle FROM orders".replace("\\c", "' || chr(92) || 'c"))
 def _(s, d):
     new = model.links(s, d, ("placed",)).select("src_ref", "edge_type", "dst_ref", "created_at_nanos", F.lit(None).cast("string").alias("lifecycle"))
@@ -165,67 +153,3 @@ def _(s, d):
     none = s.createDataFrame([], "id string, severity string, title string")
     lines = pages.pages(model.nodes(s, d), model.relations(s, d), none)
     return lines.where("page LIKE 'MODULES/%' AND part = 1").select("page", "line")
-
-
-# --- functions and parameters on fixed inputs ------------------------------
-
-expected("cjk_terms", {"東京都庁": "東京,京都,都庁", "カード": "カー,ード", "字": "字", "한국어 x": "한국,국어,x", "abc東京XyZ": "abc,東京,xy,z,xyz"}, lambda c: F.array_join(text.tokenize(c), ","))
-expected("severity_of_name", {"must-log": "must", "MAY-skip": "may", "should-x": "should", "other": "should"}, text.severity_of_name)
-expected("session_test_files", {"a/io_test.go": "true", "test_x.py": "true", "testdata/a.json": "true", "src/contest.py": "false", "a/tests/b.txt": "true"}, lambda c: paths.is_session_test_file(c).cast("string"))
-expected("scanner_test_files", {"pkg/a_test.go": "true", "web/app.spec.ts": "true", "tests/test_io.py": "true", "src/main.py": "false"}, lambda c: paths.is_test_file(c).cast("string"))
-
-
-def _fixed(name: str, rows: list[tuple], want: list[tuple], columns: list[str], schema: str) -> None:
-    """Registers what the driver's Python made beside the rows it has to be."""
-    kinds = ", ".join(f"{c}::{ {'string': 'VARCHAR', 'double': 'DOUBLE', 'long': 'BIGINT', 'boolean': 'BOOLEAN'}[k.split()[1]] } AS {c}" for c, k in zip(columns, schema.split(", "), strict=True))
-    query(name, f"SELECT {kinds} FROM ({values(want, columns)})")(lambda s, d: s.createDataFrame(rows, schema))
-
-
-_fixed("human_duration", [(x, requests.duration(x).total_seconds()) for x in ("30d", "2w", "1h30m", "1.5h", "500ms")], [("30d", 2592000.0), ("2w", 1209600.0), ("1h30m", 5400.0), ("1.5h", 5400.0), ("500ms", 0.5)], ["input", "seconds"], "input string, seconds double")
-_fixed(
-    "workflow_profiles", [(n, p.recency, p.severity, p.proximity, p.novelty, p.boost, ",".join(p.edges)) for n, p in scoring.PROFILES.items()],
-    [("bugfix", 0.2, 0.4, 0.3, 0.1, 0.15, "decision_link,imports"), ("feature", 0.2, 0.25, 0.3, 0.25, 0.15, "imports,decision_link"), ("review", 0.15, 0.4, 0.2, 0.25, 0.15, "decision_link"), ("refactor", 0.15, 0.3, 0.4, 0.15, 0.15, "imports"), ("test", 0.3, 0.2, 0.35, 0.15, 0.15, "imports"), ("explore", 0.25, 0.35, 0.25, 0.15, 0.0, "")],
-    ["workflow", "recency", "severity", "proximity", "novelty", "boost", "edges"], "workflow string, recency double, severity double, proximity double, novelty double, boost double, edges string",
-)
-_RECIPE = requests.recipes(files.toml('[bugfix]\nedge_boost = 0.5\n[bugfix.weights]\nrecency = 0.1\nseverity = 0.5\n[own]\nedge_priority = ["calls"]\n'))
-_fixed("recipes", [(n, _RECIPE[n].recency, _RECIPE[n].severity, _RECIPE[n].boost, ",".join(_RECIPE[n].edges)) for n in ("bugfix", "own")], [("bugfix", 0.1, 0.5, 0.5, "decision_link,imports"), ("own", 0.25, 0.35, 0.0, "calls")], ["workflow", "recency", "severity", "boost", "edges"], "workflow string, recency double, severity double, boost double, edges string")
-_REPOS, _RULES = requests.manifest(files.toml('[[repos]]\nname = "a"\npath = "/r/a"\n[[repos]]\nname = "b"\npath = "/r/b"\n[[constraints.rules]]\nscope = "api"\nseverity = "must"\ndescription = "Every handler has an annotation"\n'))
-_fixed("repo_registry", [*_REPOS.items(), *((r.scope, r.description) for r in _RULES)], [("a", "/r/a"), ("b", "/r/b"), ("api", "Every handler has an annotation")], ["name", "value"], "name string, value string")
-_LAYERS = files.layered({"a": 1, "t": {"x": "p", "y": "q"}}, files.toml('a = 2\n[t]\ny = "r"\n'))
-_fixed("settings_layers", [("a", str(_LAYERS["a"])), *((f"t.{k}", v) for k, v in _LAYERS["t"].items())], [("a", "2"), ("t.x", "p"), ("t.y", "r")], ["name", "value"], "name string, value string")
-_fixed("branch_mismatch", [(a, b, requests.branch_mismatch(a, b) is not None) for a, b in (("main", "main"), ("main", "dev"), ("", "dev"))], [("main", "main", False), ("main", "dev", True), ("", "dev", False)], ["stored", "current", "warned"], "stored string, current string, warned boolean")
-
-
-def _altered() -> list[tuple]:
-    registry = dsl.Registry()
-    first, again = registry.add_field("notes", "rank", "number"), registry.add_field("notes", "rank", "number")
-    made = registry.add_collection("papers", {"id": "string"})
-    return [("add field", first), ("add it again", again), ("add collection", made), ("field is known", "rank" in registry.fields("notes"))]
-
-
-_fixed("alter_registry", _altered(), [("add field", True), ("add it again", False), ("add collection", True), ("field is known", True)], ["what", "done"], "what string, done boolean")
-
-
-def _normal() -> list[tuple]:
-    from knotlog.operators.retrieval import normalize_path
-
-    return [(p, normalize_path(p)) for p in ("./a//b/../c.go", "a\\b.go", "/x/y", " . ")]
-
-
-_fixed("normalize_path", _normal(), [("./a//b/../c.go", "a/c.go"), ("a\\b.go", "a/b.go"), ("/x/y", "x/y"), (" . ", "")], ["input", "output"], "input string, output string")
-
-
-def _rendered() -> list[tuple]:
-    class Rows:  # what render() asks of a DataFrame
-        def limit(self, n):
-            return self
-
-        def collect(self):
-            from pyspark.sql import Row
-
-            return [Row(id="a", n=1, x=None), Row(id="b c", n=2, x=[1, "y"])]
-
-    return [(form, collections.render(Rows(), form)) for form in ("text", "yaml")]
-
-
-_fixed("text_outputs", _rendered(), [("text", "id=a  n=1\nid=b c  n=2  x=[1, 'y']"), ("yaml", '- id: a\n  n: 1\n  x: null\n- id: "b c"\n  n: 2\n  x:\n    - 1\n    - y')], ["form", "output"], "form string, output string")

@@ -23,6 +23,15 @@ def duration(text: str) -> timedelta:
     return timedelta(seconds=sum(float(n) * _UNITS[u] for n, u in parts))
 
 
+def duration_seconds(c: Column) -> Column:
+    """Seconds of a span's text as ``duration`` reads it, or null if it is none."""
+    clean = F.trim(c)
+    parts = F.regexp_extract_all(clean, F.lit(r"\d+(?:\.\d+)?(?:ns|us|µs|ms|s|m|h|d|w)"), F.lit(0))
+    units = F.create_map(*[F.lit(x) for pair in _UNITS.items() for x in pair])
+    one = lambda p: F.regexp_extract(p, r"^[\d.]+", 0).cast("double") * F.element_at(units, F.regexp_extract(p, r"[a-zµ]+$", 0))
+    return F.when((F.size(parts) > 0) & (F.array_join(parts, "") == clean), F.aggregate(F.transform(parts, one), F.lit(0.0), lambda a, b: a + b))
+
+
 def recipes(settings: dict) -> dict[str, Profile]:
     """Profiles by workflow with a recipe file's changes; raises what is wrong.
 
@@ -92,6 +101,12 @@ def branch_mismatch(stored: str, current: str) -> str | None:
     return f"the store is of branch {stored!r}, the checkout of {current!r}" if stored and current and stored != current else None
 
 
+def branch_differs(stored: Column, current: Column) -> Column:
+    """Whether ``branch_mismatch`` warns of two branches."""
+    named = lambda c: F.coalesce(c, F.lit("")) != ""
+    return named(stored) & named(current) & ~stored.eqNullSafe(current)
+
+
 def longest_prefix_dir(path: Column, depth: int = 2) -> Column:
     """The first ``depth`` folders of a path."""
     return F.array_join(F.slice(F.split(path, "/"), 1, depth), "/")

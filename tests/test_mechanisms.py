@@ -8,8 +8,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from knotlog.functions.paths import clean_path
 from knotlog.operators import eventlog, federation, graph
 from knotlog.operators.asof import as_of_join
+from knotlog.operators.retrieval import normalize_path
+from knotlog.plans.requests import branch_differs, branch_mismatch, duration, duration_seconds
 from knotlog.sources import files
 from knotlog.sources.store import Store
 from knotlog.streaming import sessions, watcher
@@ -192,3 +195,23 @@ def test_links_of_a_hub_are_many_files(spark, tmp_path):
     assert graph.neighbors(index, spark.createDataFrame([("e:hub",)], "ref string")).count() == 10_000
     with pytest.raises(Exception, match="Path does not exist"):
         graph.EdgeIndex.open(spark, str(tmp_path / "none"))
+
+
+# --- columns that follow a function of the driver -----------------------------
+
+
+def test_columns_equal_their_functions(spark):
+    texts = ["./a//b/../c.go", "a\\b.go", "/x/y", " . ", "", "../a/../../b", "/../x", "a/..", "..", "a/./b/", "//", "/a/../..", "x/../../y", "30d", "2w", "1h30m", "1.5h", "500ms", "5 parsecs", "1h x", "10us2ns", "d"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def seconds(t):
+        try:
+            return duration(t).total_seconds()
+        except ValueError:
+            return None
+
+    for r in frame.select("t", clean_path(F.col("t")).alias("p"), duration_seconds(F.col("t")).alias("s")).collect():
+        assert r["p"] == normalize_path(r["t"]), r["t"]
+        assert r["s"] == pytest.approx(seconds(r["t"]), abs=1e-6), r["t"]
+    pairs = spark.createDataFrame([("a", "b"), ("a", "a"), ("", "b"), (None, "b"), ("a", None)], "x string, y string")
+    assert all(r["w"] == (branch_mismatch(r["x"] or "", r["y"] or "") is not None) for r in pairs.select("x", "y", branch_differs(F.col("x"), F.col("y")).alias("w")).collect())
