@@ -4,6 +4,7 @@ import base64
 import decimal
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -65,6 +66,19 @@ def test_codec_fuzz(text):
     assert token_counts.counter(path).counts([text]) == [len(want)]
 
 
+def test_a_long_run_of_letters(library):
+    """A megabyte without a break is counted in seconds, and as the library counts it."""
+    draw = np.random.default_rng(3)
+    count = token_counts.counter(bpe_codec.default_path())
+    for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("ab", 20_000), ("a", 20_001), ("é東a", 5_000)):
+        text = "".join(draw.choice(list(alphabet), n))
+        assert count.counts([text, f"x {text} y"]) == [len(library.encode(t, add_special_tokens=False).ids) for t in (text, f"x {text} y")]
+    assert not any(len(t) > token_counts.LONGEST for t in count.seen)
+    began = time.monotonic()
+    count.counts(["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))])
+    assert time.monotonic() - began < 20
+
+
 def brute_lines(rows, least_chars, least_docs):
     key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     docs = defaultdict(set)
