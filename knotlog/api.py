@@ -14,6 +14,7 @@ from knotlog.schema import EVENT_LOG, INDEXED
 from knotlog.sources import files
 from knotlog.sources.scratch import written
 from knotlog.sources.store import Store
+from knotlog.streaming import watcher
 
 
 class Engine:
@@ -90,24 +91,26 @@ class Engine:
     def scan(self, root: str, exclude: list[str] | None = None, now: datetime | None = None) -> int:
         """Brings nodes and log up to a folder's files; returns the snapshot.
 
-        Only nodes that are new, changed, or gone are written; files of the store
-        without such nodes stay.  The first scan makes the indexes of nodes.
+        Only files whose length or time differ from the last scan's are read, and
+        only nodes that are new, changed, or gone are written; the scan, its nodes
+        and its events are one snapshot.  The first scan makes the indexes of nodes.
         """
         now = now or datetime.now(UTC)
-        tree = files.file_tree(self.spark, root, exclude)
-        seen = files.nodes(tree, F.lit(now.isoformat()))
+        found = watcher.look(self.store, root, exclude)
+        if found.quiet:
+            return self.store.manifest()["snapshot"]
+        seen = files.nodes(found.read, F.lit(now.isoformat()))
         nanos = int(now.timestamp() * 1e6) * 1000
         stamp = {"created_at_nanos": F.lit(nanos), "created_at": F.lit(now), "lifecycle": F.lit("active")}
         tables = self.store.tables()
         known = self.store.table("nodes") if "nodes" in tables else seen.limit(0)
         log = self.log() if "log" in tables else None
+        known = written(known.join(found.read.select(F.col("path").alias("id")).union(found.gone.select("path")), "id", "left_semi"), "known-nodes")
         old = known.select("id", F.col("created_at").alias("_first"), F.struct("content_hash", "status").alias("_old"))
         fresh = seen.join(old, "id", "left").withColumn("created_at", F.coalesce("_first", "created_at"))
         fresh = fresh.where(~F.col("_old").eqNullSafe(F.struct("content_hash", "status"))).drop("_first", "_old")
-        gone = maintenance.mark_deleted(known, seen, F.lit(now.isoformat())).join(seen.select("id"), "id", "left_anti").where(F.col("updated_at") == now.isoformat())
+        gone = maintenance.live(known).join(found.gone.select(F.col("path").alias("id")), "id", "left_semi").withColumns({"status": F.lit("deleted"), "updated_at": F.lit(now.isoformat())})
         nodes = written(fresh.unionByName(gone, allowMissingColumns=True), "changed-nodes")
-        if "nodes" in tables and nodes.isEmpty():
-            return self.store.manifest()["snapshot"]
         latest = known.where("status <> 'deleted'").select("id", F.col("content_hash").alias("hash"))
         changed = maintenance.new_versions(latest, seen.withColumn("hash", F.col("content_hash")))
         entity = F.struct("type", F.col("file_path").alias("path"), "name", F.col("content_hash").alias("hash"))
@@ -116,11 +119,12 @@ class Engine:
             return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT_LOG])
 
         events = eventlog.append(log, changed.select(F.lit("entity").alias("kind"), "id", entity.alias("entity")).withColumns(stamp), [F.col("id")])
-        links = files.import_links(tree.join(changed.select(F.col("id").alias("path")), "path", "left_semi")).withColumns(stamp)
+        links = files.import_links(files.contents(self.spark, root, changed.select(F.col("id").alias("path")))).withColumns(stamp)
         linked = eventlog.append_links(log, links, [F.col("id")])
         if log is not None:  # a link that is there already gets no new version
             linked = eventlog.append_absent(log, linked)
-        more = {"put": {"nodes": nodes}} if "nodes" in tables else {"append": {"nodes": nodes}}
+        more = found.commit()
+        more.setdefault("put" if "nodes" in tables else "append", {})["nodes"] = nodes
         more.setdefault("append", {})["log"] = shaped(events).unionByName(shaped(linked))
         snapshot = self.store.commit(**more)
         for field in INDEXED["nodes"]:

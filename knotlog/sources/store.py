@@ -182,14 +182,16 @@ class Store:
                 b["todo"] += self._files([path])
         return path
 
-    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, registry: Registry | None = None, partition: dict[str, list[str]] | None = None, put: dict[str, DataFrame] | None = None) -> int:
-        """Replaces, appends to and puts rows (by ``id``) into tables in one step; returns the new snapshot's number."""
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, registry: Registry | None = None, partition: dict[str, list[str]] | None = None, put: dict[str, DataFrame] | None = None, delete: dict[str, DataFrame] | None = None) -> int:
+        """Replaces, appends to, puts rows (by ``id``) into and deletes ids from tables in one step; returns the new snapshot's number."""
         with self._writing() as m:
             for mode, parts in (("replace", replace or {}), ("append", append or {})):
                 for name, df in parts.items():
                     self._part(m, name, df, mode == "replace", (partition or {}).get(name))
             for name, df in (put or {}).items():
                 self._swap(m, name, df.select("id"), "id", df)
+            for name, df in (delete or {}).items():
+                self._swap(m, name, df.select("id"), "id", None)
             if registry:
                 m["registry"] = registry.to_json()
         return m["snapshot"]

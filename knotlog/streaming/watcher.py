@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,31 +18,66 @@ DEBOUNCE = 0.5
 _SCAN = "id string, bytes long, modified timestamp, hash string"
 
 
-def scan_changes(store: Store, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """``path, old_hash, new_hash, change`` since the last call, which the store remembers.
+@dataclass(frozen=True)
+class Look:
+    """What differs under a folder from what a store remembers of it.
 
-    ``change`` is ``new``, ``changed`` or ``missing``; the first call finds
-    every file new.  Only files whose length or time of change differ from what
-    the store has are read and hashed; a file that was touched and is the same
-    is no change.  What is remembered is put by path: its other files stay.
+    ``read`` has ``path, bytes, modified, old_hash, hash, is_new`` of the files
+    that were read, ``gone`` has ``path, old_hash`` of those that are missing.
+    """
+
+    read: DataFrame
+    gone: DataFrame
+    first: bool
+    quiet: bool
+
+    def changes(self) -> DataFrame:
+        """``path, old_hash, new_hash, change`` of new, changed and missing files."""
+        kind = F.when(F.col("is_new"), "new").otherwise("changed").alias("change")
+        changed = self.read.where(F.col("is_new") | (F.col("hash") != F.col("old_hash"))).select("path", "old_hash", F.col("hash").alias("new_hash"), kind)
+        return changed.unionByName(self.gone.select("path", "old_hash", F.lit(None).cast("string").alias("new_hash"), F.lit("missing").alias("change")))
+
+    def commit(self) -> dict[str, dict[str, DataFrame]]:
+        """Arguments of a store's commit that make it remember."""
+        seen = self.read.select(F.col("path").alias("id"), "bytes", "modified", "hash")
+        if self.first:
+            return {"append": {"scan": seen}}
+        return {"put": {"scan": seen}, "delete": {"scan": self.gone.select(F.col("path").alias("id"))}}
+
+
+def look(store: Store, root: str, exclude: list[str] | None = None) -> Look:
+    """Compares a folder with the store's last scan of it.
+
+    Only files whose length or time of change differ from what the store has are
+    read and hashed; nothing is written to the store.
     """
     spark = store.spark
     here = written(listing(spark, root, exclude), "listing")
     first = "scan" not in store.tables()
     known = store.table("scan") if not first else spark.createDataFrame([], _SCAN)
     same = (F.col("k.bytes") == F.col("h.bytes")) & (F.col("k.modified") == F.col("h.modified"))
-    both = here.alias("h").join(known.alias("k"), F.col("h.path") == F.col("k.id"), "left")
-    differ = written(both.where(F.col("k.id").isNull() | ~same).select("h.path", "h.bytes", "h.modified", F.col("k.hash").alias("old_hash"), F.col("k.id").isNull().alias("is_new")), "differ")
-    gone = written(known.join(here, F.col("id") == F.col("path"), "left_anti").select(F.col("id").alias("path"), F.col("hash").alias("old_hash")), "gone")
-    looked = not differ.isEmpty()
-    read = written(differ.join(contents(spark, root, differ).select("path", F.col("hash").alias("new_hash")), "path"), "hashed") if looked else differ.withColumn("new_hash", F.lit(None).cast("string"))
-    if looked or first:
-        seen = read.select(F.col("path").alias("id"), "bytes", "modified", F.col("new_hash").alias("hash"))
-        store.commit(**({"append": {"scan": seen}} if first else {"put": {"scan": seen}}))
-    if not gone.isEmpty():
-        store.delete("scan", gone.select(F.col("path").alias("id")))
-    changed = read.where(F.col("is_new") | (F.col("new_hash") != F.col("old_hash"))).select("path", "old_hash", "new_hash", F.when(F.col("is_new"), "new").otherwise("changed").alias("change"))
-    return changed.unionByName(gone.select("path", "old_hash", F.lit(None).cast("string").alias("new_hash"), F.lit("missing").alias("change")))
+    both = written(here.alias("h").join(known.alias("k"), F.col("h.path") == F.col("k.id"), "full").where(F.col("k.id").isNull() | F.col("h.path").isNull() | ~same).select("h.path", "h.bytes", "h.modified", F.col("k.id").alias("known"), F.col("k.hash").alias("old_hash")), "differ")
+    counts = both.agg(F.count("path").alias("here"), F.count(F.when(F.col("path").isNull(), 1)).alias("gone")).first()
+    differ = both.where("path IS NOT NULL").select("path", "bytes", "modified", "old_hash", F.col("known").isNull().alias("is_new"))
+    if counts["here"]:
+        read = written(differ.join(contents(spark, root, differ).select("path", "hash"), "path"), "hashed")
+    else:
+        read = differ.withColumn("hash", F.lit(None).cast("string"))
+    gone = both.where("path IS NULL").select(F.col("known").alias("path"), "old_hash")
+    return Look(read, gone, first, not first and not counts["here"] and not counts["gone"])
+
+
+def scan_changes(store: Store, root: str, exclude: list[str] | None = None) -> DataFrame:
+    """``path, old_hash, new_hash, change`` since the last call, which the store remembers.
+
+    ``change`` is ``new``, ``changed`` or ``missing``; the first call finds
+    every file new.  A file that was touched and is the same is no change.  What
+    is remembered is put by path: its other files stay.
+    """
+    found = look(store, root, exclude)
+    if not found.quiet:
+        store.commit(**found.commit())
+    return found.changes()
 
 
 def follow(store: Store, root: str, on_changes: Callable[[DataFrame], None], interval: float = 5.0, rounds: int | None = None, exclude: list[str] | None = None, wait: Callable[[float], None] = time.sleep) -> int:
