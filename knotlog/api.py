@@ -96,7 +96,7 @@ class Engine:
         and its events are one snapshot.  The first scan makes the indexes of nodes.
         """
         now = now or datetime.now(UTC)
-        found = watcher.look(self.store, root, exclude)
+        found = watcher.look(self.store, root, exclude, {"imports": files.import_paths(F.col("path"), F.col("content"))})
         if found.quiet:
             return self.store.manifest()["snapshot"]
         seen = files.nodes(found.read, F.lit(now.isoformat()))
@@ -119,7 +119,8 @@ class Engine:
             return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT_LOG])
 
         events = eventlog.append(log, changed.select(F.lit("entity").alias("kind"), "id", entity.alias("entity")).withColumns(stamp), [F.col("id")])
-        links = files.import_links(files.contents(self.spark, root, changed.select(F.col("id").alias("path")))).withColumns(stamp)
+        imports = found.read.join(changed.select(F.col("id").alias("path")), "path", "left_semi").select("path", F.explode("imports").alias("import_path"))
+        links = files.links_of(imports).withColumns(stamp)
         linked = eventlog.append_links(log, links, [F.col("id")])
         if log is not None:  # a link that is there already gets no new version
             linked = eventlog.append_absent(log, linked)
@@ -127,10 +128,8 @@ class Engine:
         more.setdefault("put" if "nodes" in tables else "append", {})["nodes"] = nodes
         more.setdefault("append", {})["log"] = shaped(events).unionByName(shaped(linked))
         snapshot = self.store.commit(**more)
-        for field in INDEXED["nodes"]:
-            if field not in self.store.indexes("nodes"):
-                snapshot = self.store.add_index("nodes", field)
-        return snapshot
+        missing = [f for f in INDEXED["nodes"] if f not in self.store.indexes("nodes")]
+        return self.store.add_index("nodes", *missing) if missing else snapshot
 
     def put_decisions(self, rows: DataFrame, now: datetime | None = None) -> int:
         """Appends decisions (``id, title, body, severity, scope, source``) that are not there yet."""

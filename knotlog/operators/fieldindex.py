@@ -90,5 +90,5 @@ def backfill_index(store, table: str, field: str, key: str = "id") -> bool:
     """Makes a store's index of a field, once; whether it was made now."""
     if field in store.indexes(table):
         return False
-    store.add_index(table, field, key)
+    store.add_index(table, field, key=key)
     return True

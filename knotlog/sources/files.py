@@ -7,6 +7,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ from knotlog.sources.scratch import written
 MAX_BYTES = 2 * 1024 * 1024
 #: Our own list of paths that hold secrets; such files are not read.
 SECRET_PATHS = [".env", ".env.*", "*.pem", "*.key", "*.p12", "id_rsa", "id_ed25519", "credentials", "credentials.*", "*.secret"]
-#: Folders from which on tasks list whole subtrees, and files that a task reads.
-FOLDERS, FILES_A_TASK = 256, 200
+#: Folders from which on tasks list whole subtrees, files that a task reads, and bytes of them at once.
+FOLDERS, FILES_A_TASK, BATCH_BYTES = 256, 200, 4 << 20
 ANNOTATED = [".go", ".py", ".js", ".jsx", ".ts", ".tsx", ".java"]
 
 
@@ -53,18 +54,28 @@ def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     else:
         top = root.rstrip("/")
 
-        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for path in batch["path"]:  # one file at a time: contents may be large
+                names, data, size = [], [], 0
+                for path in batch.column("path").to_pylist():
                     full = os.path.join(top, path)
                     if os.path.isfile(full):
                         with open(full, "rb") as f:
-                            data = f.read()
-                        yield pd.DataFrame({"path": [path], "content": [data], "bytes": [len(data)]})
+                            names.append(path)
+                            data.append(f.read())
+                        size += len(data[-1])
+                    if size > BATCH_BYTES:  # contents may be large
+                        yield made(names, data)
+                        names, data, size = [], [], 0
+                if names:
+                    yield made(names, data)
+
+        def made(names: list[str], data: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary()), pa.array([len(x) for x in data], pa.int64())], ["path", "content", "bytes"])
 
         listed = written(files.select("path"), "listing")
         tasks = max(1, min(10_000, listed.count() // FILES_A_TASK + 1))
-        rows = listed.repartition(tasks).mapInPandas(read, "path string, content binary, bytes long")
+        rows = listed.repartition(tasks).mapInArrow(read, "path string, content binary, bytes long")
     return rows.withColumn("hash", F.sha2("content", 256))
 
 
@@ -136,15 +147,24 @@ def _imports(language: Column, text: Column) -> Column:
     return F.when(language == "Go", go).when(language == "Python", py).when(language.isin("JavaScript", "TypeScript"), js).when(language == "Java", java).otherwise(F.array().cast("array<string>"))
 
 
+def import_paths(path: Column, content: Column) -> Column:
+    """Import paths of a file (Go, Python, JS/TS, Java), each once."""
+    return F.filter(F.array_distinct(_imports(paths.language(path), F.decode(content, "UTF-8"))), lambda x: x != "")
+
+
 def imports(files: DataFrame) -> DataFrame:
     """``path, import_path`` of top-level imports (Go, Python, JS/TS, Java)."""
-    text = F.decode(F.col("content"), "UTF-8")
-    return files.select("path", F.explode(F.array_distinct(_imports(paths.language(F.col("path")), text))).alias("import_path")).where("import_path <> ''")
+    return files.select("path", F.explode(import_paths(F.col("path"), F.col("content"))).alias("import_path"))
 
 
 def import_links(files: DataFrame) -> DataFrame:
     """Imports as links; the target is the import string itself."""
-    return imports(files).select(F.concat(F.lit("e:"), "path").alias("src_ref"), F.lit("imports").alias("edge_type"), F.concat(F.lit("e:"), "import_path").alias("dst_ref"))
+    return links_of(imports(files))
+
+
+def links_of(imports: DataFrame) -> DataFrame:
+    """``path, import_path`` as links."""
+    return imports.select(F.concat(F.lit("e:"), "path").alias("src_ref"), F.lit("imports").alias("edge_type"), F.concat(F.lit("e:"), "import_path").alias("dst_ref"))
 
 
 def go_module(files: DataFrame) -> DataFrame:

@@ -234,12 +234,15 @@ class Store:
         """The table's indexed fields."""
         return sorted(self.manifest()["indexes"].get(table, {}))
 
-    def add_index(self, table: str, field: str, key: str = "id") -> int:
-        """An index of a field over the rows there are, kept up by every later write."""
+    def add_index(self, table: str, *fields: str, key: str = "id") -> int:
+        """Indexes of some fields over the rows there are, kept up by every later write."""
         with self._writing() as m:
-            count = fieldindex.entries(self._open(m, table, m["tables"][table]), field, key).count()
-            m["indexes"].setdefault(table, {})[field] = {"key": key, "buckets": fieldindex.buckets_for(count), "parts": []}
-            self._index_part(m, table, field, m["tables"][table])
+            rows = self._open(m, table, m["tables"][table])
+            for field in fields:
+                items = F.size(f"`{field}`") if isinstance(rows.schema[field].dataType, T.ArrayType) else F.lit(1)
+                count = rows.agg(F.coalesce(F.sum(items), F.lit(0)).alias("n")).first()["n"]
+                m["indexes"].setdefault(table, {})[field] = {"key": key, "buckets": fieldindex.buckets_for(count), "parts": []}
+                self._index_part(m, table, field, m["tables"][table])
         return m["snapshot"]
 
     def _index(self, m: dict, table: str, field: str) -> fieldindex.FieldIndex:

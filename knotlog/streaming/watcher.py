@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotlog.sources.files import contents, listing
@@ -45,14 +45,15 @@ class Look:
         return {"put": {"scan": seen}, "delete": {"scan": self.gone.select(F.col("path").alias("id"))}}
 
 
-def look(store: Store, root: str, exclude: list[str] | None = None) -> Look:
+def look(store: Store, root: str, exclude: list[str] | None = None, also: dict[str, Column] | None = None) -> Look:
     """Compares a folder with the store's last scan of it.
 
     Only files whose length or time of change differ from what the store has are
-    read and hashed; nothing is written to the store.
+    read and hashed, once; ``also`` names columns made of ``path`` and ``content``
+    that ``read`` shall have.  Nothing is written to the store.
     """
-    spark = store.spark
-    here = written(listing(spark, root, exclude), "listing")
+    spark, also = store.spark, also or {}
+    here = listing(spark, root, exclude)
     first = "scan" not in store.tables()
     known = store.table("scan") if not first else spark.createDataFrame([], _SCAN)
     same = (F.col("k.bytes") == F.col("h.bytes")) & (F.col("k.modified") == F.col("h.modified"))
@@ -60,9 +61,9 @@ def look(store: Store, root: str, exclude: list[str] | None = None) -> Look:
     counts = both.agg(F.count("path").alias("here"), F.count(F.when(F.col("path").isNull(), 1)).alias("gone")).first()
     differ = both.where("path IS NOT NULL").select("path", "bytes", "modified", "old_hash", F.col("known").isNull().alias("is_new"))
     if counts["here"]:
-        read = written(differ.join(contents(spark, root, differ).select("path", "hash"), "path"), "hashed")
+        read = written(differ.join(contents(spark, root, differ).select("path", "hash", *[c.alias(n) for n, c in also.items()]), "path"), "hashed")
     else:
-        read = differ.withColumn("hash", F.lit(None).cast("string"))
+        read = differ.withColumns({"hash": F.lit(None).cast("string"), **{n: F.lit(None) for n in also}})
     gone = both.where("path IS NULL").select(F.col("known").alias("path"), "old_hash")
     return Look(read, gone, first, not first and not counts["here"] and not counts["gone"])
 
