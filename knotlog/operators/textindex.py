@@ -145,7 +145,7 @@ class Index:
         # dealt by ranges down to the document, so a term that every document has is as many tasks as its postings need
         parts = max(self.buckets, -(-rows // BUCKET_ROWS))
         each.repartitionByRange(parts, "bucket", "term", "block", "doc_id").sortWithinPartitions("bucket", "term", "block", "doc_id").write.partitionBy("bucket").parquet(f"{name}/postings")
-        stored = self.spark.read.parquet(f"{name}/postings")
+        stored = self.spark.read.schema(_KINDS["postings"]).parquet(f"{name}/postings")
         bound = written(stored.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max(part(avgdl)).alias("best")), "bounds")
         words = written(bound.groupBy("bucket", "term").agg(F.sum("n").alias("df")), "dictionary")
         words.repartitionByRange(self.buckets, "bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{name}/dictionary")
@@ -174,7 +174,8 @@ class Index:
 
     def compact(self) -> None:
         """One segment of the live documents."""
-        self._merge(list(self.segments))
+        if self.segments:
+            self._merge(list(self.segments))
 
     # --- reading
 
@@ -206,7 +207,7 @@ class Index:
         """``term, doc_id, freq, dl`` of the live documents with one of the terms."""
         numbers = self._numbers(words)
         each = [self._alive(s, self._of_terms(s, "postings", words, numbers)).select("term", "doc_id", "freq", "dl") for s in self.segments]
-        return reduce(DataFrame.unionByName, each)
+        return reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], "term string, doc_id long, freq long, dl long")
 
     def _frequencies(self, words: list[str]) -> tuple[dict[str, int], dict[tuple[int, str], int]]:
         """Live documents of each term, and its postings by segment; what was read once is kept.
@@ -227,7 +228,7 @@ class Index:
                     lost = self._of_terms(s, "postings", new, numbers).join(F.broadcast(dead) if s["gone"] <= BROADCAST_DEAD else dead, "doc_id", "left_semi")
                     known.append(lost.groupBy("term").agg(F.count("*").alias("df")).select(F.lit(k).alias("k"), "term", "df", F.lit(True).alias("dead")))
             found: dict[str, tuple[int, dict[int, int]]] = {w: (0, {}) for w in new}
-            for r in reduce(DataFrame.unionByName, known).collect():  # a row or two for each term and segment
+            for r in reduce(DataFrame.unionByName, known).collect() if known else ():  # a row or two for each term and segment
                 live, of = found[r["term"]]
                 if not r["dead"]:
                     of[r["k"]] = r["df"]

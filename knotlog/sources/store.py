@@ -97,7 +97,7 @@ class Store:
 
     def manifest(self, snapshot: int | None = None) -> dict:
         """The current snapshot, or an older one that is kept: its number, tables, indexes and registry."""
-        empty = {"snapshot": 0, "tables": {}, "schemas": {}, "indexes": {}, "backfills": {}, "registry": Registry().to_json()}
+        empty = {"snapshot": 0, "tables": {}, "schemas": {}, "indexes": {}, "backfills": {}, "partitioned": {}, "registry": Registry().to_json()}
         number = snapshot if snapshot is not None else max(self._numbers(), default=0)
         return json.loads(self._read(f"manifest-{number}.json")) if number else empty
 
@@ -116,7 +116,11 @@ class Store:
 
     def _open(self, m: dict, name: str, paths: list[str]) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(m["schemas"][name]))
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        if name in m["partitioned"]:  # each part is a root of its own
+            return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(p).select(*schema.names) for p in paths])
+        return self.spark.read.schema(schema).parquet(*paths)
 
     # --- writing
 
@@ -166,6 +170,12 @@ class Store:
         for f in df.schema.fields:
             if kinds.setdefault(f.name, f.dataType) != f.dataType:
                 raise SchemaConflict(f"{name}.{f.name} is {kinds[f.name].simpleString()}, not {f.dataType.simpleString()}")
+        by = by or (m["partitioned"].get(name) if not replace else None)
+        if by and (name in m["indexes"] or name in m["backfills"]):
+            raise ValueError(f"{name} has indexes or a back-fill, which know files, not folders: it cannot be partitioned")
+        m["partitioned"].pop(name, None) if replace else None
+        if by:
+            m["partitioned"][name] = by
         df.write.partitionBy(*(by or [])).parquet(path)
         m["schemas"][name] = T.StructType([*known, *[f for f in df.schema.fields if f.name not in {k.name for k in known}]]).json()
         if replace:
@@ -197,7 +207,7 @@ class Store:
         return m["snapshot"]
 
     def put(self, name: str, rows: DataFrame, key: str = "id") -> int:
-        """Rows in place of those with their keys; only files that hold such keys are rewritten."""
+        """Rows in place of those with their keys; only files that hold such keys are rewritten (all of a partitioned table)."""
         with self._writing() as m:
             self._swap(m, name, rows.select(key), key, rows)
         return m["snapshot"]
@@ -211,6 +221,10 @@ class Store:
     def _swap(self, m: dict, name: str, keys: DataFrame, key: str, rows: DataFrame | None) -> None:
         keys = keys.distinct()
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        if by := m["partitioned"].get(name):  # its rows are known by folder: the whole is written anew
+            rest = self._open(m, name, m["tables"][name]).join(keys, key, "left_anti")
+            self._part(m, name, rest if rows is None else rest.unionByName(rows, allowMissingColumns=True), True, by)
+            return
         files = self._files(m["tables"][name])
         held = self._open(m, name, m["tables"][name]).select(F.col(key), F.col("_metadata.file_name").alias("file"))
         touched = {r["file"] for r in held.join(keys, key, "left_semi").select("file").distinct().collect()}  # names of files, which the driver lists anyway
@@ -226,7 +240,7 @@ class Store:
         """Every table as one part, all rows kept; entries of indexes that no file has any more go."""
         m = self.manifest()
         frames = {n: self.table(n, m) for n in m["tables"]}
-        return self.commit(replace={n: df.coalesce(files) if files else df for n, df in frames.items()})
+        return self.commit(replace={n: df.coalesce(files) if files else df for n, df in frames.items()}, partition=m["partitioned"])
 
     # --- indexes
 
@@ -237,6 +251,7 @@ class Store:
     def add_index(self, table: str, *fields: str, key: str = "id") -> int:
         """Indexes of some fields over the rows there are, kept up by every later write."""
         with self._writing() as m:
+            self._by_file(m, table)
             rows = self._open(m, table, m["tables"][table])
             for field in fields:
                 items = F.size(f"`{field}`") if isinstance(rows.schema[field].dataType, T.ArrayType) else F.lit(1)
@@ -245,6 +260,11 @@ class Store:
                 self._index_part(m, table, field, m["tables"][table])
         return m["snapshot"]
 
+    @staticmethod
+    def _by_file(m: dict, table: str) -> None:
+        if table in m["partitioned"]:
+            raise ValueError(f"{table} is partitioned: its rows are found by folder")
+
     def _index(self, m: dict, table: str, field: str) -> fieldindex.FieldIndex:
         x = m["indexes"][table][field]
         return fieldindex.FieldIndex(self.spark, x["parts"], x["buckets"])
@@ -295,6 +315,7 @@ class Store:
     def start_backfill(self, table: str, field: str, default, kind: str, registry: Registry | None = None) -> int:
         """Adds a field; ``backfill`` then fills it, file by file.  Started again it changes nothing."""
         with self._writing() as m:
+            self._by_file(m, table)
             own = m["backfills"].setdefault(table, {})
             if field not in own:
                 known = T.StructType.fromJson(json.loads(m["schemas"][table]))

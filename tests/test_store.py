@@ -182,3 +182,18 @@ def test_vacuum_keeps_what_is_named(spark, tmp_path):
     assert store.vacuum() == 0  # files may be a writer's that has not published yet
     assert store.vacuum(keep=9, now=later) == 0
     assert store.vacuum(now=later) > 0 and store.table("nodes").count() == 9 and by_module(store, "other") == {"n3"}
+
+
+def test_partitioned_tables(spark, tmp_path):
+    """Their columns in folders survive appends, puts, deletes and compaction; indexes by file are refused."""
+    store = Store(spark, str(tmp_path / "s"))
+    frame = lambda *rows: spark.createDataFrame(list(rows), "id string, module string, v int")
+    store.commit(append={"t": frame(("a", "m1", 1), ("b", "m2", 2))}, partition={"t": ["module"]})
+    store.commit(append={"t": frame(("c", "m1", 3))})
+    store.put("t", frame(("b", "m3", 4)))
+    store.delete("t", spark.createDataFrame([("a",)], "id string"))
+    store.compact()
+    assert sorted((r["id"], r["module"], r["v"]) for r in store.table("t").collect()) == [("b", "m3", 4), ("c", "m1", 3)]
+    assert "PartitionFilters: [isnotnull(module" in plan(store.table("t").where("module = 'm1'"))
+    with pytest.raises(ValueError, match="partitioned"):
+        store.add_index("t", "module")

@@ -102,6 +102,16 @@ def test_adds_and_deletes_equal_a_rebuilt_index(spark, tmp_path, monkeypatch, di
     assert best(again.search("alpha", 7)) == want and not again.segments[0]["gone"]
 
 
+def test_an_index_of_nothing(spark, tmp_path):
+    empty = Index(spark, str(tmp_path / "none"), 3)
+    empty.compact()
+    assert empty.search("alpha").count() == 0 and empty.bm25("alpha").count() == 0
+    built = Index.build(spark.createDataFrame([], DOC), str(tmp_path / "zero"))
+    assert built.search("alpha").count() == 0
+    built.add(spark.createDataFrame([(1, "alpha"), (2, None)], DOC))
+    assert best(built.search("alpha"))[0][0] == 1
+
+
 def test_buckets_are_those_of_the_column(spark, corpus):
     words = ["", "a", "w399", "東京", "x" * 100]
     frame = spark.createDataFrame([(w,) for w in words], "t string").select(corpus._bucket(F.col("t")).alias("b"))
