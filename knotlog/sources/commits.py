@@ -48,27 +48,29 @@ def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return one.where(F.size(parts) >= 2).select("sha", "author", "time", "message", F.substring(F.get(parts, F.lit(0)), 1, 1).alias("action"), F.element_at(parts, -1).alias("path"))
 
 
-def _git(repository: str, *args: str, given: str | None = None) -> str:
-    return subprocess.run(["git", "-C", repository, *args], input=given, capture_output=True, text=True, errors="replace", check=True).stdout
+def _git(repository: str, *args: str) -> str:
+    return subprocess.run(["git", "-C", repository, *args], capture_output=True, text=True, errors="replace", check=True).stdout
 
 
 class _Part(InputPartition):
-    def __init__(self, shas: list[str]):
-        self.shas = shas
+    def __init__(self, head: str, first: int):
+        self.head, self.first = head, first
 
 
 class _Reader(DataSourceReader):
+    """Stretches of the history of one commit, by their place in it; the driver learns only how long it is."""
+
     def __init__(self, options: dict):
         self.repository, self.size = options["path"], int(options.get("commits", 500))
         self.only = [f"--since={options['since']}"] if "since" in options else []
 
     def partitions(self) -> list[InputPartition]:
-        shas = _git(self.repository, "rev-list", *self.only, "HEAD").split()
-        return [_Part(shas[i : i + self.size]) for i in range(0, len(shas), self.size)]
+        head = _git(self.repository, "rev-parse", "--verify", "HEAD").strip()
+        n = int(_git(self.repository, "rev-list", "--count", *self.only, head))
+        return [_Part(head, i) for i in range(0, n, self.size)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.shas:
-            yield from parse_log(_git(self.repository, "log", "--no-walk=unsorted", "--stdin", *FORMAT, given="\n".join(partition.shas) + "\n"))
+        yield from parse_log(_git(self.repository, "log", f"--skip={partition.first}", f"--max-count={self.size}", *self.only, *FORMAT, partition.head))
 
 
 class GitLog(DataSource):
