@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotlog.functions.scoring import PROFILES, Profile
-from knotlog.operators import eventlog, graph, maintenance, reports, retrieval, search
+from knotlog.operators import eventlog, federation, graph, maintenance, reports, retrieval, search
 from knotlog.plans import dsl
 from knotlog.schema import EVENT_LOG, INDEXED
 from knotlog.sources import files
@@ -17,6 +17,12 @@ from knotlog.sources.store import Store
 from knotlog.streaming import watcher
 
 
+def federated(spark: SparkSession, roots: dict[str, str], text: str, limit: int = 0, at_once: int = 8, seconds: float | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """A query over the stores of several repositories (name to root), side by side, and what went wrong with which."""
+    ask = {name: lambda root=root: Engine(spark, root).query(text) for name, root in roots.items()}
+    return federation.query_repos(ask, limit, at_once, seconds)
+
+
 class Engine:
     """Queries, searches, walks, context and reports over one store.
 

@@ -5,7 +5,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from knotlog.api import Engine
+from knotlog.api import Engine, federated
 from knotlog.plans import requests
 from knotlog.sources.collections import as_json, from_json, render
 
@@ -43,6 +43,27 @@ def test_engine(spark, tmp_path):
     assert len(e.topology()) == 3
 
 
+def test_federated_stores(spark, tmp_path, capsys):
+    """One query over several stores; one that is broken is named, the others answer."""
+    from knotlog.__main__ import main
+
+    for name in ("one", "two"):
+        (tmp_path / name / "src").mkdir(parents=True)
+        (tmp_path / name / "src" / f"{name}.py").write_text("x = 1\n")
+        (tmp_path / name / "src" / "same.py").write_text("x = 1\n")
+        Engine(spark, str(tmp_path / f"{name}.store")).scan(str(tmp_path / name), now=T0)
+    roots = {n: str(tmp_path / f"{n}.store") for n in ("one", "two", "none")}
+    rows, errors = federated(spark, roots, "nodes where language = 'Python' order by id")
+    assert sorted((r["_repo"], r["id"]) for r in rows.collect()) == [("one", "src/one.py"), ("one", "src/same.py"), ("two", "src/same.py"), ("two", "src/two.py")]
+    assert list(errors) == ["none"]
+    (tmp_path / "repos.toml").write_text("".join(f'[[repos]]\nname = "{n}"\npath = "{p}"\n' for n, p in roots.items()))
+    main([str(tmp_path / "repos.toml"), "federate", "nodes where id = 'src/one.py'"])
+    said = capsys.readouterr()
+    assert "id=src/one.py" in said.out and "_repo=one" in said.out and "none:" in said.err
+    main([roots["one"], "explain", "nodes where module = 'src'"])
+    assert "Files:" in capsys.readouterr().out
+
+
 def test_json(spark):
     rows = spark.createDataFrame([('{"id": "n", "tags": ["a"]}',), ("{bad",), (None,)], "value string")
     got = from_json(rows, "notes")
