@@ -8,6 +8,7 @@ here, for queries that touch no text.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,11 +60,18 @@ def query_terms(query: str) -> list[str]:
 
 
 def score(hits: DataFrame, n_docs: int, avgdl: float, counts: dict[str, int]) -> DataFrame:
-    """``doc_id, score`` of ``doc_id, term, freq, dl``; ``counts`` has each term's documents."""
-    idf = F.create_map(*[F.lit(x) for t, n in counts.items() for x in (t, math.log((n_docs - n + 0.5) / (n + 0.5) + 1))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
+    """``doc_id, score`` of ``doc_id, term, freq, dl``; ``counts`` has each term's documents.
+
+    Parts are added in order of the terms, whatever order they come in,
+    so documents that have the same of each term have the same score to the last bit.
+    """
+    if not counts:
+        return hits.select("doc_id", F.lit(0.0).alias("score")).where("false")
     length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(float(avgdl or 1.0)))
-    part = F.element_at(idf, F.col("term")) * F.col("freq") * F.lit(K1 + 1) / (F.col("freq") + length)
-    return hits.groupBy("doc_id").agg(F.sum(part).alias("score"))
+    own = lambda t, n: F.lit(math.log((n_docs - n + 0.5) / (n + 0.5) + 1)) * F.col("freq") * F.lit(K1 + 1) / (F.col("freq") + length)
+    parts = [F.sum(F.when(F.col("term") == t, own(t, n))).alias(f"p{i}") for i, (t, n) in enumerate(sorted(counts.items()))]
+    every = reduce(lambda x, y: x + y, [F.coalesce(f"p{i}", F.lit(0.0)) for i in range(len(parts))])
+    return hits.groupBy("doc_id").agg(*parts).select("doc_id", every.alias("score"))
 
 
 def bm25(docs: DataFrame, query: str, id: str = "doc_id", text: str = "text", deleted: DataFrame | None = None, live_statistics: bool = False) -> DataFrame:

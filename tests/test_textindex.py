@@ -131,3 +131,11 @@ def test_a_term_of_every_document_is_many_files(spark, tmp_path, monkeypatch):
 def test_query_terms_are_the_tokenizers(spark, text):
     want = spark.sql("SELECT * FROM VALUES (:t) AS v(t)", args={"t": text}).select(F.array_distinct(tokenize(F.col("t"))).alias("x")).first()["x"]
     assert textindex.query_terms(spark, text) == list(want)
+
+
+def test_order_of_parts_is_no_part_of_a_score(spark):
+    """Documents with the same of each term tie to the last bit, however their postings come."""
+    of = lambda d, order: [(t, d, f, 9) for t, f in sorted({"a": 1, "b": 2, "c": 5, "e": 7}.items(), key=lambda x: order.index(x[0]))]
+    rows = [r for d, order in enumerate(("abce", "ecba", "bcea", "caeb", "aecb", "ebac")) for r in of(d, order)]
+    hits = spark.createDataFrame(rows, "term string, doc_id long, freq long, dl long").coalesce(1)
+    assert search.score(hits, 1_000, 7.3, {"a": 3, "b": 41, "c": 500, "e": 77}).select("score").distinct().count() == 1
