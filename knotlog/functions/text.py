@@ -10,6 +10,8 @@ _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー-ヾゝ-ゞ"
 _WORD = r"[\p{L}\p{Nd}_]+"
 #: Boundaries inside a compound: lower-Upper, UPPER-Upper+lower, letter-digit, digit-letter.
 _CAMEL = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})"
+#: Words without a boundary inside: one case, an initial and lower case, or digits only.
+_PLAIN = r"^(?:[A-Z]?[a-z]+|\p{Lu}?\p{Ll}+|\p{Lu}+|\p{Nd}+)\z"
 
 
 def split_words(text: Column) -> Column:
@@ -40,14 +42,11 @@ def word_terms(word: Column) -> Column:
     """Terms of one word of ``split_words``, in order."""
     runs = F.lit(f"[{_CJK}]+|[^{_CJK}]+")
     mixed = F.flatten(F.transform(F.regexp_extract_all(word, runs, F.lit(0)), lambda r: F.when(r.rlike(f"^[{_CJK}]"), _bigrams(r)).otherwise(_compound_terms(r))))
-    return F.when(word.rlike("^[a-z]+$"), F.array(word)).when(word.rlike(f"[{_CJK}]"), mixed).otherwise(_compound_terms(word))
+    return F.when(word.rlike(_PLAIN), F.array(F.lower(word))).when(word.rlike(f"[{_CJK}]"), mixed).otherwise(_compound_terms(word))
 
 
 def tokenize(text: Column) -> Column:
-    """Terms of a text in order; a term's place in the array is its position.
-
-    For a table of texts ``search.terms`` is faster: it takes each word once.
-    """
+    """Terms of a text in order; a term's place in the array is its position."""
     return F.flatten(F.transform(split_words(text), word_terms))
 
 

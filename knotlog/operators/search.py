@@ -1,8 +1,8 @@
 """Full-text search over texts: postings, statistics, BM25, tombstones.
 
-Words repeat, so texts are split once, words are counted per document, and only
-distinct words are taken apart into terms.  ``textindex`` stores what is found
-here, for queries that touch no text.
+A text is taken apart and counted within its row, so nothing of it is moved before
+its distinct terms are.  ``textindex`` stores what is found here, for queries
+that touch no text.
 """
 
 from __future__ import annotations
@@ -10,47 +10,65 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from knotlog.functions.text import split_words, tokenize, word_terms
+from knotlog.functions.text import tokenize
 from knotlog.session import spread
 from knotlog.sources.scratch import written
 
 K1, B = 1.2, 0.75
-#: Distinct words whose terms are broadcast at most.
-BROADCAST_WORDS = 500_000
+#: Ids of replaced and deleted documents that are broadcast at most (two longs each, and twice that for the hash).
+BROADCAST_IDS = 2_000_000
 
 
-def _dictionary(words: DataFrame) -> DataFrame:
-    """``word, terms`` of the distinct words of ``word``."""
-    found = written(words.select("word").distinct().select("word", word_terms(F.col("word")).alias("terms")), "words")
-    return F.broadcast(found) if found.count() <= BROADCAST_WORDS else found
+def _whole(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``doc_id, text``, one row for each id; texts of one id, which are rare, become one."""
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return spread(rows)
+    return rows.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+
+
+def _runs(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, Column]:
+    """Rows of ``doc_id, t`` (sorted terms), and the array of ``term, freq`` of such a row.
+
+    A document is counted within its row: its terms are sorted and each run is one
+    of them, so no occurrence is moved and memory is that of one document.
+    """
+    rows = _whole(docs, id, text).select("doc_id", F.sort_array(tokenize(F.col("text"))).alias("t"))
+    rows = rows.withColumn("at", F.array_compact(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get(F.col("t"), i - 1)), i))))
+    count = lambda i, k: F.coalesce(F.get(F.col("at"), k + 1), F.size("t")) - i  # noqa: E731  up to the next run
+    each = F.transform("at", lambda i, k: F.struct(F.get(F.col("t"), i).alias("term"), count(i, k).cast("long").alias("freq")))
+    return rows, each
+
+
+def counted(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, dl, terms`` of every document: its number of terms, and an array of ``term, freq``."""
+    rows, each = _runs(docs, id, text)
+    return rows.select("doc_id", F.size("t").cast("long").alias("dl"), each.alias("terms"))
 
 
 def terms(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, term, freq`` of every document."""
-    words = spread(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.explode(split_words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    words = written(words, "word-counts")
-    each = words.join(_dictionary(words), "word").select("doc_id", F.explode("terms").alias("term"), "n")
-    return each.groupBy("doc_id", "term").agg(F.sum("n").alias("freq"))
+    rows, each = _runs(docs, id, text)
+    return rows.select("doc_id", F.inline(each))
 
 
 def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``term, doc_id, freq, positions`` of every term of every document."""
-    words = spread(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.posexplode(split_words(F.col("text"))).alias("at", "word"))
-    words = written(words, "words-in-order")
-    each = words.join(_dictionary(words), "word")
-    so_far = F.sum(F.size("terms")).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tokens = each.select("doc_id", (so_far - F.size("terms")).alias("first"), "terms").select("doc_id", "first", F.posexplode("terms").alias("k", "term"))
-    tokens = tokens.select("doc_id", "term", (F.col("first") + F.col("k")).cast("int").alias("pos"))
-    return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("freq"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "doc_id", "freq", "positions")
+    place = F.transform(tokenize(F.col("text")), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    rows = _whole(docs, id, text).select("doc_id", F.sort_array(place).alias("t"))
+    rows = rows.withColumn("at", F.array_compact(F.transform("t", lambda x, i: F.when((i == 0) | (x["term"] != F.get(F.col("t"), i - 1)["term"]), i))))
+    count = lambda i, k: F.coalesce(F.get(F.col("at"), k + 1), F.size("t")) - i
+    run = lambda i, k: F.transform(F.slice("t", i + 1, count(i, k)), lambda x: x["pos"])
+    each = F.transform("at", lambda i, k: F.struct(F.get(F.col("t"), i)["term"].alias("term"), count(i, k).cast("long").alias("freq"), run(i, k).alias("positions")))
+    return rows.select("doc_id", F.inline(each)).select("term", "doc_id", "freq", "positions")
 
 
 def norms(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, dl``: number of terms of every document."""
-    counted = terms(docs, id, text).groupBy("doc_id").agg(F.sum("freq").alias("dl"))
-    return docs.select(F.col(id).alias("doc_id")).join(counted, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
+    return _whole(docs, id, text).select("doc_id", F.size(tokenize(F.col("text"))).cast("long").alias("dl"))
 
 
 def query_terms(query: str) -> list[str]:
@@ -83,18 +101,14 @@ def bm25(docs: DataFrame, query: str, id: str = "doc_id", text: str = "text", de
     unless ``live_statistics``.
     """
     wanted = query_terms(query)
-    words = spread(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.explode_outer(split_words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    words = written(words, "word-counts")  # texts are read once
-    known = _dictionary(words.where("word IS NOT NULL"))
-    hit = F.filter("terms", lambda t: t.isin(wanted) if wanted else F.lit(False))
-    each = words.join(known, "word", "left").select("doc_id", "n", F.coalesce(F.size("terms"), F.lit(0)).alias("size"), hit.alias("hits"))
-    per_doc = written(each.groupBy("doc_id").agg(F.sum(F.when(F.col("size") > 0, F.col("n") * F.col("size")).otherwise(0)).alias("dl"), F.flatten(F.collect_list(F.when(F.size("hits") > 0, F.transform("hits", lambda t: F.struct(t.alias("term"), F.col("n").alias("n")))))).alias("hits")), "search")
-    counted = per_doc
-    if deleted is not None:
-        per_doc = per_doc.join(deleted.select("doc_id"), "doc_id", "left_anti")
-        counted = per_doc if live_statistics else counted
-    corpus = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
-    hits = per_doc.where(F.size("hits") > 0).select("doc_id", "dl", F.explode("hits").alias("h")).groupBy("doc_id", "dl", F.col("h.term").alias("term")).agg(F.sum("h.n").alias("freq"))
+    of = lambda t: t.isin(wanted) if wanted else F.lit(False)
+    rows = _whole(docs, id, text).select("doc_id", tokenize(F.col("text")).alias("t"))
+    rows = rows.select("doc_id", F.size("t").cast("long").alias("dl"), F.filter("t", of).alias("hits"))
+    per_doc = written(rows, "search")  # texts are read once; what stays of one is its length and its hits
+    live = per_doc if deleted is None else per_doc.join(deleted.select("doc_id"), "doc_id", "left_anti")
+    corpus = (live if live_statistics else per_doc).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    each = F.filter(F.transform(F.array(*map(F.lit, wanted)), lambda w: F.struct(w.alias("term"), F.size(F.filter("hits", lambda t: t == w)).cast("long").alias("freq"))), lambda x: x["freq"] > 0) if wanted else F.array().cast("array<struct<term:string,freq:long>>")
+    hits = live.where(F.size("hits") > 0).select("doc_id", "dl", F.inline(each))
     counts = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row per query term
     return score(hits, corpus["n_docs"], corpus["avgdl"] or 0.0, counts)
 
@@ -106,8 +120,11 @@ def search(docs: DataFrame, query: str, limit: int = 10, **more) -> DataFrame:
 
 def merge_segments(old: DataFrame, new: DataFrame, deleted: DataFrame) -> DataFrame:
     """Postings of two segments as one: deleted documents go, the newer of a document stays."""
-    kept = old.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
-    return kept.unionByName(new).join(deleted.select("doc_id"), "doc_id", "left_anti")
+    dead = deleted.select("doc_id")
+    older = written(new.select("doc_id").distinct().unionByName(dead).distinct(), "replaced")
+    few = older.count() <= BROADCAST_IDS
+    gone = lambda ids: F.broadcast(ids) if few else ids  # noqa: E731  the ids move, postings do not
+    return old.join(gone(older), "doc_id", "left_anti").unionByName(new.join(gone(dead), "doc_id", "left_anti"))
 
 
 def last_posting(rows: DataFrame, order: str = "segment") -> DataFrame:

@@ -139,3 +139,13 @@ def test_order_of_parts_is_no_part_of_a_score(spark):
     rows = [r for d, order in enumerate(("abce", "ecba", "bcea", "caeb", "aecb", "ebac")) for r in of(d, order)]
     hits = spark.createDataFrame(rows, "term string, doc_id long, freq long, dl long").coalesce(1)
     assert search.score(hits, 1_000, 7.3, {"a": 3, "b": 41, "c": 500, "e": 77}).select("score").distinct().count() == 1
+
+
+def test_counting_moves_no_words(spark):
+    """Terms are counted within a document's row; of one id twice, texts are one."""
+    docs = spark.createDataFrame([(i, "the parseJSON the") for i in range(50)], DOC)
+    for plan in (search.terms(docs), search.postings(docs), search.norms(docs)):
+        assert "hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    twice = spark.createDataFrame([(1, "the The"), (1, "the"), (2, None)], DOC)
+    assert [tuple(r) for r in search.terms(twice).collect()] == [(1, "the", 3)]
+    assert sorted(map(tuple, search.norms(twice).collect())) == [(1, 3), (2, 0)]
