@@ -63,6 +63,8 @@ class EdgeIndex:
         if refs is not None:
             return links.where(F.col(side).isin(refs))
         own = near.select(F.col("a").alias(side)).distinct()
+        ends = own.agg(F.min(side), F.max(side)).first()
+        links = links.where(F.col(side).between(*ends))  # other kinds of references go before any exchange
         return links.join(F.broadcast(own) if rows <= BROADCAST_ROWS else own, side, "left_semi")
 
 

@@ -38,8 +38,10 @@ def links(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("placed",
     life = F.when(F.col("l_returnflag") == "R", F.lit("superseded")).otherwise(active)
     for edge, kind, key in (("contains", "p", "l_partkey"), ("supplied_by", "s", "l_suppkey")):
         if edge in kinds:
-            w = Window.partitionBy("l_orderkey", key).orderBy("l_shipdate", "l_linenumber")
-            add(items, _ref("o", "l_orderkey"), edge, _ref(kind, key), F.row_number().over(w).cast("long"), micros("l_shipdate"), life)
+            # versions of a triple by its references themselves, so that conditions on either end go before the exchange
+            w = Window.partitionBy("src_ref", "dst_ref").orderBy("l_shipdate", "l_linenumber")
+            ends = items.select(_ref("o", "l_orderkey").alias("src_ref"), _ref(kind, key).alias("dst_ref"), "l_shipdate", "l_linenumber", "l_returnflag")
+            add(ends, F.col("src_ref"), edge, F.col("dst_ref"), F.row_number().over(w).cast("long"), micros("l_shipdate"), life)
     zero = F.lit(0).cast("long")
     if "located_in" in kinds:
         add(table(spark, sf_dir, "customer"), _ref("c", "c_custkey"), "located_in", _ref("n", "c_nationkey"), one, zero, active)

@@ -22,6 +22,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], o
     return _BUILT[key]
 
 
+def built(spark: SparkSession, sf_dir: str, name: str) -> object | None:
+    """What ``stored`` has made for these tables already, if anything; nothing is made."""
+    return _BUILT.get((spark.sparkContext.applicationId, sf_dir, name))
+
+
 def forget() -> None:
     """Drops what was built, so that it is made anew."""
     _BUILT.clear()

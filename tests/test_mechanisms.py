@@ -197,6 +197,27 @@ def test_links_of_a_hub_are_many_files(spark, tmp_path):
         graph.EdgeIndex.open(spark, str(tmp_path / "none"))
 
 
+def test_a_walk_moves_only_what_it_touches(spark, monkeypatch):
+    """Without a stored index the frontier reaches the tables: before the exchange for versions, which other kinds never see."""
+    from knotlog.plans import catalog, model
+    from knotlog.plans.stored import forget
+
+    links = model.links(spark, "/root/testdata/sf0.001")
+    index = graph.EdgeIndex.of(links)
+    for way, ref in (("f", "e:o/7"), ("r", "e:p/7")):
+        plan = index.touching(way, None, 1, [ref])._jdf.queryExecution().optimizedPlan().toString()
+        under = [x.split("Relation")[0] for x in plan.split("Window [")[1:]]
+        assert len(under) == 2 and all(f"= {ref})" in x for x in under)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    near = spark.createDataFrame([("e:c/1",), ("e:c/2",)], "a string")
+    plan = index.touching("f", near, 2, None)._jdf.queryExecution().optimizedPlan().toString()
+    under = [x.split("Relation")[0] for x in plan.split("Window [")[1:]]
+    assert len(under) == 2 and all(">= e:c/1)" in x and "<= e:c/2)" in x for x in under)
+    forget()
+    catalog.QUERIES["graph_neighbors_fwd"](spark, "/root/testdata/sf0.001")
+    assert catalog.built(spark, "/root/testdata/sf0.001", "edges") is None
+
+
 # --- columns that follow a function of the driver -----------------------------
 
 
