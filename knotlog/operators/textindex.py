@@ -22,12 +22,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotlog.functions.text import tokenize
 from knotlog.operators.fieldindex import evaluated
-from knotlog.operators.search import K1, B, score, terms
+from knotlog.operators.search import K1, B, counted, score
 from knotlog.sources.scratch import remove, written
 
 #: Postings of one bucket (about), documents of one block (about), and postings from which a term has bounds by block.
@@ -36,12 +36,14 @@ BUCKET_ROWS, BLOCK_DOCS, FREQUENT = 5_000_000, 4_096, 65_536
 DIRECT, ONE_TASK, KEPT_TERMS = 1_000_000, 100_000, 100_000
 #: Blocks that are read first, blocks that are named in a scan at most, and dead documents that are broadcast at most.
 FIRST, NAMED, BROADCAST_DEAD = 32, 2_000, 500_000
+#: Frequent terms that are broadcast at most, to keep their bounds only.
+BROADCAST_TERMS = 500_000
 #: Segments of like size that are merged.
 FANOUT = 6
 
 _KINDS = {
     "norms": "doc_id long, dl long",
-    "postings": "term string, block int, doc_id long, freq long, dl long, bucket int",
+    "postings": "term string, block int, doc_id long, freq long, dl long, n long, best double, bucket int",
     "dictionary": "term string, df long, bucket int",
     "blocks": "term string, block int, n long, best double, bucket int",
 }
@@ -108,10 +110,11 @@ class Index:
 
     def add(self, docs: DataFrame, id: str = "doc_id", text: str = "text", merge: bool = True) -> None:
         """Documents as a new segment, which takes the place of older documents of their ids."""
-        found = written(terms(docs, id, text), "terms")
-        lengths = written(docs.select(F.col(id).alias("doc_id")).distinct().join(found.groupBy("doc_id").agg(F.sum("freq").alias("dl")), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")), "lengths")
+        found = written(counted(docs, id, text).withColumn("n", F.size("terms")), "documents")
+        lengths = found.select("doc_id", "dl")
         self._bury(lengths)
-        self.segments.append(self._write(found.join(lengths, "doc_id"), lengths))
+        rows = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        self.segments.append(self._write(found.select("doc_id", "dl", F.inline("terms")), lengths, rows))
         if merge:
             self._merge_tiers()
 
@@ -131,26 +134,36 @@ class Index:
                 s["dead"].append(path)
                 s["gone"], s["gone_dl"] = s["gone"] + n["n"], s["gone_dl"] + n["dl"]
 
-    def _write(self, found: DataFrame, lengths: DataFrame) -> dict:
-        """A segment of ``doc_id, term, freq, dl`` and the documents' lengths."""
+    def _write(self, found: DataFrame, lengths: DataFrame, rows: int) -> dict:
+        """A segment of ``rows`` rows of ``doc_id, term, freq, dl`` and the documents' lengths.
+
+        Postings move once, to be dealt by ranges; the first posting of a term in a
+        block has the block's count and best part, so bounds move nothing.
+        """
         name = f"{self.path}/segment-{uuid.uuid4().hex}"
         counts = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
         n, avgdl = counts["n"], counts["dl"] / counts["n"] if counts["n"] else 0.0
-        found = written(found, "postings")
-        rows = found.count()
         self.buckets = self.buckets or max(8, -(-rows // BUCKET_ROWS))
         blocks, frequent = max(1, n // (self.block_docs or BLOCK_DOCS)), self.frequent or FREQUENT
+        # dealt by ranges down to pieces of a block, so a term that every document has is as many tasks as its postings need
+        parts, pieces = max(self.buckets, -(-rows // BUCKET_ROWS)), max(1, 4 * n // blocks // BUCKET_ROWS)
         block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks)).cast("int")
-        each = found.select(self._bucket(F.col("term")).alias("bucket"), "term", block.alias("block"), "doc_id", "freq", "dl")
-        # dealt by ranges down to the document, so a term that every document has is as many tasks as its postings need
-        parts = max(self.buckets, -(-rows // BUCKET_ROWS))
-        each.repartitionByRange(parts, "bucket", "term", "block", "doc_id").sortWithinPartitions("bucket", "term", "block", "doc_id").write.partitionBy("bucket").parquet(f"{name}/postings")
+        piece = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(pieces)).cast("int")
+        each = found.select(self._bucket(F.col("term")).alias("bucket"), "term", block.alias("block"), piece.alias("piece"), "doc_id", "freq", "dl")
+        key = ["bucket", "term", "block", "piece"]
+        own = Window.partitionBy(*key)
+        first = F.row_number().over(own.orderBy("doc_id")) == 1
+        held = each.repartitionByRange(parts, *key).withColumns({"n": F.count("*").over(own), "best": F.max(part(avgdl)).over(own), "first": first})
+        held = held.withColumns({"n": F.when(F.col("first"), F.col("n")), "best": F.when(F.col("first") & (F.col("n") > 1), F.col("best"))})
+        held.select("bucket", "term", "block", "doc_id", "freq", "dl", "n", "best").write.partitionBy("bucket").parquet(f"{name}/postings")
         stored = self.spark.read.schema(_KINDS["postings"]).parquet(f"{name}/postings")
-        bound = written(stored.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max(part(avgdl)).alias("best")), "bounds")
-        words = written(bound.groupBy("bucket", "term").agg(F.sum("n").alias("df")), "dictionary")
+        words = written(stored.groupBy("bucket", "term").agg(F.count("*").alias("df")), "dictionary")
         words.repartitionByRange(self.buckets, "bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{name}/dictionary")
-        often = bound.join(words.where(F.col("df") >= frequent).select("term"), "term", "left_semi").select("bucket", "term", "block", "n", "best")
-        often.repartitionByRange(self.buckets, "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{name}/blocks")
+        often = words.where(F.col("df") >= frequent).select("term")
+        bound = stored.where("n IS NOT NULL").select("bucket", "term", "block", "n", F.coalesce("best", part(avgdl)).alias("best"))
+        if often.count() <= BROADCAST_TERMS:  # of more, the bounds of rare terms stay, which nothing reads
+            bound = bound.join(F.broadcast(often), "term", "left_semi")
+        bound.write.parquet(f"{name}/blocks")  # in order as the postings are
         lengths.write.parquet(f"{name}/norms")
         return {"name": name, "docs": n, "dl": counts["dl"], "blocks": blocks, "avgdl": avgdl, "rows": rows, "frequent": frequent, "dead": [], "gone": 0, "gone_dl": 0}
 
@@ -168,7 +181,8 @@ class Index:
     def _merge(self, segments: list[dict]) -> None:
         """Some segments as one of their live documents."""
         union = lambda table: reduce(DataFrame.unionByName, [self._alive(s, self._table(s, table)) for s in segments])
-        made = self._write(union("postings").select("doc_id", "term", "freq", "dl"), written(union("norms"), "lengths"))
+        found = union("postings").select("doc_id", "term", "freq", "dl")
+        made = self._write(found, written(union("norms"), "lengths"), found.count())
         self.segments = [s for s in self.segments if s not in segments] + [made]
         remove(self.spark, [s["name"] for s in segments])
 
@@ -303,7 +317,7 @@ class Index:
         for k, s in enumerate(self.segments):
             often = [w for w in words if stored.get((k, w), 0) >= s["frequent"]]
             rare = [w for w in words if 0 < stored.get((k, w), 0) < s["frequent"]]
-            of_block = [self._of_terms(s, "blocks", often, numbers).select("term", "block", "n", "best")] if often else []
+            of_block = [self._of_terms(s, "blocks", often, numbers).groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("best").alias("best"))] if often else []
             if rare:
                 of_block.append(self._of_terms(s, "postings", rare, numbers).groupBy("term", "block").agg(F.count("*").alias("n"), F.max(part(s["avgdl"])).alias("best")))
             stretch = max(1.0, avgdl / s["avgdl"]) if s["avgdl"] else 1.0

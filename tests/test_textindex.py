@@ -149,3 +149,13 @@ def test_counting_moves_no_words(spark):
     twice = spark.createDataFrame([(1, "the The"), (1, "the"), (2, None)], DOC)
     assert [tuple(r) for r in search.terms(twice).collect()] == [(1, "the", 3)]
     assert sorted(map(tuple, search.norms(twice).collect())) == [(1, 3), (2, 0)]
+
+
+def test_bounds_lie_with_the_first_posting_of_a_block(spark, corpus):
+    """Blocks are written without an exchange of their own: counts and bests are those of the postings."""
+    s = corpus.segments[0]
+    posts, bound = corpus._table(s, "postings"), corpus._table(s, "blocks")
+    assert posts.agg(F.sum("n")).first()[0] == posts.count() == s["rows"]
+    want = posts.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(textindex.part(s["avgdl"])).alias("best"))
+    often = posts.groupBy("term").count().where(F.col("count") >= s["frequent"]).select("term")
+    assert sorted(map(tuple, bound.select("term", "block", "n", "best").collect())) == sorted(map(tuple, want.join(often, "term").select("term", "block", "n", "best").collect()))
