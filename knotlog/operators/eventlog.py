@@ -15,6 +15,8 @@ from knotlog.schema import PREFIX
 from knotlog.sources.scratch import written
 
 CHAIN = ["kind", "id"]
+#: Pointers that one task joins, about.
+POINTERS_OF_TASK = 500_000
 
 
 def prefix_of(kind: Column) -> Column:
@@ -115,24 +117,27 @@ def resolve_supersedes(log: DataFrame, hops: int = 1_000) -> DataFrame:
     """
     keyed = log.select(version_key(prefix_of(F.col("kind")), F.col("id"), F.col("version")).alias("key"), "kind", "id", "version", F.col("supersedes").alias("to"))
     keyed = written(keyed, "pointers")
+    n, span = keyed.count(), 1
+    # keys are long and alike: files of them say little of the memory they take, so tasks are dealt by rows, and merged
+    parts = max(log.sparkSession.sparkContext.defaultParallelism, n // POINTERS_OF_TASK + 1)
+    joined = lambda left, right, on, how="inner": left.repartition(parts, on).join(right.repartition(parts, on).hint("merge"), on, how)
     known = keyed.select(F.col("key").alias("to"), F.lit(True).alias("there"))
     # a pointer into nothing ends its chain where it stands
-    walk = keyed.join(known, "to", "left").withColumn("lost", F.col("to").isNotNull() & F.col("there").isNull())
-    walk = walk.select("key", F.when(~F.col("lost"), F.col("to")).alias("to"), F.col("key").alias("root"), F.lit(0).cast("long").alias("hop"), "lost")
-    walk = walk.withColumns({"root": F.coalesce("to", "root"), "hop": F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long")})
-    n, span = keyed.count(), 1
+    walk = joined(keyed.where("to IS NOT NULL").select("key", "to"), known, "to", "left").select("key", F.when(F.col("there"), F.col("to")).alias("to"), F.col("there").isNull().alias("lost"))
+    walk = walk.unionByName(keyed.where("to IS NULL").select("key", "to", F.lit(False).alias("lost")))
+    walk = walk.select("key", "to", F.coalesce("to", "key").alias("root"), F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("hop"), "lost")
     walk = written(walk, "walk")
     while span <= min(hops, n) and not walk.where("to IS NOT NULL").isEmpty():
         # ``to`` is ``span`` pointers ahead, or nothing once the end is reached
         step = walk.select(F.col("key").alias("to"), F.col("to").alias("next"), F.col("root").alias("end"), F.col("hop").alias("more"), F.col("lost").alias("lost_there"))
-        ahead = walk.where("to IS NOT NULL").join(step, "to").select("key", F.col("next").alias("to"), F.col("end").alias("root"), (F.col("hop") + F.col("more")).alias("hop"), F.col("lost_there").alias("lost"))
+        ahead = joined(walk.where("to IS NOT NULL").select("key", "to", "hop"), step, "to").select("key", F.col("next").alias("to"), F.col("end").alias("root"), (F.col("hop") + F.col("more")).alias("hop"), F.col("lost_there").alias("lost"))
         walk = written(ahead.unionByName(walk.where("to IS NULL")), "walk")
         span *= 2
     open_end = F.col("to").isNotNull()
     # a walk of more pointers than there are versions has met one twice
     state = F.when(open_end & (F.col("hop") >= n), "cycle").when(open_end | (F.col("hop") > hops), "too long").when(F.col("lost"), "dangling").otherwise("ok")
     out = walk.withColumn("state", state).select("key", F.when(F.col("state").isin("ok", "dangling"), F.col("root")).alias("root"), "hop", "state")
-    return keyed.drop("to").join(out, "key")
+    return joined(keyed.drop("to"), out, "key")
 
 
 def reverse_links(log: DataFrame, dst_ref: str, edge_type: str | None = None) -> DataFrame:

@@ -63,6 +63,17 @@ def test_pointers_of_all_chains(spark):
     assert eventlog.resolve_supersedes(log.limit(0)).count() == 0
 
 
+def test_pointers_are_dealt_by_rows(spark, monkeypatch):
+    """However small their files are, no join of pointers is a broadcast or one task."""
+    monkeypatch.setattr(eventlog, "POINTERS_OF_TASK", 100)
+    rows = spark.range(3_000).select(F.lit("observation").alias("kind"), F.lit("one").alias("id"), (F.col("id") + 1).alias("version"))
+    log = rows.withColumn("supersedes", F.when(F.col("version") > 1, F.format_string("o:one:v%016d", F.col("version") - 1)))
+    out = eventlog.resolve_supersedes(log, 10_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and ", 31)" in plan
+    assert out.where("state = 'ok' AND hop = version - 1").count() == 3_000
+
+
 # --- as-of joins ------------------------------------------------------------
 
 
